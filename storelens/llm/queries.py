@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sharding
+from . import chat, sharding, simhash
 from .common import table
 
 
@@ -12,5 +13,23 @@ def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES = {"op1_minimax_shards": op1_minimax_shards}
+#: A conversation that holds a mark of the kind that templates use.
+MARKED = "\\### Assistant: </turn> ok"
+
+
+def op2_budget_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role").withColumn("text", F.lit(MARKED))
+    return chat.digests(chat.windows(turns.unionByName(extra)))
+
+
+def op3_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_minimax_shards": op1_minimax_shards,
+    "op2_budget_windows": op2_budget_windows,
+    "op3_gray_simhash": op3_gray_simhash,
+}
 ORACLES: dict[str, str] = {}
