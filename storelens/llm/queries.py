@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, sharding, simhash
+import public_tokenizers
+
+from . import ann, bpe, chat, decontam, pii, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -27,9 +29,48 @@ def op3_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_item_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string")) % 4 == 2
+
+
+def op6_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.where(~held_out(F.col("doc_id"))))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_matrix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), *how), *how))
+
+
+def op8_random_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op9_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def op10_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_minimax_shards": op1_minimax_shards,
     "op2_budget_windows": op2_budget_windows,
     "op3_gray_simhash": op3_gray_simhash,
+    "op5_item_windows": op5_item_windows,
+    "op6_counterfactual_toxicity": op6_counterfactual_toxicity,
+    "op7_matrix_bpe": op7_matrix_bpe,
+    "op8_random_secrets": op8_random_secrets,
+    "op9_balanced_postings": op9_balanced_postings,
+    "op10_disclosure_pii": op10_disclosure_pii,
 }
 ORACLES: dict[str, str] = {}
