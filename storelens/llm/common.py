@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to Python workers that don't have it on their path; once a session."""
+    context = spark.sparkContext
+    if getattr(context, "_storelens_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp(prefix="storelens-")) / "storelens.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted((top / "storelens").rglob("*.py")):
+            z.write(p, p.relative_to(top))
+    context.addPyFile(str(path))
+    context._storelens_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -200,3 +200,19 @@ def contaminated(
 
         out = out.union(rows.mapInArrow(run, fields))
     return out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 26, part_words: int = 2_000_000, text_col: str = "text") -> DataFrame:
+    """docs without those that hold a window at or over `least`; all columns stay, and no row is moved."""
+    out = docs
+    for lot in parts_of(benchmark, part_words):
+        held = docs.sparkSession.sparkContext.broadcast(lot)
+        place = docs.columns.index(text_col)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            index = Items(held.value, radius)
+            for b in batches:
+                yield b.filter(pa.array([not index.matches(t.as_py(), least) for t in b.column(place)], pa.bool_()))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, chat, decontam, pii, secrets, sharding, simhash, toxicity
+from . import ann, bpe, chat, decontam, passages, pii, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op5_item_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,6 +70,7 @@ QUERIES = {
     "op1_minimax_shards": op1_minimax_shards,
     "op2_budget_windows": op2_budget_windows,
     "op3_gray_simhash": op3_gray_simhash,
+    "op4_repeated_units": op4_repeated_units,
     "op5_item_windows": op5_item_windows,
     "op6_counterfactual_toxicity": op6_counterfactual_toxicity,
     "op7_matrix_bpe": op7_matrix_bpe,

@@ -190,3 +190,119 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     named = of.groupBy("c").agg(F.min("least").alias("component_id"))
     out = own.join(of.join(named, "c").select("fp", "component_id"), "fp")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def masks(tables: int, bits: int, seed: int = 11) -> list[int]:
+    """For each table the same order of bits at every depth, of which the first `bits` are its nodes' pattern."""
+    return [sum(1 << int(b) for b in np.random.default_rng(seed + t).permutation(64)[:bits]) for t in range(tables)]
+
+
+def nearest_in_nodes(fps: DataFrame, radius: int, tables: int, depths: tuple[int, ...], node_limit: int) -> DataFrame:
+    """fp (distinct) -> a, b: each fingerprint with the nearest other within the radius, in its node of each table."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for group in batch.column(0):
+                own, i, j = near_pairs(np.array(group.values, np.int64).view(np.uint64), radius)
+                i, j = np.concatenate([i, j]), np.concatenate([j, i])
+                far = np.bitwise_count(own[i] ^ own[j])
+                order = np.lexsort((j, far, i))
+                first = order[np.unique(i[order], return_index=True)[1]]
+                x, y = own[i[first]].view(np.int64), own[j[first]].view(np.int64)
+                a.append(np.minimum(x, y))
+                b.append(np.maximum(x, y))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], ["a", "b"])
+
+    found, level = [], fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("path"))
+    for depth in depths:
+        own = F.array(*[F.lit(signed(m)) for m in masks(tables, depth)])
+        nodes = level.withColumn("pattern", F.col("fp").bitwiseAND(F.get(own, F.col("path"))))
+        sizes = nodes.groupBy("path", "pattern").count().where("count > 1")
+        last = depth == depths[-1]
+        small = sizes if last else sizes.where(F.col("count") <= node_limit)
+        groups = nodes.join(small.select("path", "pattern"), ["path", "pattern"], "left_semi").groupBy("path", "pattern").agg(F.collect_list("fp").alias("fps"))
+        found.append(keep(groups.select("fps").mapInArrow(search, "a long, b long").distinct(), "near"))
+        if last:
+            break
+        level = keep(nodes.join(sizes.where(F.col("count") > node_limit).select("path", "pattern"), ["path", "pattern"], "left_semi").select("fp", "path"), "large-nodes")
+        if level.isEmpty():
+            break
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out.distinct()
+
+
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the text's word shingles (ASCII lower case)."""
+    found = (text or "").encode("utf-8", "replace").lower().split()
+    grams = map(b" ".join, zip(*(found[k:] for k in range(words)))) if len(found) >= words else [b" ".join(found)] if found else []
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
+
+
+def similar_texts(
+    docs: DataFrame, least: float = 0.8, words: int = 5, radius: int = 16, print_words: int = 2, tables: int = 24, depths: tuple[int, ...] = (14, 20, 28, 40, 52), node_limit: int = 512, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """docs -> doc_id, digest (of the text), group: documents of equal texts, or linked by word-shingle sets at or over `least` similarity (Jaccard).
+
+    At such a similarity fingerprints may differ in a quarter of their bits, more than blocks can guarantee
+    to find; so the upper nodes here are `tables` draws of bits, a pair that is found in none of them is
+    missed, and every pair found is verified on whole texts. Nodes over `node_limit` are split by further
+    bits. Null and empty texts are equal texts. group is the smallest doc_id. Repeated rows stay.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = np.array([fingerprint(t.as_py(), print_words) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "digest", "fp"])
+
+    rows = keep(whole.mapInArrow(run, "doc_id long, digest binary, fp long"), "prints")
+    texts = keep(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "texts")
+    prints = keep(texts.groupBy("fp").agg(F.min_by("digest", "digest").alias("lead")), "distinct")
+    near = nearest_in_nodes(prints.select("fp"), radius, tables, depths, node_limit)
+    lead = lambda c: prints.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}"))
+    across = texts.select("fp", "digest").join(near.union(near.select("b", "a")).toDF("fp", "b"), "fp").join(lead("b"), "b").select(F.col("digest").alias("x"), F.col("lead_b").alias("y"))
+    within = texts.join(prints, "fp").where("digest <> lead").select(F.col("digest").alias("x"), F.col("lead").alias("y"))
+    pairs = keep(across.union(within).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], ["digest", "grams"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for p, q in zip(b.column(2), b.column(3)):
+                p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
+                same = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(same >= least * (len(p) + len(q) - same))
+            at = pa.array(np.flatnonzero(good))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["x", "y"])
+
+    wanted = pairs.select(F.col("x").alias("digest")).union(pairs.select("y")).distinct()
+    lead_of = texts.join(wanted, "digest").select(F.col("digest").alias("d"), F.col("least").alias("l"))
+    named = whole.join(lead_of, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("l")), "left_semi")
+    grams = keep(named.select("digest", "text").mapInArrow(sets, "digest binary, grams binary").dropDuplicates(["digest"]), "grams")
+    both = pairs.join(grams.toDF("x", "p"), "x").join(grams.toDF("y", "q"), "y").select("x", "y", "p", "q")
+    edges = both.mapInArrow(verify, "x binary, y binary")
+    number = F.xxhash64  # nodes of the graph are texts; 64 bits of their digest name them
+    group = components(edges.select(number("x").alias("a"), number("y").alias("b")))
+    of = keep(texts.join(group, number("digest") == F.col("v"), "left").select("digest", "least", F.coalesce("c", number("digest")).alias("c")), "of")
+    named = of.groupBy("c").agg(F.min("least").alias("group"))
+    return rows.select("doc_id", "digest").join(of.join(named, "c").select("digest", "group"), "digest")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each group of `similar_texts`: the one of smallest doc_id; of repeated rows one stays. Rows with a null id stay only if no other row of the group has an id."""
+    groups = keep(similar_texts(docs, id_col=id_col, text_col=text_col, **options), "groups")
+    first = groups.where(F.col("doc_id").eqNullSafe(F.col("group"))).groupBy("group").agg(F.min("digest").alias("__digest"), F.count("*").alias("n"))
+    first = keep(first, "first")
+    marked = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    kept = first.select(F.col("group").alias("__group"), F.col("__digest").alias("__d"))
+    out = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__group")) & (F.col("__digest") == F.col("__d")), "left_semi")
+    if not first.where("n > 1").isEmpty():  # an id in more than one row
+        out = out.dropDuplicates([id_col, "__digest"])
+    return out.drop("__digest")

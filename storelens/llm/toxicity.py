@@ -11,6 +11,7 @@ is not toxic. Scoring covers all documents, and needs the weights only (1 MB).
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -137,21 +138,42 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, groups: dic
     return learn(found.column("words").to_pylist(), y, weights, pairs, **options)
 
 
+def scorer(model: tuple[np.ndarray, float]):  # noqa: ANN201
+    """Score of a text, with a bounded memory of words."""
+    (weights, bias), known = model, {}
+
+    def of(text: str | None) -> float:
+        words = words_of(text)
+        for w in [w for w in words if w not in known]:
+            known[w] = float(weights[list(features(w))].sum())
+        z = bias + sum(sorted(map(known.__getitem__, words)))
+        if len(known) > 300_000:
+            known.clear()
+        return 1 / (1 + math.exp(-min(500.0, max(-500.0, z))))
+
+    return of
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, score (0 to 1). Null and empty texts get the score of no words. Repeated rows and null ids stay."""
     held = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (weights, bias), known = held.value, {}
+        of = scorer(held.value)
         for b in batches:
-            sums = []
-            for t in b.column(1):
-                words = words_of(t.as_py())
-                for w in words - known.keys():
-                    known[w] = float(weights[list(features(w))].sum())
-                sums.append(bias + sum(sorted(map(known.__getitem__, words))))
-                if len(known) > 300_000:
-                    known.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(np.array(sums, float), -500, 500))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t.as_py()) for t in b.column(1)], pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+
+
+def select(docs: DataFrame, model: tuple[np.ndarray, float], below: float, text_col: str = "text") -> DataFrame:
+    """docs that score below a threshold; all columns stay, and no row is moved."""
+    held = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = scorer(held.value)
+        for b in batches:
+            yield b.filter(pa.array([of(t.as_py()) < below for t in b.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
