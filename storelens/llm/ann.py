@@ -5,8 +5,10 @@ list of its nearest centroid and, if it lies at a boundary, to those of up to `r
 most `spread` times as far away. While fitting, crowded centroids are handicapped so that lists come out even, and
 a list of over `list_limit` vectors is dealt out in chunks, each searched by itself. Centroids (at most
 `most_lists`, so their size is bounded) are searched through an in-memory graph of neighbours; a query goes to the
-lists whose centroid is at most `ratio` times as far away as the nearest, `least_probes` lists at least and
-`most_probes` at most. Scores are then computed on the original vectors in double precision.
+lists whose centroid is at most so many times as far away as the nearest, `least_probes` lists at least. That
+ratio, and with it the width of the search, is set on the sample so that `target` of the sample's own neighbours
+are found; neighbours in the whole table are nearer, so that is a cautious setting. Scores are then computed on the
+original vectors in double precision.
 
 Equal vectors are searched once, and of equal candidates only the k + 1 of smallest id can be in a result; so one
 vector that fills the table costs no more than any other.
@@ -65,6 +67,10 @@ class Graph:
         """Centroids and distances of the nearest `beam` found for each unit vector, nearest first: the best so far are widened by their neighbours until they no longer change."""
         beam = min(beam, len(self.centres))
         n, row = len(x), np.arange(len(x))[:, None]
+        if beam * self.near.shape[1] >= len(self.centres):  # the neighbours would be nearly all centroids
+            sims = x @ self.centres.T
+            best = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
+            return best, np.sqrt(np.maximum(0, 2 - 2 * sims[row, best]))
         sims = x @ self.centres[self.starts].T
         best = self.starts[np.argsort(-sims, axis=1)[:, :beam]]
         for _ in range(32):
@@ -80,6 +86,30 @@ class Graph:
         return best, np.where(found < -1.5, np.inf, np.sqrt(np.maximum(0, 2 - 2 * found)))
 
 
+def tune(graph: Graph, sample: np.ndarray, k: int, replicas: int, spread: float, target: float, asked: int = 256) -> tuple[float, int]:
+    """The ratio of distances, and the number of lists, within which `target` of the sample's k nearest are posted."""
+    sample = sample[:8192]
+    lists, dist = posted_to(graph, sample, replicas, spread)
+    asked = min(asked, len(sample))
+    sims = sample[:asked] @ sample.T
+    sims[np.arange(asked), np.arange(asked)] = -2
+    near = np.argsort(-sims, axis=1)[:, :k]
+    order, far = graph.search(sample[:asked], len(graph.centres))
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], axis=1)
+    held = np.where(np.isfinite(dist), lists, -1)[near]  # query, neighbour, replica
+    places = np.where(held >= 0, place[np.arange(asked)[:, None, None], held], order.shape[1] - 1).min(axis=2)
+    ratios = np.take_along_axis(far, places, axis=1) / np.maximum(far[:, :1], 1e-9)
+    return float(np.quantile(ratios, target)), int(np.quantile(places, (1 + target) / 2)) + 1
+
+
+def posted_to(graph: Graph, x: np.ndarray, replicas: int, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of each unit vector and their distances; inf where it isn't posted."""
+    parts = [graph.search(x[lo : lo + 256], 2 * replicas) for lo in range(0, len(x), 256)]
+    lists, dist = np.concatenate([a[:, :replicas] for a, _ in parts]), np.concatenate([b[:, :replicas] for _, b in parts])
+    return lists, np.where(dist <= spread * dist[:, :1] + 1e-12, dist, np.inf)
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """vec_id, v (array of double): vectors of the commonest length with finite components that are not all zero."""
     v = F.col(vec_col)
@@ -95,7 +125,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def nearest(
     vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20_000, list_size: int = 128, most_lists: int = 4096,
-    replicas: int = 4, spread: float = 1.15, ratio: float = 1.6, least_probes: int = 12, most_probes: int = 64, list_limit: int = 2048,
+    replicas: int = 4, spread: float = 1.15, target: float = 0.96, least_probes: int = 8, list_limit: int = 2048,
 ) -> DataFrame:
     """queries against vectors -> query_id, rank (from 1), vec_id, score: the k nearest found, a query's own id left out, ties to the smaller id.
 
@@ -119,25 +149,34 @@ def nearest(
     drawn = matrix(drawn.toArrow().column("v").combine_chunks())
     if not len(drawn):
         drawn = matrix(rows.select("v").limit(100).toArrow().column("v").combine_chunks())
-    graph = Graph(fit(unit(drawn), max(1, min(most_lists, -(-n // list_size)))))
+    drawn = unit(drawn)
+    graph = Graph(fit(drawn, max(1, min(most_lists, -(-n // list_size)))))
+    ratio, width = tune(graph, drawn, k, replicas, spread, target)
+    width = max(width, least_probes)
     held = spark.sparkContext.broadcast(graph)  # most_lists centroids and their neighbours at most
 
-    def spread_out(beam: int, far: float, least: int):  # noqa: ANN202
+    def post(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return posted_to(held.value, x, replicas, spread)
+
+    def probe(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lists, dist = held.value.search(x, width)
+        return lists, np.where((dist <= ratio * dist[:, :1] + 1e-12) | (np.arange(dist.shape[1]) < least_probes), dist, np.inf)
+
+    def to_lists(choose, step: int):  # noqa: ANN001, ANN202
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for lo in range(0, b.num_rows, 256):
-                    part = b.slice(lo, 256)
-                    lists, dist = held.value.search(unit(matrix(part.column(1))), beam)
-                    ok = (dist <= far * dist[:, :1] + 1e-12) | ((np.arange(dist.shape[1]) < least) & np.isfinite(dist))
-                    at, which = np.nonzero(ok)
+                for lo in range(0, b.num_rows, step):
+                    part = b.slice(lo, step)
+                    lists, dist = choose(unit(matrix(part.column(1))))
+                    at, which = np.nonzero(np.isfinite(dist))
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array(lists[at, which], pa.int32())], ["id", "v", "list"])
 
         return run
 
-    posted = keep(rows.select("vec_id", "v").mapInArrow(spread_out(replicas, spread, 1), "id long, v array<double>, list int"), "posted")
+    posted = keep(rows.select("vec_id", "v").mapInArrow(to_lists(post, 256), "id long, v array<double>, list int"), "posted")
     sizes = F.broadcast(posted.groupBy("list").agg(F.ceil(F.count("*") / list_limit).cast("int").alias("chunks")))  # a row for each list
     posted = posted.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    probes = kinds.select("q", "v").mapInArrow(spread_out(most_probes, ratio, least_probes), "id long, v array<double>, list int")
+    probes = kinds.select("q", "v").mapInArrow(to_lists(probe, max(1, 8192 // width)), "id long, v array<double>, list int")
     probes = probes.join(sizes, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
     def best(_: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
