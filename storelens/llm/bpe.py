@@ -188,7 +188,7 @@ class Tokenizer:
         return out
 
     def _learn(self, pieces: set[str]) -> None:
-        new = pieces - self.seen.keys()
+        new = {p for p in pieces if p not in self.seen}
         self.odd.update(p for p in new if len(p) > REMEMBERED_CHARS)
         self.seen |= self.merge(new)
 
@@ -233,5 +233,5 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)
