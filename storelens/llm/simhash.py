@@ -249,7 +249,7 @@ def similar_texts(
     At such a similarity fingerprints may differ in a quarter of their bits, more than blocks can guarantee
     to find; so the upper nodes here are `tables` draws of bits, a pair that is found in none of them is
     missed, and every pair found is verified on whole texts. Nodes over `node_limit` are split by further
-    bits. Null and empty texts are equal texts. group is the smallest doc_id. Repeated rows stay.
+    bits. Null and empty texts are equal texts, and all texts without a word are alike. group is the smallest doc_id. Repeated rows stay.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
