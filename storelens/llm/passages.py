@@ -77,6 +77,7 @@ def repeats(docs: DataFrame, unit: str = "sentence", least_words: int = 8, id_co
     all_units = keep(units(docs, unit, id_col, text_col), "units")
     first = F.min(F.struct("doc_id", "row", "place", "start")).alias("first")
     groups = all_units.groupBy("h", "g").agg(F.count("*").alias("n"), first).where("n > 1").drop("n")
+    groups = keep(groups, "repeated")  # its own exchange in the join, so that Spark can split the rows of one digest
     marked = all_units.join(groups, ["h", "g"]).where((F.col("row") != F.col("first.row")) | (F.col("place") != F.col("first.place")))
     hits = marked.select("doc_id", "row", F.struct("place", "start", "end", "words", F.col("first.doc_id").alias("d"), F.col("first.start").alias("s")).alias("u"))
     each = hits.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("u")).alias("us"))  # of one document
