@@ -77,8 +77,12 @@ class Words:
         return np.bincount(self.place, per_word[self.word], 1 << BITS)
 
 
-def learn(texts: list[list[str]], labels: np.ndarray, share: np.ndarray, pairs: list[tuple[list[str], list[str]]], lasso: float = 1e-4, ridge: float = 1e-5, swap_weight: float = 1.0, rounds: int = 150, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias by proximal Adam; texts are lists of distinct words, share weights the rows, pairs are swaps."""
+def learn(texts: list[list[str]], labels: np.ndarray, share: np.ndarray, pairs: list[tuple[list[str], list[str]]], lasso: float | None = None, ridge: float = 1e-5, swap_weight: float = 1.0, rounds: int = 150, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias by proximal Adam; texts are lists of distinct words, share weights the rows, pairs are swaps.
+
+    lasso: by default it falls with the root of the number of texts, as the noise of a feature's weight does, to 1e-4.
+    """
+    lasso = max(1e-4, 7e-3 / math.sqrt(max(1, len(texts)))) if lasso is None else lasso
     vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for t in (*texts, *(x for p in pairs for x in p)) for w in t))}
     own = Words(list(vocabulary))
     doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
