@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 LONG = 256
 NONE = np.int32(2**31 - 1)
 #: Pieces whose ids a worker remembers, and the longest of these in characters.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 48
+REMEMBERED, REMEMBERED_CHARS = 200_000, 48
 #: A text is split in one go up to so many characters.
 WHOLE = 1 << 18
 
@@ -215,6 +215,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
                 part = b.slice(lo, 1024)
                 packed = own.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        own.seen.clear()  # workers are used again by other tasks
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 

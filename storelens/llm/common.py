@@ -11,9 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch between Spark and Python; texts are long, so batches are short.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives this package to Python workers that don't have it on their path; once a session."""
+    """Gives this package to Python workers that don't have it on their path, and keeps their batches small."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH, "10000") == "10000":  # unless a user has set it
+        spark.conf.set(BATCH, "1000")
     if getattr(context, "_storelens_shipped", False):
         return
     top = Path(__file__).resolve().parents[2]

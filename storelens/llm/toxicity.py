@@ -14,7 +14,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?\n]+")
 BITS = 18
+REMEMBERED = 200_000
 #: Names of groups that are swapped for one another, by language. A parameter of `train`.
 IDENTITY = {
     "en": ("women", "men", "muslims", "christians", "jews", "hindus", "immigrants", "refugees", "gay", "lesbian", "transgender", "black", "white", "asian", "disabled", "elderly"),
@@ -34,7 +34,6 @@ IDENTITY = {
 }
 
 
-@lru_cache(maxsize=1 << 18)
 def features(word: str) -> tuple[int, ...]:
     """Places of a word's features: the word, then its beginnings."""
     keys = [word + "$", *(word[:k] for k in range(3, 8) if len(word) >= k)]
@@ -151,7 +150,7 @@ def scorer(model: tuple[np.ndarray, float]):  # noqa: ANN201
         for w in [w for w in words if w not in known]:
             known[w] = float(weights[list(features(w))].sum())
         z = bias + sum(sorted(map(known.__getitem__, words)))
-        if len(known) > 300_000:
+        if len(known) > REMEMBERED:
             known.clear()
         return 1 / (1 + math.exp(-min(500.0, max(-500.0, z))))
 
