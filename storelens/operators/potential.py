@@ -1,13 +1,17 @@
 """Potential revenue: linear quantile regression fitted by distributed passes.
 
 The pinball loss is majorised by a quadratic (Hunter and Lange, 2000), so that each step is a weighted least
-squares whose sums, (p + 1) squared numbers, come from one aggregation over the feature table. Weights of the
-absolute residuals and of the lasso are refreshed each step. The driver solves a system of p + 1 equations.
+squares whose sums, (p + 1) squared numbers, come from one pass over the feature table, added up in each task by
+matrix products over Arrow batches (as column expressions they would be some hundred aggregates, compiled anew each
+step). Weights of the absolute residuals and of the lasso are refreshed each step. The driver solves p + 1 equations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,38 +26,40 @@ def linear(features: list[str], beta: np.ndarray) -> Column:
     return out
 
 
-def _sums(df: DataFrame, xs: list[Column], weight: Column, target: Column, also: Column | None = None) -> tuple[np.ndarray, np.ndarray, float]:
-    """The weighted sums of products, of products with the target, and the mean of `also`: one pass."""
-    p = len(xs)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    out = df.agg(*[F.sum(weight * xs[i] * xs[j]).alias(f"a{k}") for k, (i, j) in enumerate(pairs)], *[F.sum(target * xs[i]).alias(f"b{i}") for i in range(p)], F.avg(F.lit(0.0) if also is None else also).alias("also")).first()
-    a = np.zeros((p, p))
-    for k, (i, j) in enumerate(pairs):
-        a[i, j] = a[j, i] = out[f"a{k}"] or 0.0
-    return a, np.array([out[f"b{i}"] or 0.0 for i in range(p)]), out.also or 0.0
-
+def _sums(df: DataFrame, target: str, features: list[str], beta: np.ndarray | None, q: float, eps: float) -> tuple[np.ndarray, np.ndarray, float, int]:
+    """Weighted sums of products, of products with the target, the pinball loss and the rows, in one pass: each task sends one row.
 
-def pinball(target: str, features: list[str], beta: np.ndarray, q: float) -> Column:
-    r = F.col(target) - linear(features, beta)
-    return F.greatest(q * r, (q - 1) * r)
+    Without beta the weights are 1, as for least squares.
+    """
+    p = len(features) + 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, loss, n = np.zeros((p, p)), np.zeros(p), 0.0, 0
+        for batch in batches:
+            y, *xs = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(p))
+            x = np.column_stack([np.ones(len(y)), *xs])
+            r = y - x @ beta if beta is not None else y
+            w = 1 / (np.abs(r) + eps) if beta is not None else np.ones(len(y))
+            a += (x * w[:, None]).T @ x
+            b += x.T @ (w * y + (2 * q - 1 if beta is not None else 0.0))
+            loss += float(np.maximum(q * r, (q - 1) * r).sum())
+            n += len(y)
+        yield pa.RecordBatch.from_arrays([pa.array([[*a.ravel(), *b, loss, n]], pa.list_(pa.float64()))], ["sums"])
 
-def loss(df: DataFrame, target: str, features: list[str], beta: np.ndarray, q: float, alpha: float) -> float:
-    return float(df.agg(F.avg(pinball(target, features, beta, q))).first()[0]) + alpha * float(np.abs(beta[1:]).sum())
+    rows = df.select(target, *[F.col(f"`{c}`") for c in features]).mapInArrow(run, "sums array<double>").collect()  # a row for each task
+    total = np.sum([r.sums for r in rows], axis=0) if rows else np.zeros(p * p + p + 2)
+    return total[: p * p].reshape(p, p), total[p * p : -2], total[-2], int(total[-1])
 
 
 def quantile_fit(df: DataFrame, target: str, features: list[str], q: float = C.QUANTILE, alpha: float = 0.01, tolerance: float = 1e-5, most_steps: int = 60) -> np.ndarray:
     """Intercept and weights that minimise the mean pinball loss plus alpha times the size of the weights."""
     rows = cut(df.select(F.col(target).cast("double").alias(target), *[F.col(f"`{c}`").cast("double").alias(c) for c in features]), "fit")
-    top = rows.agg(F.count("*").alias("n"), F.max(F.abs(F.col(target))).alias("m")).first()
-    n, eps = top.n, 1e-6 * (top.m or 1.0) or 1e-6
-    xs = [F.lit(1.0), *[F.col(f"`{c}`") for c in features]]
-    a, b, _ = _sums(rows, xs, F.lit(1.0), F.col(target))
+    eps = 1e-6 * (rows.agg(F.max(F.abs(F.col(target)))).first()[0] or 1.0)
+    a, b, _, n = _sums(rows, target, features, None, q, eps)
     beta, before = np.linalg.lstsq(a, b, rcond=None)[0], np.inf
     for _ in range(most_steps):
-        w = 1 / (F.abs(F.col(target) - linear(features, beta)) + eps)
-        a, b, now = _sums(rows, xs, w, w * F.col(target) + (2 * q - 1), pinball(target, features, beta, q))
-        now += alpha * float(np.abs(beta[1:]).sum())
+        a, b, loss, _ = _sums(rows, target, features, beta, q, eps)
+        now = loss / max(1, n) + alpha * float(np.abs(beta[1:]).sum())
         if before - now <= tolerance * max(1e-12, abs(now)):
             break
         d = np.diag([0.0, *(1 / (np.abs(beta[1:]) + 1e-6))])
@@ -63,7 +69,8 @@ def quantile_fit(df: DataFrame, target: str, features: list[str], q: float = C.Q
 
 def least_squares_fit(df: DataFrame, target: str, features: list[str]) -> np.ndarray:
     """Ordinary least squares, as the fallback model."""
-    a, b, _ = _sums(df, [F.lit(1.0), *[F.col(f"`{c}`") for c in features]], F.lit(1.0), F.col(target).cast("double"))
+    rows = df.select(F.col(target).cast("double").alias(target), *[F.col(f"`{c}`").cast("double").alias(c) for c in features])
+    a, b, _, _ = _sums(rows, target, features, None, 0.5, 1.0)
     return np.linalg.lstsq(a, b, rcond=None)[0]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,11 @@ from .. import config as C
 from ..functions import encode as E
 from ..functions import textops
 from ..operators import assortment, potential, priority, quality, ranking, rollup, segments, skustats, space
-from ..sources import files
+from ..sources import files, sinks
+from ..streaming.inbox import inbox
 from . import adapter as A
+from . import batch
+from .lineage import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,9 +79,7 @@ PRODUCT_SQL = "BRND_NM, SUB_BRND_NM, FLVR_NM, PPG_DESC"
 @query(f"{A.WITH} SELECT OUTLET_UID_EDITED, \"Top City\" AS city, VPO FROM outlets")
 def scan_csv_outlets(spark: SparkSession, d: str) -> DataFrame:
     """The outlets written as CSV and read back through the source."""
-    from .lineage import shared_dir
-
-    path = f"{shared_dir(spark)}/storelens/csv-{abs(hash(d)) % 10**9}"
+    path = folder(spark, "csv")
     A.outlets(spark, d).select("OUTLET_UID_EDITED", F.col("Top City").alias(" city "), "VPO").write.mode("overwrite").option("header", True).csv(path)
     return files.outlets(spark, path).select("OUTLET_UID_EDITED", "city", F.col("VPO").cast("double").alias("VPO"))
 
@@ -799,3 +801,68 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 query(f"{WITH_TIERS} SELECT priority_bucket, count(*) AS n, {dec('VPO', 2)} AS avg_vpo FROM tiers GROUP BY 1", "tier_distribution")(flagship)
+
+
+# Files and streams: results written and read back
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/storelens/{name}-{uuid.uuid4().hex}"
+
+
+SEGMENT_COLUMNS = ["OUTLET_UID_EDITED", "cluster", "segment_label"]
+
+
+@query(f"{WITH_SCORED} SELECT OUTLET_UID_EDITED, cluster, segment_label FROM scored")
+def sink_all_segments(spark: SparkSession, d: str) -> DataFrame:
+    path = folder(spark, "all")
+    sinks.all_segments(scored(spark, d).select(*SEGMENT_COLUMNS), path)
+    return files.read(spark, path, schema="OUTLET_UID_EDITED string, cluster int, segment_label string")
+
+
+@query(f"{WITH_SCORED} SELECT 'segment_' || cluster || '_' || segment_label AS segment, count(*) AS n FROM scored GROUP BY 1")
+def sink_per_segment(spark: SparkSession, d: str) -> DataFrame:
+    path = folder(spark, "each")
+    sinks.per_segment(scored(spark, d).select(*SEGMENT_COLUMNS), path, "parquet")
+    return spark.read.parquet(path).groupBy("segment").agg(F.count("*").alias("n"))
+
+
+@query(f"{WITH_TIERS} SELECT priority_bucket, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM tiers GROUP BY 1")
+def sink_report_tables(spark: SparkSession, d: str) -> DataFrame:
+    path = folder(spark, "report")
+    sinks.report_tables({"tiers": priority.shares(tiers(spark, d), "priority_bucket")}, path, "1")
+    return spark.read.parquet(f"{path}/1/tiers")
+
+
+@query("SELECT CAST(n_nationkey AS STRING) AS n_nationkey, n_name FROM nation")
+def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    path = folder(spark, "snapshots")
+    for name, rows in (("old", A.read(spark, d, "region").selectExpr("r_regionkey AS n_nationkey", "r_name AS n_name")), ("new", A.read(spark, d, "nation").select("n_nationkey", "n_name"))):
+        rows.coalesce(1).write.option("header", True).csv(f"{path}/{name}")
+    return files.latest(spark, path, "part-*.csv")
+
+
+def streamed(spark: SparkSession, d: str, archive: bool) -> DataFrame:
+    path = folder(spark, "inbox")
+    rows = A.read(spark, d, "events").select("event_id", "event_type", "value")
+    rows.repartition(3, "event_id").write.option("header", True).csv(f"{path}/in")
+    run = lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/out/{batch}")
+    inbox(spark, f"{path}/in", rows.schema, f"{path}/check", run, archive=f"{path}/done" if archive else None, once=True).awaitTermination()
+    out = spark.read.option("recursiveFileLookup", True).schema(rows.schema).parquet(f"{path}/out")
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
+def inbox_batch(spark: SparkSession, d: str) -> DataFrame:
+    return streamed(spark, d, False)
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
+def inbox_stream(spark: SparkSession, d: str) -> DataFrame:
+    return streamed(spark, d, True)
+
+
+@query()
+def full_run(spark: SparkSession, d: str) -> DataFrame:
+    """The whole batch over outlets and sales; its must-stock lists."""
+    return batch.run(A.outlets(spark, d), A.sales(spark, d), ["income", "AVG_SKU", "ACTIVE_MONTHS"])["must_stock"].select("bucket", "product", "rank", "sku_type")

@@ -22,7 +22,7 @@ def null_tokens(df: DataFrame, tokens: tuple[str, ...] = NULL_TOKENS) -> DataFra
     return df.select(*[F.when(~F.col(f"`{c}`").isin(*tokens), F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`") for c in df.columns])
 
 
-def read(spark: SparkSession, path: str, format: str = "csv", schema: T.StructType | None = None) -> DataFrame:  # noqa: A002
+def read(spark: SparkSession, path: str, format: str = "csv", schema: T.StructType | str | None = None) -> DataFrame:  # noqa: A002
     """A CSV (with a header, quoted line breaks), Parquet or JSON table. CSV columns are text unless a schema is given, so ids keep leading zeros."""
     reader = spark.read.schema(schema) if schema else spark.read
     if format == "csv":
