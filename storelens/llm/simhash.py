@@ -268,25 +268,24 @@ def similar_texts(
     within = texts.join(prints, "fp").where("digest <> lead").select(F.col("digest").alias("x"), F.col("lead").alias("y"))
     pairs = keep(across.union(within).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_hashes(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], ["digest", "grams"])
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
         for b in batches:
             good = []
-            for p, q in zip(b.column(2), b.column(3)):
-                p, q = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(same >= least * (len(p) + len(q) - same))
+            for y, p, q in zip(b.column(1), b.column(2), b.column(3)):
+                if y.as_py() != last[0]:  # rows come in the order of y
+                    last = y.as_py(), shingle_hashes(q.as_py(), words)
+                own = shingle_hashes(p.as_py(), words)
+                same = len(np.intersect1d(own, last[1], assume_unique=True))
+                good.append(same >= least * (len(own) + len(last[1]) - same))
             at = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["x", "y"])
 
     wanted = pairs.select(F.col("x").alias("digest")).union(pairs.select("y")).distinct()
     lead_of = texts.join(wanted, "digest").select(F.col("digest").alias("d"), F.col("least").alias("l"))
     named = whole.join(lead_of, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("l")), "left_semi")
-    grams = keep(named.select("digest", "text").mapInArrow(sets, "digest binary, grams binary").dropDuplicates(["digest"]), "grams")
-    both = pairs.join(grams.toDF("x", "p"), "x").join(grams.toDF("y", "q"), "y").select("x", "y", "p", "q")
+    held = keep(named.select("digest", "text").dropDuplicates(["digest"]), "held")
+    both = pairs.join(held.toDF("x", "p"), "x").join(held.toDF("y", "q"), "y").select("x", "y", "p", "q")
     edges = both.mapInArrow(verify, "x binary, y binary")
     number = F.xxhash64  # nodes of the graph are texts; 64 bits of their digest name them
     group = components(edges.select(number("x").alias("a"), number("y").alias("b")))
