@@ -242,11 +242,11 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 
 
 def similar_texts(
-    docs: DataFrame, least: float = 0.8, words: int = 5, radius: int = 16, print_words: int = 2, tables: int = 24, depths: tuple[int, ...] = (14, 20, 28, 40, 52), node_limit: int = 512, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, least: float = 0.8, words: int = 5, radius: int = 12, print_words: int = 2, tables: int = 24, depths: tuple[int, ...] = (14, 20, 28, 40, 52), node_limit: int = 512, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """docs -> doc_id, digest (of the text), group: documents of equal texts, or linked by word-shingle sets at or over `least` similarity (Jaccard).
 
-    At such a similarity fingerprints may differ in a quarter of their bits, more than blocks can guarantee
+    At such a similarity fingerprints may differ in a dozen of their bits, more than blocks can guarantee
     to find; so the upper nodes here are `tables` draws of bits, a pair that is found in none of them is
     missed, and every pair found is verified on whole texts. Nodes over `node_limit` are split by further
     bits. Null and empty texts are equal texts, and all texts without a word are alike. group is the smallest doc_id. Repeated rows stay.
