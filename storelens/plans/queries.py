@@ -339,10 +339,18 @@ def ready(spark: SparkSession, d: str) -> DataFrame:
     })
 
 
-@query()
+MATRIX_SQL = f"""{WITH_TIERS}, x AS (SELECT OUTLET_UID_EDITED, income::DOUBLE AS income, AVG_SKU::DOUBLE AS AVG_SKU, ACTIVE_MONTHS::DOUBLE AS ACTIVE_MONTHS,
+ CASE lower(trim(estmtd_daily_footfall_tag)) WHEN 'low (<30)' THEN 15.0 WHEN 'low' THEN 15.0 WHEN 'medium' THEN 65.0 WHEN 'high' THEN 150.0 END::DOUBLE AS estmtd_daily_footfall_numeric,
+ CASE lower(trim(cooler_available)) WHEN 'yes' THEN 1.0 WHEN 'no' THEN 0.0 END::DOUBLE AS cooler_available_bin, CASE lower(trim(BI)) WHEN 'yes' THEN 1.0 WHEN 'no' THEN 0.0 END::DOUBLE AS BI_bin,
+ CASE WHEN lower(trim(store_format)) = 'mt' THEN 1.0 ELSE 0.0 END::DOUBLE AS is_modern_trade, CASE WHEN lower(trim(sector)) = 'urban' THEN 1.0 ELSE 0.0 END::DOUBLE AS is_urban FROM tiers),
+ f AS (SELECT OUTLET_UID_EDITED, {", ".join(f"coalesce({c}, (SELECT median({c}) FROM x)) AS {c}" for c in FEATURES)} FROM x)
+ SELECT OUTLET_UID_EDITED, {", ".join(f"round_even(({c} - (SELECT avg({c}) FROM f)) / (SELECT stddev_pop({c}) FROM f), 4) AS z_{c}" for c in FEATURES)} FROM f"""
+
+
+@query(MATRIX_SQL)
 def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
     out, names = priority.standardised(ready(spark, d), FEATURES)
-    return out.select("OUTLET_UID_EDITED", *[F.bround(n, 6).alias(n) for n in names])
+    return out.select("OUTLET_UID_EDITED", *[F.bround(n, 4).alias(n) for n in names])
 
 
 def modelled(spark: SparkSession, d: str, ols: bool = False) -> DataFrame:
@@ -603,6 +611,29 @@ def racks(spark: SparkSession) -> DataFrame:
     return space.rack_specs(spark.createDataFrame(RACKS, "Parameter string, `Rack A` string, `Rack B` string"))
 
 
+def brand_racks(spark: SparkSession, d: str) -> DataFrame:
+    """A rack for each brand, its cells written from the brand's parts."""
+    cells = A.read(spark, d, "part").groupBy("p_brand").agg(F.max("p_size").alias("m"), F.min("p_size").alias("l"), F.count("*").alias("n"))
+    rows = {"Rack height": "concat('1,', 500 + m, ' mm (63\")')", "Width": "concat(600 + n % 300, '.5mm')", "Depth": "concat(300 + l, '')", "Tiers": "CASE WHEN n % 2 = 0 THEN concat(3, '-', 5 + l % 2) ELSE 'none' END"}
+    long = cells.select("p_brand", F.inline(F.array(*[F.struct(F.lit(k).alias("Parameter"), F.expr(e).alias("cell")) for k, e in rows.items()])))
+    brands = sorted(r.p_brand for r in cells.select("p_brand").collect())  # as many as there are racks
+    return space.rack_specs(long.groupBy("Parameter").pivot("p_brand", brands).agg(F.first("cell")))
+
+
+BRAND_RACKS_SQL = """racks AS (SELECT p_brand AS rack, CAST(row_number() OVER (ORDER BY p_brand) - 1 AS INT) AS position, 1500.0::DOUBLE + max(p_size) AS height_mm, 600.5::DOUBLE + count(*) % 300 AS width_mm, 300.0::DOUBLE + min(p_size) AS depth_mm,
+ CAST(CASE WHEN count(*) % 2 = 0 THEN round_even((8 + min(p_size) % 2) / 2.0, 0) ELSE 3 END AS INT) AS n_shelves FROM part GROUP BY 1)"""
+
+
+@query(f"WITH {BRAND_RACKS_SQL} SELECT *, round_even(width_mm * 0.95, 4) AS usable_width_mm, round_even(height_mm / n_shelves * 0.95, 4) AS shelf_height_mm FROM racks")
+def scan_rack_specs(spark: SparkSession, d: str) -> DataFrame:
+    return brand_racks(spark, d).withColumns({c: F.bround(c, 4) for c in ("usable_width_mm", "shelf_height_mm")})
+
+
+@query(f"WITH {BRAND_RACKS_SQL} SELECT rack, height_mm FROM racks WHERE position = 0")
+def rack_pick(spark: SparkSession, d: str) -> DataFrame:
+    return space.first_rack(brand_racks(spark, d)).select("rack", "height_mm")
+
+
 def faced(spark: SparkSession, d: str) -> DataFrame:
     rows = space.selected_or_all(space.msl_fields(assortment.heroes(listed(spark, d))))
     return space.facings(space.with_packs(rows, dims(spark, d)), space.first_rack(racks(spark)))
