@@ -1,10 +1,11 @@
-"""Substring dedup by units: lines or paragraphs, or sentences within lines.
+"""Substring dedup by units: lines or paragraphs, or phrases within lines.
 
 Each text is cut into units, which are normalised (lower-case words, single spaces) and named by a 128-bit
 digest. Digests are grouped over all documents; the earliest occurrence by (doc_id, row, place) stays, and the
 others are marked. A run of marked units that touch is removed if it has `least_words` words or more; offsets
 are those of the original text, in code points. A repeated passage seldom fills whole lines, so the default unit
-is the sentence: each passage of some sentences holds whole ones.
+is the phrase: a line cut after each word whose hash is a multiple of CUT (and in runs of one word after every
+eighth), so that equal stretches are cut alike wherever they stand, and most of a passage is whole units.
 """
 
 from __future__ import annotations
@@ -21,14 +22,46 @@ from .common import keep
 
 WORD = re.compile(r"\w+")
 UNITS = {
-    "sentence": re.compile(r"[^.!?\n]+[.!?]*"),
     "line": re.compile(r"[^\n]+"),
     "paragraph": re.compile(r"[^\n]+(?:\n[^\n]+)*"),
 }
-
-
-def units_of(text: str, unit: str) -> Iterator[tuple[int, int, int, str]]:
+CUT, SAME = 8, 8
+REMEMBERED = 200_000
+
+
+def cuts_after(word: str, known: dict[str, bool]) -> bool:
+    found = known.get(word)
+    if found is None:
+        if len(known) > REMEMBERED:
+            known.clear()
+        found = known[word] = xxhash.xxh32_intdigest(word) % CUT == 0
+    return found
+
+
+def phrases(text: str, known: dict[str, bool]) -> Iterator[tuple[int, int, int, str]]:
+    """(start, end, number of words, normalised) of each phrase."""
+    for line in UNITS["line"].finditer(text):
+        own: list[str] = []
+        start, end, same = 0, 0, 0
+        for m in WORD.finditer(text, line.start(), line.end()):
+            w = m.group().lower()
+            if not own:
+                start, same = m.start(), 0
+            same = same + 1 if own and own[-1] == w else 1
+            own.append(w)
+            end = m.end()
+            if same == SAME or cuts_after(w, known):
+                yield start, end, len(own), " ".join(own)
+                own = []
+        if own:
+            yield start, end, len(own), " ".join(own)
+
+
+def units_of(text: str, unit: str, known: dict[str, bool]) -> Iterator[tuple[int, int, int, str]]:
     """(start, end, number of words, normalised) of each unit with a word, without the white space around it."""
+    if unit == "phrase":
+        yield from phrases(text, known)
+        return
     for m in UNITS[unit].finditer(text):
         what = m.group()
         if words := WORD.findall(what.lower()):
@@ -46,6 +79,7 @@ FIELDS = [("doc_id", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("
 def units(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list] = [[] for _ in FIELDS]
+        known: dict[str, bool] = {}
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, FIELDS)], [n for n, _ in FIELDS])
@@ -55,7 +89,7 @@ def units(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
 
         for b in batches:
             for d, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for k, (start, end, n, plain) in enumerate(units_of(t.as_py() or "", unit)):
+                for k, (start, end, n, plain) in enumerate(units_of(t.as_py() or "", unit, known)):
                     digest = xxhash.xxh3_128_intdigest(plain)
                     for c, x in zip(columns, (d, r, k, start, end, n, signed(digest >> 64), signed(digest & ((1 << 64) - 1)))):
                         c.append(x)
@@ -67,7 +101,7 @@ def units(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, place int, start int, end int, words int, h long, g long")
 
 
-def repeats(docs: DataFrame, unit: str = "sentence", least_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, unit: str = "phrase", least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, row, start, end, n_words, first_doc_id, first_start: one row for each removed run.
 
     first_*: the earliest occurrence of the run's first unit. Null ids rank first. Null and empty texts have no

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 
 from storelens.llm import bpe, decontam, passages, pii, secrets, toxicity
 
@@ -22,15 +23,22 @@ def key(x):
 # Unit dedup
 
 
-def brute_repeats(rows, least=8):
+def brute_repeats(rows, least=20):
     first, units, out = {}, {}, []
     order = sorted(range(len(rows)), key=lambda k: (key(rows[k][0]), k))
     for k in order:
-        for m in re.finditer(r"[^.!?\n]+[.!?]*", rows[k][1] or ""):
-            if words := re.findall(r"\w+", m[0].lower()):
-                start = m.start() + len(m[0]) - len(m[0].lstrip())
-                units.setdefault(k, []).append((start, m.start() + len(m[0].rstrip()), len(words), " ".join(words)))
-                first.setdefault(" ".join(words), (k, start))
+        at = 0
+        for line in (rows[k][1] or "").split("\n"):
+            found = [(m.start() + at, m.end() + at, m[0].lower()) for m in re.finditer(r"\w+", line)]
+            part = []
+            for n, x in enumerate(found):
+                part.append(x)
+                run = len(part) >= 8 and len({w for *_, w in part[-8:]}) == 1 and (len(part) == 8 or part[-9][2] != x[2])
+                if run or xxhash.xxh32_intdigest(x[2]) % 8 == 0 or n == len(found) - 1:
+                    units.setdefault(k, []).append((part[0][0], x[1], len(part), " ".join(w for *_, w in part)))
+                    first.setdefault(units[k][-1][3], (k, part[0][0]))
+                    part = []
+            at += len(line) + 1
     for k, own in units.items():
         run = None
         for start, end, n, what in [*own, (0, 0, 0, None)]:
@@ -45,13 +53,13 @@ def brute_repeats(rows, least=8):
 
 def test_repeated_units(spark, make, odd, words):
     shared = " ".join(words(30, 1)) + ". " + " ".join(words(30, 2)) + "."
-    rows = [*odd, (20, "Start here. " + shared + " End."), (21, "Other.\n  " + shared.upper() + " tail"), (22, shared + " " + shared), (23, "short one. short one.")]
+    rows = [*odd, (20, "Start here. " + shared + " End."), (21, "Other.\n  " + shared.upper() + " tail"), (22, shared + " " + shared), (23, "the " * 50), (24, "some the " + "the " * 70)]
     got = passages.repeats(make(rows)).collect()
     mine = Counter((r.doc_id, r.start, r.end, r.n_words, r.first_doc_id, r.first_start) for r in got)
-    assert mine == brute_repeats(rows) and any(r.doc_id == 21 and r.first_doc_id == 20 for r in got)
+    assert mine == brute_repeats(rows) and any(r.doc_id == 21 and r.first_doc_id == 20 and r.n_words >= 40 for r in got)
     assert passages.repeats(make([])).count() == 0
     lines = make([(1, "a line of some words here now\nx"), (2, "y\nA line of some words here now")])
-    assert [tuple(r)[0::2] for r in passages.repeats(lines, "line", 5).drop("row").collect()] == [(2, 31, 1)]
+    assert [(r.doc_id, r.start, r.end, r.n_words, r.first_doc_id) for r in passages.repeats(lines, "line", 5).collect()] == [(2, 2, 31, 7, 1)]
 
 
 # Decontamination
