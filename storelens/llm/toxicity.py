@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,10 +65,9 @@ class Words:
     """Distinct words as rows of feature places."""
 
     def __init__(self, words: list[str]):
-        found = [features(w) for w in words]
-        self.count = np.array([len(f) for f in found])
-        self.place = np.fromiter((p for f in found for p in f), np.int64, int(self.count.sum()))
-        self.word = np.repeat(np.arange(len(words)), self.count)
+        self.count = np.array([1 + max(0, min(len(w), 7) - 2) for w in words], np.int64)
+        self.place = np.fromiter((p for w in words for p in features(w)), np.int32, int(self.count.sum()))
+        self.word = np.repeat(np.arange(len(words), dtype=np.int32), self.count)
 
     def sums(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.word, weights[self.place], len(self.count))
@@ -76,31 +76,29 @@ class Words:
         return np.bincount(self.place, per_word[self.word], 1 << BITS)
 
 
-def learn(texts: list[list[str]], labels: np.ndarray, share: np.ndarray, pairs: list[tuple[list[str], list[str]]], lasso: float | None = None, ridge: float = 1e-5, swap_weight: float = 1.0, rounds: int = 150, rate: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias by proximal Adam; texts are lists of distinct words, share weights the rows, pairs are swaps.
+def learn(doc: np.ndarray, word: np.ndarray, vocabulary: list[str], labels: np.ndarray, share: np.ndarray, pairs: list[tuple[list[str], list[str]]], lasso: float | None = None, ridge: float = 1e-5, swap_weight: float = 1.0, rounds: int = 150, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias by proximal Adam. doc and word: a text's place and a distinct word's place in the vocabulary, side by side; share weights the texts, pairs are swaps.
 
     lasso: by default it falls with the root of the number of texts, as the noise of a feature's weight does, to 1e-4.
     """
-    lasso = max(1e-4, 7e-3 / math.sqrt(max(1, len(texts)))) if lasso is None else lasso
-    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for t in (*texts, *(x for p in pairs for x in p)) for w in t))}
-    own = Words(list(vocabulary))
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    word = np.fromiter((vocabulary[w] for t in texts for w in t), np.int64, len(doc))
+    lasso = max(1e-4, 7e-3 / math.sqrt(max(1, len(labels)))) if lasso is None else lasso
+    n, place = len(labels), {w: k for k, w in enumerate(dict.fromkeys([*vocabulary, *(w for a, b in pairs for w in (*a, *b))]))}
+    own = Words(list(place))
     pair = np.repeat(np.arange(len(pairs)), [len(a) + len(b) for a, b in pairs])
-    pair_word = np.fromiter((vocabulary[w] for a, b in pairs for w in (*a, *b)), np.int64, len(pair))
+    pair_word = np.fromiter((place[w] for a, b in pairs for w in (*a, *b)), np.int64, len(pair))
     pair_sign = np.fromiter((s for a, b in pairs for s in (1.0,) * len(a) + (-1.0,) * len(b)), float, len(pair))
-    often = own.back(np.bincount(word, minlength=len(vocabulary)).astype(float)) >= 5
+    often = own.back(np.bincount(word, minlength=len(place)).astype(float)) >= 5
     w, b = np.zeros(1 << BITS), float(np.log((share * labels).sum() / max(1e-9, (share * (1 - labels)).sum())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     share = share / share.sum()
     for r in range(1, rounds + 1):
         per_word = own.sums(w)
-        z = np.bincount(doc, per_word[word], len(texts)) + b
+        z = np.bincount(doc, per_word[word], n) + b
         miss = share * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        grad = own.back(np.bincount(word, miss[doc], len(vocabulary)))
+        grad = own.back(np.bincount(word, miss[doc], len(place)))
         if len(pairs):
             change = np.bincount(pair, pair_sign * per_word[pair_word], len(pairs))
-            grad += own.back(np.bincount(pair_word, 2 * swap_weight * pair_sign * change[pair] / len(pairs), len(vocabulary)))
+            grad += own.back(np.bincount(pair_word, 2 * swap_weight * pair_sign * change[pair] / len(pairs), len(place)))
         grad = (grad + ridge * w) * often
         m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad, 0.9 * mb + 0.1 * miss.sum(), 0.999 * vb + 0.001 * miss.sum() ** 2
         scale = rate / (np.sqrt(v / (1 - 0.999**r)) + 1e-4)
@@ -135,10 +133,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, groups: dic
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("y", "text")  # drawn: 4 * per_class rows at most
     found = texts.mapInArrow(read, "y int, words array<string>, pairs array<string>").toArrow()
     y = found.column("y").to_numpy().astype(float)
-    held = {c: max(1, int((y == c).sum())) for c in (0, 1)}
+    held = {c: int((y == c).sum()) for c in (0, 1)}
+    if not held[0] or not held[1]:  # labels of documents that aren't here
+        return np.zeros(1 << BITS), 20.0 * (1 if held[1] else -1) if len(y) else -1.0
     weights = np.where(y == 1, count[1] / held[1], count[0] / held[0])
     pairs = [([a], [b]) for p in found.column("pairs").to_pylist() for a, b in map(str.split, p)]
-    return learn(found.column("words").to_pylist(), y, weights, pairs, **options)
+    lists = found.column("words").combine_chunks()
+    coded = lists.flatten().dictionary_encode()  # each word is held once
+    doc = np.repeat(np.arange(len(y)), pc.list_value_length(lists).to_numpy())
+    return learn(doc, coded.indices.to_numpy(), coded.dictionary.to_pylist(), y, weights, pairs, **options)
 
 
 def scorer(model: tuple[np.ndarray, float]):  # noqa: ANN201

@@ -250,3 +250,10 @@ def test_terms_that_disclose_go_and_common_ones_stay(make, words):
     out = {r.doc_id: r for r in pii.sanitise(docs).collect()}
     assert "zorblatt00 quimby [EMAIL] soon" in out[0].text and out[100].text == text[100] and out[500].text is None and out[0].digest == "x"
     assert pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == len(rows)
+
+
+def test_toxicity_labels_without_documents(spark, make):
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    for rows in ([(9, "x")], [(1, "only one label")]):
+        docs = make(rows)
+        assert all(r.score < 0.3 for r in toxicity.score(docs, toxicity.train(docs, labels)).collect())
