@@ -192,46 +192,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def masks(tables: int, bits: int, seed: int = 11) -> list[int]:
-    """For each table the same order of bits at every depth, of which the first `bits` are its nodes' pattern."""
-    return [sum(1 << int(b) for b in np.random.default_rng(seed + t).permutation(64)[:bits]) for t in range(tables)]
-
-
-def nearest_in_nodes(fps: DataFrame, radius: int, tables: int, depths: tuple[int, ...], node_limit: int) -> DataFrame:
-    """fp (distinct) -> a, b: each fingerprint with the nearest other within the radius, in its node of each table."""
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for group in batch.column(0):
-                own, i, j = near_pairs(np.array(group.values, np.int64).view(np.uint64), radius)
-                i, j = np.concatenate([i, j]), np.concatenate([j, i])
-                far = np.bitwise_count(own[i] ^ own[j])
-                order = np.lexsort((j, far, i))
-                first = order[np.unique(i[order], return_index=True)[1]]
-                x, y = own[i[first]].view(np.int64), own[j[first]].view(np.int64)
-                a.append(np.minimum(x, y))
-                b.append(np.maximum(x, y))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (a, b)], ["a", "b"])
-
-    found, level = [], fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("path"))
-    for depth in depths:
-        own = F.array(*[F.lit(signed(m)) for m in masks(tables, depth)])
-        nodes = level.withColumn("pattern", F.col("fp").bitwiseAND(F.get(own, F.col("path"))))
-        sizes = nodes.groupBy("path", "pattern").count().where("count > 1")
-        last = depth == depths[-1]
-        small = sizes if last else sizes.where(F.col("count") <= node_limit)
-        groups = nodes.join(small.select("path", "pattern"), ["path", "pattern"], "left_semi").groupBy("path", "pattern").agg(F.collect_list("fp").alias("fps"))
-        found.append(keep(groups.select("fps").mapInArrow(search, "a long, b long").distinct(), "near"))
-        if last:
-            break
-        level = keep(nodes.join(sizes.where(F.col("count") > node_limit).select("path", "pattern"), ["path", "pattern"], "left_semi").select("fp", "path"), "large-nodes")
-        if level.isEmpty():
-            break
-    out = found[0]
-    for x in found[1:]:
-        out = out.union(x)
-    return out.distinct()
+#: Bits of a text's parity map, places of the table of common shingles, and the rows of a sample that fill it.
+PARITY, PLACES, SAMPLE = 512, 22, 20_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -241,32 +203,97 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
 
 
-def similar_texts(
-    docs: DataFrame, least: float = 0.8, words: int = 5, radius: int = 12, print_words: int = 2, tables: int = 24, depths: tuple[int, ...] = (14, 20, 28, 40, 52), node_limit: int = 512, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def common_shingles(texts: DataFrame, words: int) -> bytes:
+    """How common shingles are in a sample, a byte for each of 2**PLACES places: it orders shingles, and so sets the time of a search, not its result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << PLACES, np.int32)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(counts, (shingle_hashes(t.as_py(), words) >> np.uint64(64 - PLACES)).astype(np.int64), 1)
+        at = np.flatnonzero(counts)
+        for lo in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 100_000], pa.int32()), pa.array(counts[at[lo : lo + 100_000]], pa.int32())], ["place", "n"])
+
+    picked = texts.sample(min(1.0, SAMPLE / max(1, texts.count())), seed=11)
+    found = picked.select("text").mapInArrow(run, "place int, n int").groupBy("place").agg(F.sum("n").alias("n")).where("n > 3").toArrow()
+    levels = np.zeros(1 << PLACES, np.uint8)
+    levels[found.column("place").to_numpy()] = np.minimum(255, 8 * np.log2(found.column("n").to_numpy().astype(np.float64)))
+    return levels.tobytes()
+
+
+def prefix(hashes: np.ndarray, levels: np.ndarray, least: float) -> np.ndarray:
+    """The rarest shingles of a text, so many that two texts at `least` similarity have one of them in common. A text without a word has 0."""
+    if not len(hashes):
+        return np.zeros(1, np.uint64)
+    n = len(hashes) - int(np.ceil(least * len(hashes) - 1e-9)) + 1
+    return hashes[np.lexsort((hashes, levels[(hashes >> np.uint64(64 - PLACES)).astype(np.int64)]))[:n]]
+
+
+def parity(hashes: np.ndarray) -> bytes:
+    """Two sets differ in at least as many shingles as their maps differ in bits."""
+    return np.packbits(np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+
+
+def may_link(n: np.ndarray, m: np.ndarray, far: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets of n and m shingles, that differ in `far` or more, can be at `least` similarity. Exact: never false for a pair that is."""
+    return np.maximum(far, np.abs(n - m)) <= (n + m) * (1 - least) / (1 + least) + 1e-6
+
+
+def cross_pairs(ids: np.ndarray, group: np.ndarray, n: np.ndarray, maps: np.ndarray, block: np.ndarray, apart: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """ids of all pairs in different groups that may link; `apart`: only between different blocks."""
+    x, y = [], []
+    for k in range(len(ids) - 1):
+        r = np.flatnonzero((group[k + 1 :] != group[k]) & ((block[k + 1 :] != block[k]) | (not apart))) + k + 1
+        r = r[may_link(n[k], n[r], 0, least)]
+        r = r[may_link(n[k], n[r], np.bitwise_count(maps[r] ^ maps[k]).sum(axis=1, dtype=np.int64), least)]
+        x.append(np.minimum(ids[k], ids[r]))
+        y.append(np.maximum(ids[k], ids[r]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *x]), np.concatenate([none, *y])
+
+
+def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: int = 2, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, digest (of the text), group: documents of equal texts, or linked by word-shingle sets at or over `least` similarity (Jaccard).
 
-    At such a similarity fingerprints may differ in a dozen of their bits, more than blocks can guarantee
-    to find; so the upper nodes here are `tables` draws of bits, a pair that is found in none of them is
-    missed, and every pair found is verified on whole texts. Nodes over `node_limit` are split by further
-    bits. Null and empty texts are equal texts, and all texts without a word are alike. group is the smallest doc_id. Repeated rows stay.
+    At such a similarity fingerprints may differ in a dozen of their bits, more than blocks can guarantee to find;
+    so texts are looked up by shingles: two texts at `least` have one of their rarest shingles (`prefix`) in
+    common, at any number of rows. The texts with one such shingle are a bucket. In `pivots` rounds each is
+    compared with one of its bucket, which links most of a large group; then all pairs of a bucket that are
+    not linked yet are compared, those of a large bucket by pairs of blocks of about `block` texts. A pair is dropped
+    unverified only if the sets' sizes or parity maps prove it under `least`; the rest are verified on whole
+    texts. No link is lost. Null and empty texts are equal texts, and all texts without a word are alike. group
+    is the smallest doc_id. Repeated rows stay.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    held_levels = docs.sparkSession.sparkContext.broadcast(common_shingles(docs.select(text.alias("text")), words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(held_levels.value, np.uint8)
+        for b in batches:
+            sizes, maps, rare = [], [], []
+            for t in b.column(2):
+                own = shingle_hashes(t.as_py(), words)
+                sizes.append(len(own))
+                maps.append(parity(own))
+                rare.append(prefix(own, levels, least).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "map", "rare"])
+
+    rows = keep(whole.mapInArrow(run, "doc_id long, digest binary, n int, map binary, rare array<long>"), "shingles")
+    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "map", "rare")])
+    texts = keep(texts.withColumn("id", F.xxhash64("digest")), "texts")  # nodes of the graph are texts; 64 bits of their digest name them
+    facts = texts.select("id", "n", "map")
+    tokens = texts.select("id", F.explode("rare").alias("s"))
+    shared = keep(tokens.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "shared")
+    members = keep(tokens.join(shared, "s"), "members")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), print_words) for t in b.column(2)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps)], ["doc_id", "digest", "fp"])
-
-    rows = keep(whole.mapInArrow(run, "doc_id long, digest binary, fp long"), "prints")
-    texts = keep(rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp")), "texts")
-    prints = keep(texts.groupBy("fp").agg(F.min_by("digest", "digest").alias("lead")), "distinct")
-    near = nearest_in_nodes(prints.select("fp"), radius, tables, depths, node_limit)
-    lead = lambda c: prints.select(F.col("fp").alias(c), F.col("lead").alias(f"lead_{c}"))
-    across = texts.select("fp", "digest").join(near.union(near.select("b", "a")).toDF("fp", "b"), "fp").join(lead("b"), "b").select(F.col("digest").alias("x"), F.col("lead_b").alias("y"))
-    within = texts.join(prints, "fp").where("digest <> lead").select(F.col("digest").alias("x"), F.col("lead").alias("y"))
-    pairs = keep(across.union(within).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
+            n, m = (b.column(k).to_numpy().astype(np.int64) for k in (2, 4))
+            p, q = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(len(n), -1) for k in (3, 5))
+            at = pa.array(np.flatnonzero(may_link(n, m, np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64), least)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["x", "y"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -281,15 +308,53 @@ def similar_texts(
             at = pa.array(np.flatnonzero(good))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["x", "y"])
 
-    wanted = pairs.select(F.col("x").alias("digest")).union(pairs.select("y")).distinct()
-    lead_of = texts.join(wanted, "digest").select(F.col("digest").alias("d"), F.col("least").alias("l"))
-    named = whole.join(lead_of, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("l")), "left_semi")
-    held = keep(named.select("digest", "text").dropDuplicates(["digest"]), "held")
-    both = pairs.join(held.toDF("x", "p"), "x").join(held.toDF("y", "q"), "y").select("x", "y", "p", "q")
-    edges = both.mapInArrow(verify, "x binary, y binary")
-    number = F.xxhash64  # nodes of the graph are texts; 64 bits of their digest name them
-    group = components(edges.select(number("x").alias("a"), number("y").alias("b")))
-    of = keep(texts.join(group, number("digest") == F.col("v"), "left").select("digest", "least", F.coalesce("c", number("digest")).alias("c")), "of")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """x, y (ids) -> those at `least` or more."""
+        wanted = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+        lead = texts.join(wanted, "id").select(F.col("digest").alias("d"), F.col("least").alias("l"))
+        named = whole.join(lead, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("l")), "left_semi")
+        held = keep(named.select(F.xxhash64("digest").alias("id"), "text").dropDuplicates(["id"]), "held")
+        both = pairs.join(held.toDF("x", "p"), "x").join(held.toDF("y", "q"), "y").select("x", "y", "p", "q")
+        return keep(both.mapInArrow(verify, "x long, y long"), "similar")
+
+    def grouped(group: DataFrame | None) -> DataFrame:
+        """s, id, c of the buckets that hold more than one group."""
+        if group is None:
+            return members.withColumn("c", F.col("id"))
+        own = keep(members.join(group.select(F.col("v").alias("id"), "c"), "id", "left").select("s", "id", F.coalesce("c", "id").alias("c")), "grouped")
+        several = keep(own.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s"), "several")
+        return keep(own.join(several, "s"), "open")
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for apart, cell in zip(b.column(0).to_pylist(), b.column(1)):
+                v = cell.values
+                maps = np.frombuffer(b"".join(v.field("map").to_pylist()), np.uint64).reshape(len(v), -1)
+                x, y = cross_pairs(v.field("id").to_numpy(), v.field("c").to_numpy(), v.field("n").to_numpy().astype(np.int64), maps, v.field("part").to_numpy(), apart, least)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+
+    edges, tried, group = None, None, None
+    for k in range(pivots + 1):
+        own = grouped(group)
+        if k < pivots:
+            pivot = keep(own.groupBy("s").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), F.col("id").alias("y"), F.col("c").alias("d"))).alias("t")).select("s", "t.y", "t.d"), "pivots")
+            pairs = own.join(pivot, "s").where("c <> d").select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")).distinct()
+            pairs = keep(pairs, "pairs")
+            pairs = pairs.join(facts.toDF("x", "n", "p"), "x").join(facts.toDF("y", "m", "q"), "y").select("x", "y", "n", "p", "m", "q").mapInArrow(bound, "x long, y long")
+        else:
+            parts = keep(own.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "parts")
+            own = own.join(parts, "s").join(facts, "id").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
+            own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            cell = own.groupBy("s", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("id", "c", "n", "map", "part")).alias("of"))
+            pairs = cell.select((F.col("i") != F.col("j")).alias("apart"), "of").mapInArrow(cells, "x long, y long").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["x", "y"], "left_anti")
+        pairs = keep(pairs, "candidates")
+        tried = pairs if tried is None else tried.union(pairs)
+        more = verified(pairs)
+        edges = more if edges is None else edges.union(more)
+        group = components(edges.toDF("a", "b"))
+    of = keep(texts.join(group, F.col("id") == F.col("v"), "left").select("digest", "least", F.coalesce("c", "id").alias("c")), "of")
     named = of.groupBy("c").agg(F.min("least").alias("group"))
     return rows.select("doc_id", "digest").join(of.join(named, "c").select("digest", "group"), "digest")
 

@@ -100,6 +100,47 @@ def test_one_of_each_group_of_similar_texts_stays(make, words, odd):
     assert sorted(i for i in ids if i is not None and i < 100) == [1, 4, 5, 6, 8, 9, 10, 11] and ids.count(None) == 1
 
 
+def alike(x, y):
+    x, y = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (x, y))
+    return len(x & y) / len(x | y)
+
+
+def with_others(base, at, tag):
+    return [f"{tag}{k}" if k in at else w for k, w in enumerate(base)]
+
+
+def test_links_at_the_threshold_are_found_at_any_number_of_rows(make):
+    """Pairs just over 0.8 among many texts of one template: of pairs looked up by fingerprint bits some were lost, and more in larger tables."""
+    rng = random.Random(4)
+    for n in (200, 1000):
+        rows, want = [], set()
+        template = [f"t{k}" for k in range(100)]
+        for k in range(n):
+            own = [f"w{k}_{j}" for j in range(100)]
+            a = template + own
+            b = with_others(a, set(rng.sample(range(105, 195), 4)), f"o{k}_")
+            rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+            want |= {2 * k} | (set() if alike(a, b) >= 0.8 else {2 * k + 1})
+        assert {r.doc_id for r in simhash.keep_one(make(rows)).collect()} == want
+
+
+def test_bridges_between_groups_are_found(make):
+    """Two groups whose members are nearest in their own group, with one link between the groups, that no pivot makes."""
+    rows, base = [], [f"w{k}" for k in range(400)]
+    far = with_others(base, range(0, 45), "y")  # 0.79 or less to base, over 0.8 between the nearest of both groups
+    for k in range(30):
+        rows.append((k, " ".join(with_others(base, {60 + 11 * k}, "a"))))
+        rows.append((100 + k, " ".join(with_others(far, {60 + 11 * k}, "b"))))
+    bridge = " ".join(with_others(base, range(0, 22), "y"))
+    rows.append((50, bridge))
+    texts = [t.split() for _, t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if alike(texts[i], texts[j]) >= 0.8]
+    root = simhash.forest(len(rows), *(np.array(x) for x in zip(*linked)))
+    want = {min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root)}
+    for block, pivots in ((512, 2), (4, 0)):
+        assert {r.doc_id for r in simhash.keep_one(make(rows), block=block, pivots=pivots).collect()} == want
+
+
 def test_empty(make):
     assert simhash.near_duplicates(make([])).count() == 0
     assert simhash.keep_one(make([])).count() == 0
