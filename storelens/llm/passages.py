@@ -5,7 +5,8 @@ digest. Digests are grouped over all documents; the earliest occurrence by (doc_
 others are marked. A run of marked units that touch is removed if it has `least_words` words or more; offsets
 are those of the original text, in code points. A repeated passage seldom fills whole lines, so the default unit
 is the phrase: a line cut after each word whose hash is a multiple of CUT (and in runs of one word after every
-eighth), so that equal stretches are cut alike wherever they stand, and most of a passage is whole units.
+eighth), so that equal stretches are cut alike wherever they stand, and most of a passage is whole units. With
+`lines`, whole lines are units besides their phrases, and a line that stood before goes at any length.
 """
 
 from __future__ import annotations
@@ -76,7 +77,27 @@ def signed(x: int) -> int:
 FIELDS = [("doc_id", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("h", pa.int64()), ("g", pa.int64())]
 
 
-def units(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
+def with_lines(found: Iterator[tuple[int, int, int, str]], text: str) -> Iterator[tuple[int, int, int, int, str]]:
+    """(place, start, end, number of words, normalised) of phrases, and of each line after its phrases, with the place of its first and the number of words negative."""
+    breaks, own, at, first = UNITS["line"].finditer(text), [], -1, 0
+
+    def line() -> tuple[int, int, int, int, str]:
+        return first, own[0][0], own[-1][1], -sum(n for _, _, n, _ in own), "\n" + " ".join(plain for *_, plain in own)
+
+    for k, x in enumerate(found):
+        if x[0] >= at:
+            if own:
+                yield line()
+            own, first = [], k
+            while at <= x[0]:
+                at = next(breaks).end()
+        own.append(x)
+        yield k, *x
+    if own:
+        yield line()
+
+
+def units(docs: DataFrame, unit: str, id_col: str, text_col: str, lines: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list] = [[] for _ in FIELDS]
         known: dict[str, bool] = {}
@@ -89,7 +110,9 @@ def units(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
 
         for b in batches:
             for d, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for k, (start, end, n, plain) in enumerate(units_of(t.as_py() or "", unit, known)):
+                text = t.as_py() or ""
+                found = units_of(text, unit, known)
+                for k, start, end, n, plain in with_lines(found, text) if lines else ((k, *x) for k, x in enumerate(found)):
                     digest = xxhash.xxh3_128_intdigest(plain)
                     for c, x in zip(columns, (d, r, k, start, end, n, signed(digest >> 64), signed(digest & ((1 << 64) - 1)))):
                         c.append(x)
@@ -101,14 +124,47 @@ def units(docs: DataFrame, unit: str, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row long, place int, start int, end int, words int, h long, g long")
 
 
-def repeats(docs: DataFrame, unit: str = "phrase", least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed(us: list[dict], least_words: int) -> Iterator[tuple[int, int, int, int | None, int]]:
+    """start, end, words, d, s of the runs of one text: phrases that touch, of `least_words` or more, and within shorter ones the whole lines that touch."""
+    runs: list[list[dict]] = []
+    for u in sorted((u for u in us if u["words"] > 0), key=lambda u: u["place"]):
+        if runs and runs[-1][-1]["place"] == u["place"] - 1:
+            runs[-1].append(u)
+        else:
+            runs.append([u])
+    whole = sorted((u for u in us if u["words"] < 0), key=lambda u: u["place"])  # each within one run, as all its phrases stood before
+    k = 0
+    for run in runs:
+        mine = []
+        while k < len(whole) and whole[k]["place"] <= run[-1]["place"]:
+            mine.append(whole[k])
+            k += 1
+        n = sum(u["words"] for u in run)
+        if n >= least_words:
+            yield run[0]["start"], run[-1]["end"], n, run[0]["d"], run[0]["s"]
+            continue
+        last: tuple | None = None
+        for line in mine:
+            after = line["place"] + sum(line["start"] <= u["start"] < line["end"] for u in run)  # the place that follows the line
+            if last and last[0] == line["place"]:
+                last = after, last[1], line["end"], last[3] - line["words"], last[4], last[5]
+            else:
+                if last:
+                    yield last[1:]
+                last = after, line["start"], line["end"], -line["words"], line["d"], line["s"]
+        if last:
+            yield last[1:]
+
+
+def repeats(docs: DataFrame, unit: str = "phrase", least_words: int = 20, id_col: str = "doc_id", text_col: str = "text", lines: bool = False) -> DataFrame:
     """docs -> doc_id, row, start, end, n_words, first_doc_id, first_start: one row for each removed run.
 
-    first_*: the earliest occurrence of the run's first unit. Null ids rank first. Null and empty texts have no
+    first_*: the earliest occurrence of the run's first unit. With `lines` (for phrases) a whole line that stood
+    before as a line goes whatever its length, and `least_words` is for parts of lines only. Null ids rank first. Null and empty texts have no
     units. Of repeated rows the later ones go whole. Units of equal rank cannot be: rows are numbered. An empty
     table gives no rows.
     """
-    all_units = keep(units(docs, unit, id_col, text_col), "units")
+    all_units = keep(units(docs, unit, id_col, text_col, lines), "units")
     first = F.min(F.struct("doc_id", "row", "place", "start")).alias("first")
     groups = all_units.groupBy("h", "g").agg(F.count("*").alias("n"), first).where("n > 1").drop("n")
     groups = keep(groups, "repeated")  # its own exchange in the join, so that Spark can split the rows of one digest
@@ -116,6 +172,16 @@ def repeats(docs: DataFrame, unit: str = "phrase", least_words: int = 20, id_col
     hits = marked.select("doc_id", "row", F.struct("place", "start", "end", "words", F.col("first.doc_id").alias("d"), F.col("first.start").alias("s")).alias("u"))
     each = hits.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("u")).alias("us"))  # of one document
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "row", "start", "end", "n_words", "first_doc_id", "first_start"]
+        for b in batches:
+            out = [(d, r, *x) for d, r, us in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)) for x in removed(us.as_py(), least_words)]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
+
+    if lines:
+        return each.mapInArrow(fold, "doc_id long, row long, start int, end int, n_words int, first_doc_id long, first_start int")
+
     def joined(acc: F.Column, u: F.Column) -> F.Column:
         """Appends u to the last run if it follows it at once, else opens a run."""
         last = F.try_element_at(acc, F.lit(-1))

@@ -62,6 +62,28 @@ def test_repeated_units(spark, make, odd, words):
     assert [(r.doc_id, r.start, r.end, r.n_words, r.first_doc_id) for r in passages.repeats(lines, "line", 5).collect()] == [(2, 2, 31, 7, 1)]
 
 
+def test_short_whole_lines_go_and_short_parts_of_lines_stay(make):
+    rows = [(1, "One two three\nsome other line\nfour"), (2, "\n new words\n\none two  THREE\n four \nnew things here"), (3, "begin one two three end"), (4, "last\n\nfour")]
+    got = passages.repeats(make(rows), least_words=8, lines=True).collect()
+    assert {(r.doc_id, r.start, r.end, r.n_words, r.first_doc_id, r.first_start) for r in got} == {(2, 13, 33, 4, 1, 0), (4, 6, 10, 1, 1, 30)}
+    assert passages.repeats(make([]), lines=True).count() == 0
+
+
+def test_every_later_whole_line_goes_and_the_first_stays(make, odd, words):
+    rows = [(k, "\n".join(" ".join(words(1 + j % 12, j)) for j in range(k, 3 * k))) for k in range(20, 40)]
+    seen, text, gone = set(), dict(rows), {}
+    for r in passages.repeats(make(rows), least_words=8, lines=True).collect():
+        gone.setdefault(r.doc_id, []).append((r.start, r.end))
+    for i, t in rows:
+        at = 0
+        for line in t.split("\n"):
+            if line in seen:
+                assert any(a <= at and at + len(line) <= b for a, b in gone[i]), (i, line)
+            seen.add(line)
+            at += len(line) + 1
+    assert 20 not in gone or sum(b - a for a, b in gone[20]) < len(text[20])
+
+
 # Decontamination
 
 
