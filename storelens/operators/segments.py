@@ -21,12 +21,10 @@ def exact_mean(name: str, places: int) -> Column:
     return F.bround(F.avg(col(name).cast("decimal(18,4)")).cast("double"), places)
 
 
-def kmeans(df: DataFrame, features: list[str], k: int = C.CLUSTERS, seed: int = C.SEED, restarts: int = 10, rounds: int = 300, many: int = 100_000, order: str = C.VALUE) -> DataFrame:
-    """df with `cluster`: the best of some restarts (half as many above `many` rows), numbered by falling mean of a column."""
+def kmeans(df: DataFrame, features: list[str], k: int = C.CLUSTERS, seed: int = C.SEED, restarts: int = 10, rounds: int = 300, order: str = C.VALUE) -> DataFrame:
+    """df with `cluster`: the best of some restarts, as many at any number of rows, numbered by falling mean of a column. Features are numbers or vectors."""
     ready = VectorAssembler(inputCols=features, outputCol="__x").transform(df).persist()
     try:
-        if ready.count() > many:
-            restarts = max(1, restarts // 2)
         models = [KMeans(k=k, seed=seed + r, maxIter=rounds, featuresCol="__x", predictionCol="__c").fit(ready) for r in range(restarts)]
         best = min(models, key=lambda m: m.summary.trainingCost)
         means = best.transform(ready).groupBy("__c").agg(F.avg(col(order)).alias("m")).orderBy(F.desc("m"), "__c").collect()  # k rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -424,13 +425,13 @@ def brand_columns(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
     out, names = priority.standardised(ready(spark, d), [*FEATURES, "bucket_num"])
-    return segments.kmeans(out, names, restarts=3).select("OUTLET_UID_EDITED", "cluster")
+    return segments.kmeans(out, names).select("OUTLET_UID_EDITED", "cluster")
 
 
 @query()
 def kmeans_embeddings(spark: SparkSession, d: str) -> DataFrame:
-    rows = A.read(spark, d, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(8)])
-    return segments.kmeans(rows, [f"x{k}" for k in range(8)], restarts=2, order="x0").select("vec_id", "cluster")
+    rows = A.read(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("x"), F.col("embedding")[0].cast("double").alias("x0"))
+    return segments.kmeans(rows, ["x"], order="x0").select("vec_id", "cluster")
 
 
 @query(f"{WITH_SCORED} SELECT cluster, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM scored GROUP BY 1")

@@ -10,6 +10,7 @@ from storelens import config as C
 from storelens.functions import encode as E
 from storelens.functions import textops
 from storelens.operators import assortment, potential, priority, quality, ranking, rollup, segments, skustats, space
+from storelens.plans import queries
 
 SALES = "CUST_UNIQ_ID_VAL string, BRND_NM string, SUB_BRND_NM string, FLVR_NM string, PPG_DESC string, NET_SALES double"
 
@@ -133,6 +134,13 @@ def test_kmeans_groups_and_numbers(spark):
     assert out.columns == ["VPO", "x", "cluster"]
 
 
+def test_kmeans_of_embeddings_takes_every_component(spark, tmp_path):
+    rows = [(k, [1.0] * 8 + [0.0] * 55 + [100.0 * (k % 2) + k / 100]) for k in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = {r.vec_id: r.cluster for r in queries.kmeans_embeddings(spark, str(tmp_path)).collect()}
+    assert not {c for k, c in out.items() if k % 2} & {c for k, c in out.items() if not k % 2}
+
+
 @pytest.fixture(scope="module")
 def listed(spark, sales):
     segs = spark.createDataFrame([("01", "A"), ("02", "A"), ("03", "B"), ("04", "B")], "OUTLET_UID_EDITED string, priority_bucket string")
