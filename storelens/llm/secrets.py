@@ -1,8 +1,8 @@
 r"""Secret scans: fixed patterns, and a battery of randomness tests over unknown strings.
 
 DataFrame functions only. Places of matches come from the lengths of the matches and of the texts between
-them. Candidates are runs of 20 or more characters that keys are written in, with a letter and a digit. The
-encoding of each (base 16, 32, 62 or 64) is inferred from its characters. Under the hypothesis that a
+them. Candidates are runs of 20 or more characters that keys are written in, after "=" too. The
+encoding of each (base 10, 16, 32, 62 or 64) is inferred from its characters. Under the hypothesis that a
 candidate is random in its encoding, three tests are made: chi-squared for the uniform use of the alphabet
 (with the exact mean and variance of the multinomial), runs above and below the middle of the alphabet, and the
 correlation of neighbours. Fisher's method combines their p-values. Within each encoding and length band the
@@ -27,8 +27,9 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]{12,}"),
     ("hex", r"(?<![0-9a-f])[0-9a-f]{32,}"),
 )
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 ALPHABETS = {
+    10: "0123456789",
     16: "0123456789abcdef",
     32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     62: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
@@ -81,7 +82,7 @@ def tail(z: Column) -> Column:
 def battery(found: DataFrame) -> DataFrame:
     """what -> base, n, p (of the hypothesis that it is random in its base)."""
     body = F.rtrim(F.col("what"), F.lit("="))
-    base = F.when(F.rlike(F.lower(body), F.lit("^[0-9a-f]+$")), 16).when(F.rlike(body, F.lit("^[A-Z2-7]+$")), 32).when(F.rlike(body, F.lit("^[A-Za-z0-9]+$")), 62).otherwise(64)
+    base = F.when(F.rlike(body, F.lit("^[0-9]+$")), 10).when(F.rlike(F.lower(body), F.lit("^[0-9a-f]+$")), 16).when(F.rlike(body, F.lit("^[A-Z2-7]+$")), 32).when(F.rlike(body, F.lit("^[A-Za-z0-9]+$")), 62).otherwise(64)
     plain = F.when(F.col("base") == 16, F.lower(body)).otherwise(F.translate(body, "-_", "+/"))
     out = found.withColumn("base", base).withColumn("body", plain)
     out = out.withColumn("alphabet", F.element_at(F.create_map(*(F.lit(x) for kv in ALPHABETS.items() for x in kv)), F.col("base")))
@@ -113,7 +114,7 @@ def random_strings(found: DataFrame, q: float = 0.05, least_bits: float = 100.0)
     """Rows with `what` -> those that the battery does not reject, with base and p."""
     tested = battery(found).withColumn("band", F.floor(F.log2("n")).cast("int"))
     tested = tested.withColumn("bin", F.least(F.lit(BINS), F.floor(-F.log10(F.greatest("p", F.lit(1e-300))) / BIN)).cast("int"))
-    counts = tested.groupBy("base", "band", "bin").count()  # 4 encodings, some 20 bands and BINS bins at most
+    counts = tested.groupBy("base", "band", "bin").count()  # 5 encodings, some 20 bands and BINS bins at most
     group = W.partitionBy("base", "band")
     counts = counts.withColumns({"m": F.sum("count").over(group), "rank": F.sum("count").over(group.orderBy(F.desc("bin")))})
     rejected = counts.where(F.pow(F.lit(10.0), -F.col("bin") * BIN) <= q * F.col("rank") / F.col("m")).groupBy("base", "band").agg(F.min("bin").alias("from_bin"))
@@ -131,8 +132,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", q: flo
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), base_spans(F.col("text")).alias("base"), places(F.col("text"), CANDIDATE).alias("maybe"))
     rows = keep(rows, "secrets")
     found = rows.where(F.size("maybe") > 0).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.inline("maybe"))
-    found = found.where(F.rlike("what", F.lit("[0-9]")) & F.rlike("what", F.lit("[A-Za-z]"))).distinct()
-    more = random_strings(found, q, least_bits).groupBy("d", "g").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), F.lit("random").alias("kind"), "end")).alias("more"))
+    more = random_strings(found.distinct(), q, least_bits).groupBy("d", "g").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), F.lit("random").alias("kind"), "end")).alias("more"))
     out = rows.join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     none = F.array().cast("array<struct<start:int,order:int,kind:string,end:int>>")
     return out.select("doc_id", F.sort_array(F.concat("base", F.coalesce("more", none))).alias("spans"))

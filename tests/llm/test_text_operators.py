@@ -236,6 +236,15 @@ def test_random_strings_of_each_encoding_are_told_from_others(spark):
     assert count[True] >= 0.9 * len(good) and count.get(False, 0) <= 0.1 * len(bad)
 
 
+def test_random_strings_after_an_equals_sign_and_of_letters_or_digits_only(make):
+    rng = np.random.default_rng(8)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    mixed, alpha, digit = ("".join(rng.choice(list(a), 40)) for a in (letters + digits, letters, digits))
+    rows = [(60, f"KEY={mixed} next"), (61, f"GET /x?sig={mixed}&y=1"), (62, f"see {alpha} there"), (63, f"number {digit} there")]
+    found = {r.doc_id: r.spans for r in secrets.digests(secrets.scan(make(rows))).collect()}
+    assert found == {60: "random:4:44", 61: "random:11:51", 62: "random:4:44", 63: "hex:7:47,random:7:47"}
+
+
 # Personal data
 
 PII = [
