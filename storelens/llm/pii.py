@@ -1,14 +1,14 @@
 """Personal data: fixed patterns, and terms that reveal a protected entity by the company they keep.
 
 Each e-mail address, network address, card or phone number is a protected entity. Over all documents, the terms
-within a few words of an entity are counted with it, and every such term is counted in all documents. A term t
+that share a document with an entity are counted with it, and every such term is counted in all documents. A term t
 discloses an entity e as far as its pointwise mutual information with e nears the information of e itself:
 
     disclosure(t, e) = log2(N c(e,t) / (c(t) c(e))) / log2(N / c(e))        (1: whoever reads t knows e)
 
 Counts are of documents. A term whose disclosure is at or over the threshold, on at least `support` documents, is
-removed near the entity, or generalised if it holds a digit (digits become 0). Only pairs that do stand together
-are made: as many as there are entities in texts, times the words of their windows.
+removed at every place of every text, or generalised if it holds a digit (digits become 0). Pairs are made only for
+entities that stand in `support` documents: as many as there are of them in texts, times the texts' distinct words.
 """
 
 from __future__ import annotations
@@ -84,42 +84,71 @@ def entity(kind: int, what: str) -> int:
     return signed(xxhash.xxh64_intdigest(f"{kind}:{plain}"))
 
 
-def near_terms(text: str, spans: list[tuple[int, int, int]], words: int) -> list[tuple[int, str, int, int]]:
-    """(entity, term in lower case, start, end) of up to `words` words on each side of each span, none of them inside a span."""
-    out, reach = [], 40 * words
-    for kind, start, end in spans:
-        e = entity(kind, text[start:end])
-        left, lo = text[max(0, start - reach) : start], max(0, start - reach)
-        found = [(m.group(), lo + m.start(), lo + m.end()) for m in WORD.finditer(left)][-words:]
-        right = text[end : end + reach]
-        found += [(m.group(), end + m.start(), end + m.end()) for m in WORD.finditer(right)][:words]
-        for w, a, b in found:
-            whole = (a == 0 or not (text[a - 1].isalnum() or text[a - 1] == "_")) and (b == len(text) or not (text[b].isalnum() or text[b] == "_"))
-            if whole and len(w) >= 3 and not any(a < y and x < b for _, x, y in spans):
-                out.append((e, w.lower(), a, b))
-    return out
+def outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term in lower case, start, end) of the words of three signs or more that touch no span."""
+    edges, k = sorted((start, end) for _, start, end in spans), 0
+    reach = 0  # the furthest end of the spans that start before the word's end
+    for m in WORD.finditer(text):
+        while k < len(edges) and edges[k][0] < m.end():
+            reach = max(reach, edges[k][1])
+            k += 1
+        if m.end() - m.start() >= 3 and m.start() >= reach:
+            yield m.group().lower(), m.start(), m.end()
 
 
-FOUND = pa.struct([("e", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+PLACE = pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 SPAN = pa.struct([("order", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
 
-def find(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h (xxhash64 of the text, as Spark has it), spans, near."""
+def named(text: str) -> int:
+    """xxhash64 of a text, as Spark has it."""
+    return signed(xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42))
+
+
+def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h (of the text), spans, es (its entities), terms (the distinct terms of a text with an entity)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, spans, near = [], [], []
+            hs, spans, es, terms = [], [], [], []
             for t in b.column(1):
                 text = t.as_py() or ""
-                hs.append(signed(xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42)))
+                hs.append(named(text))
                 own = base_spans(text)
                 spans.append([{"order": k, "start": s, "end": e} for k, s, e in own])
-                near.append([{"e": e, "term": w, "start": x, "end": y} for e, w, x, y in near_terms(text, own, words)] if own else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(near, pa.list_(FOUND))], ["doc_id", "h", "spans", "near"])
+                es.append(list({entity(k, text[s:e]) for k, s, e in own}))
+                terms.append(list({w for w, _, _ in outside(text, own)}) if own else [])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hs, pa.int64()), pa.array(spans, pa.list_(SPAN)), pa.array(es, pa.list_(pa.int64())), pa.array(terms, pa.list_(pa.string()))], ["doc_id", "h", "spans", "es", "terms"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, h long, spans array<struct<order:int,start:int,end:int>>, es array<long>, terms array<string>")
+
+
+def occurrences(docs: DataFrame, wanted: bytes, id_col: str, text_col: str) -> DataFrame:
+    """d, g (id and hash of a text), term, start, end of all terms of all texts whose place is wanted."""
+    held = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, known = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool), {}
+        for b in batches:
+            ds, hs, all_hits = [], [], []
+            for d, t in zip(b.column(0), b.column(1)):
+                text = t.as_py() or ""
+                words = {w: w.lower() for w in set(WORD.findall(text))}
+                for w in [w for w in words.values() if w not in known]:
+                    known[w] = bool(bits[place_of(w)])
+                if any(map(known.__getitem__, words.values())):
+                    hits = [{"term": w, "start": x, "end": y} for w, x, y in outside(text, base_spans(text)) if known[w]]
+                    if hits:
+                        ds.append(d.as_py())
+                        hs.append(named(text))
+                        all_hits.append(hits)
+                if len(known) > FLUSH:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(hs, pa.int64()), pa.array(all_hits, pa.list_(PLACE))], ["d", "g", "hits"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, h long, spans array<struct<order:int,start:int,end:int>>, near array<struct<e:long,term:string,start:int,end:int>>")
+    return rows.mapInArrow(run, "d long, g long, hits array<struct<term:string,start:int,end:int>>").select("d", "g", F.inline("hits"))
 
 
 def place_of(term: str) -> int:
@@ -168,25 +197,24 @@ def document_counts(docs: DataFrame, wanted: bytes, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def detect(docs: DataFrame, words: int = 5, threshold: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def detect(docs: DataFrame, threshold: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, h, spans (array of order, start, end; order 4 is a disclosing term), by kind, then start.
 
     A null text counts as empty: no spans. Repeated rows and null ids stay; each row counts as a document. An
     empty table gives no rows.
     """
-    found = keep(find(docs, words, id_col, text_col), "personal")
+    found = keep(find(docs, id_col, text_col), "personal")
     rows = found.agg(F.count("*")).first()[0]
-    near = found.where(F.size("near") > 0)
-    single = near.select("doc_id", "h", F.array_distinct(F.transform("near", lambda x: F.struct(x.e.alias("e"), x.term.alias("term")))).alias("pairs"))
-    both = single.select(F.inline("pairs")).groupBy("e", "term").agg(F.count("*").alias("c_et")).where(F.col("c_et") >= support)
+    each = found.select(F.explode("es").alias("e"), "terms")
+    entities = keep(each.groupBy("e").agg(F.count("*").alias("c_e")).where(F.col("c_e") >= support), "entities")  # of others no pair has the support
+    both = each.join(entities, "e", "left_semi").select("e", F.explode("terms").alias("term")).groupBy("e", "term").agg(F.count("*").alias("c_et")).where(F.col("c_et") >= support)
     both = keep(both, "pairs")
-    entities = near.select(F.explode(F.array_distinct(F.transform("near", lambda x: x.e))).alias("e")).groupBy("e").agg(F.count("*").alias("c_e"))
     terms = document_counts(docs, places(both.select("term").distinct()), text_col)
     scored = both.join(terms, "term").join(entities, "e")
     told = F.log2(F.lit(float(rows)) * F.col("c_et") / (F.col("n") * F.col("c_e")))
     scored = scored.withColumn("disclosure", F.try_divide(told, F.log2(F.lit(float(rows)) / F.col("c_e"))))
-    revealing = scored.where(F.col("disclosure") >= threshold).select("e", "term")
-    hits = near.select(F.col("doc_id").alias("d"), F.col("h").alias("g"), F.inline("near")).join(revealing, ["e", "term"], "left_semi")
+    revealing = keep(scored.where(F.col("disclosure") >= threshold).select("term").distinct(), "revealing")
+    hits = occurrences(docs, places(revealing), id_col, text_col).join(revealing, "term", "left_semi")
     more = hits.groupBy("d", "g").agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("order"), "start", "end")).alias("more"))
     out = found.select("doc_id", "h", "spans").join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     none = F.array().cast("array<struct<order:int,start:int,end:int>>")

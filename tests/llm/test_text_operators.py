@@ -283,6 +283,14 @@ def test_terms_that_disclose_go_and_common_ones_stay(make, words):
     assert pii.sanitise(docs).columns == docs.columns and pii.sanitise(docs).count() == len(rows)
 
 
+def test_disclosing_terms_go_at_every_place_of_every_text(make, words):
+    """Far from the entity, where it is counted too, and in a text without it."""
+    rows = [(k, f"Zorblatt17 {' '.join(words(20, k))} write to jane@corp.example soon {' '.join(words(20, 9 + k))} zorblatt17") for k in range(4)]
+    rows += [(4, "here is ZORBLATT17 alone")] + [(100 + k, " ".join(words(20, 50 + k))) for k in range(600)]
+    out = {r.doc_id: r.text for r in pii.sanitise(make(rows)).collect()}
+    assert all(out[k].startswith("Zorblatt00 ") and out[k].endswith(" zorblatt00") and "[EMAIL]" in out[k] for k in range(4)) and out[4] == "here is ZORBLATT00 alone"
+
+
 def test_toxicity_labels_without_documents(spark, make):
     labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
     for rows in ([(9, "x")], [(1, "only one label")]):
