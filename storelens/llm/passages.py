@@ -1,12 +1,19 @@
-"""Substring dedup by units: lines or paragraphs, or phrases within lines.
-
-Each text is cut into units, which are normalised (lower-case words, single spaces) and named by a 128-bit
-digest. Digests are grouped over all documents; the earliest occurrence by (doc_id, row, place) stays, and the
-others are marked. A run of marked units that touch is removed if it has `least_words` words or more; offsets
-are those of the original text, in code points. A repeated passage seldom fills whole lines, so the default unit
-is the phrase: a line cut after each word whose hash is a multiple of CUT (and in runs of one word after every
-eighth), so that equal stretches are cut alike wherever they stand, and most of a passage is whole units. With
-`lines`, whole lines are units besides their phrases, and a line that stood before goes at any length.
+"""Substring dedup by units: lines or paragraphs, and the same text reflowed.
+
+Units are normalised (the sequence of their lower-case words) and named by 96 bits of digest. Digests are grouped
+over all documents; the earliest occurrence by (doc_id, text, place) stays, the rest are marked. A repeated passage
+seldom fills whole lines, so besides its own lines a text is reflowed, as a further normalisation: a reflowed line
+is LINE words from a word that is chosen by content (the least digest of SPAN neighbouring starts), wherever the text
+breaks its lines. Equal stretches are reflowed alike, so that each of LINE + SPAN - 1 words or more holds an
+equal reflowed line, and marked lines of one stretch touch.
+
+Marked lines that touch, and that touch in the same earlier text too, are a run. A run is extended word by word at
+both ends against that earlier text, at most REACH words (a longer stretch holds further lines), and counts from
+`least_words` words on; a whole line of its own counts from `line_words` on. What counts is removed, in code points
+of the original text.
+
+Texts are not moved to be compared: units carry digests and places. Only the words around the ends of runs are looked
+up, in one join of the documents with those requests.
 """
 
 from __future__ import annotations
@@ -14,10 +21,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import keep
 
@@ -26,168 +35,229 @@ UNITS = {
     "line": re.compile(r"[^\n]+"),
     "paragraph": re.compile(r"[^\n]+(?:\n[^\n]+)*"),
 }
-CUT, SAME = 8, 8
+LINE = SPAN = 25
+REACH = 50
 REMEMBERED = 200_000
+#: Odd numbers, one for each part of a digest.
+BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+WHOLE_LINE = np.uint64(0x165667B19E3779F9)
 
 
-def cuts_after(word: str, known: dict[str, bool]) -> bool:
-    found = known.get(word)
-    if found is None:
-        if len(known) > REMEMBERED:
-            known.clear()
-        found = known[word] = xxhash.xxh32_intdigest(word) % CUT == 0
-    return found
-
-
-def phrases(text: str, known: dict[str, bool]) -> Iterator[tuple[int, int, int, str]]:
-    """(start, end, number of words, normalised) of each phrase."""
-    for line in UNITS["line"].finditer(text):
-        own: list[str] = []
-        start, end, same = 0, 0, 0
-        for m in WORD.finditer(text, line.start(), line.end()):
-            w = m.group().lower()
-            if not own:
-                start, same = m.start(), 0
-            same = same + 1 if own and own[-1] == w else 1
-            own.append(w)
-            end = m.end()
-            if same == SAME or cuts_after(w, known):
-                yield start, end, len(own), " ".join(own)
-                own = []
-        if own:
-            yield start, end, len(own), " ".join(own)
-
-
-def units_of(text: str, unit: str, known: dict[str, bool]) -> Iterator[tuple[int, int, int, str]]:
-    """(start, end, number of words, normalised) of each unit with a word, without the white space around it."""
-    if unit == "phrase":
-        yield from phrases(text, known)
-        return
-    for m in UNITS[unit].finditer(text):
-        what = m.group()
-        if words := WORD.findall(what.lower()):
-            start = m.start() + len(what) - len(what.lstrip())
-            yield start, m.start() + len(what.rstrip()), len(words), " ".join(words)
-
-
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-FIELDS = [("doc_id", pa.int64()), ("row", pa.int64()), ("place", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("words", pa.int32()), ("h", pa.int64()), ("g", pa.int64())]
-
-
-def with_lines(found: Iterator[tuple[int, int, int, str]], text: str) -> Iterator[tuple[int, int, int, int, str]]:
-    """(place, start, end, number of words, normalised) of phrases, and of each line after its phrases, with the place of its first and the number of words negative."""
-    breaks, own, at, first = UNITS["line"].finditer(text), [], -1, 0
-
-    def line() -> tuple[int, int, int, int, str]:
-        return first, own[0][0], own[-1][1], -sum(n for _, _, n, _ in own), "\n" + " ".join(plain for *_, plain in own)
-
-    for k, x in enumerate(found):
-        if x[0] >= at:
-            if own:
-                yield line()
-            own, first = [], k
-            while at <= x[0]:
-                at = next(breaks).end()
-        own.append(x)
-        yield k, *x
-    if own:
-        yield line()
-
-
-def units(docs: DataFrame, unit: str, id_col: str, text_col: str, lines: bool = False) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list] = [[] for _ in FIELDS]
-        known: dict[str, bool] = {}
+class Hashes(dict):
+    """64-bit hash of a word in lower case; forgets all when it has grown large."""
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word.lower())
+        return value
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**k and base**-k modulo 2**64, for k from 0 to n - 1."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        steps = np.full(max(1, n), b, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    for shift in (32, 29):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(BASES[0])
+    return x ^ (x >> np.uint64(32))
+
+
+class Digester:
+    """Digests of the word sequences from place a to b of a text, from prefix sums of its word hashes."""
+
+    def __init__(self) -> None:
+        self.hashes, self.powers = Hashes(), [powers(b, 4096) for b in BASES]
+
+    def read(self, words: list[str]) -> None:
+        own = self.hashes.of(words)
+        if len(own) > len(self.powers[0][0]):
+            self.powers = [powers(b, 2 * len(own)) for b in BASES]
+        self.sums = [np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(own * up[: len(own)])]) for up, _ in self.powers]
+
+    def digest(self, part: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[part][b] - self.sums[part][a]) * self.powers[part][1][a] + (b - a).astype(np.uint64))
+
+
+def chosen(digests: np.ndarray, span: int) -> np.ndarray:
+    """Places of the least digest of each `span` neighbours (of all, if they are fewer), the first of equal ones."""
+    if len(digests) <= span:
+        return np.array([digests.argmin()] if len(digests) else [], np.int64)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(digests, span).argmin(axis=1) + np.arange(len(digests) - span + 1))
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, FIELDS)], [n for n, _ in FIELDS])
-            for c in columns:
-                c.clear()
-            return batch
 
+def named(text: str) -> int:
+    """xxhash64 of a text, as Spark has it."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42)
+
+
+def units(docs: DataFrame, unit: str, line_words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t (hash of the text), place (first word), n (words), whole (a line of its own), h, g (digest)."""
+    of_kind = UNITS[unit]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Digester()
         for b in batches:
-            for d, r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                text = t.as_py() or ""
-                found = units_of(text, unit, known)
-                for k, start, end, n, plain in with_lines(found, text) if lines else ((k, *x) for k, x in enumerate(found)):
-                    digest = xxhash.xxh3_128_intdigest(plain)
-                    for c, x in zip(columns, (d, r, k, start, end, n, signed(digest >> 64), signed(digest & ((1 << 64) - 1)))):
-                        c.append(x)
-                    if len(columns[0]) >= 20_000:
-                        yield out()
-        yield out()
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, place int, start int, end int, words int, h long, g long")
-
-
-def removed(us: list[dict], least_words: int) -> Iterator[tuple[int, int, int, int | None, int]]:
-    """start, end, words, d, s of the runs of one text: phrases that touch, of `least_words` or more, and within shorter ones the whole lines that touch."""
-    runs: list[list[dict]] = []
-    for u in sorted((u for u in us if u["words"] > 0), key=lambda u: u["place"]):
-        if runs and runs[-1][-1]["place"] == u["place"] - 1:
-            runs[-1].append(u)
+            rows, ts, places, ns, wholes, hs, gs = [], [], [], [], [], [], []
+            for k, x in enumerate(b.column(1)):
+                text = x.as_py() or ""
+                words, edges = [], [0]
+                for m in of_kind.finditer(text):
+                    words += WORD.findall(text, m.start(), m.end())
+                    edges.append(len(words))
+                if not words:
+                    continue
+                own.read(words)
+                edge = np.array(edges)
+                long = np.flatnonzero(np.diff(edge) >= line_words)
+                starts = np.arange(max(0, len(words) - LINE + 1))
+                reflowed = own.digest(0, starts, starts + LINE)
+                at = chosen(reflowed, SPAN)
+                rows.append(np.full(len(long) + len(at), k))
+                ts.append(np.full(len(long) + len(at), named(text), np.uint64))
+                places.append(np.concatenate([edge[long], at]))
+                ns.append(np.concatenate([edge[long + 1] - edge[long], np.full(len(at), LINE)]))
+                wholes.append(np.arange(len(long) + len(at)) < len(long))
+                hs.append(np.concatenate([own.digest(0, edge[long], edge[long + 1]) ^ WHOLE_LINE, reflowed[at]]))
+                gs.append(own.digest(1, places[-1], places[-1] + ns[-1]) >> np.uint64(32))
+            if rows:
+                ids = b.column(0).take(pa.array(np.concatenate(rows)))
+                t, place, n, whole, h, g = (np.concatenate(x) for x in (ts, places, ns, wholes, hs, gs))
+                columns = [ids, pa.array(t.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole), pa.array(h.view(np.int64)), pa.array(g.astype(np.uint32).view(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "place", "n", "whole", "h", "g"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, t long, place int, n int, whole boolean, h long, g int")
+
+
+def around(asked: DataFrame) -> DataFrame:
+    """doc_id, t, text, asks (array of at, side) -> doc_id, t, at, side, words, offs.
+
+    Side 1: hashes of the words from place `at` on, and the ends of these and (first) of the word before. Side -1: the
+    same backwards from the word before `at`, with starts. Side 0: the first start, the last end, the number of words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for b in batches:
+            out: list[tuple] = []
+            for d, t, text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                found = list(WORD.finditer(text.as_py()))
+                starts, ends = np.array([m.start() for m in found], np.int32), np.array([m.end() for m in found], np.int32)
+                own = hashes.of([m.group() for m in found]).astype(np.uint32).view(np.int32)
+                for ask in asks.as_py():
+                    at, side = ask["at"], ask["side"]
+                    if side > 0:
+                        words, offs = own[at : at + REACH], ends[at - 1 : at + REACH]
+                    elif side < 0:
+                        low = max(0, at - REACH)
+                        words, offs = own[low:at][::-1], starts[low : at + 1][::-1]
+                    else:
+                        words, offs = own[:0], [starts[0], ends[-1], len(own)]
+                    out.append((d, t, at, side, words, offs))
+            columns = list(zip(*out)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["doc_id", "t", "at", "side", "words", "offs"])
+
+    return asked.mapInArrow(run, "doc_id long, t long, at int, side int, words array<int>, offs array<int>")
+
+
+def removed(ends: list[dict], least_words: int) -> Iterator[tuple[int, int, int, int | None, int]]:
+    """start, end, words, first_doc_id, first_start of what goes of one text, from both ends of its runs."""
+    runs: dict[tuple, dict] = {}
+    for e in ends:
+        runs.setdefault((e["d0"] is not None, e["d0"] or 0, e["t0"], e["off_by"], e["whole"], e["low"], e["high"]), {})[e["side"]] = e
+    spans = []
+    for (*first, whole, low, high), both in sorted(runs.items()):
+        left, right = both[-1], both[1]
+        new = [low - left["more"], high + right["more"], left["at"], right["at"], left["d0"], left["first_at"]]
+        if not whole and spans and spans[-1][0] == first and not spans[-1][1] and new[0] <= spans[-1][2][1]:
+            spans[-1][2][1], spans[-1][2][3] = max(spans[-1][2][1], new[1]), max(spans[-1][2][3], new[3])
+        else:
+            spans.append((first, whole, new))
+    last = None
+    for a, b, start, end, d0, first_start in sorted((s for _, whole, s in spans if whole or s[1] - s[0] >= least_words), key=lambda s: (s[0], -s[1])):
+        if last and a <= last[1]:
+            last[1], last[3] = max(last[1], b), max(last[3], end)
         else:
-            runs.append([u])
-    whole = sorted((u for u in us if u["words"] < 0), key=lambda u: u["place"])  # each within one run, as all its phrases stood before
-    k = 0
-    for run in runs:
-        mine = []
-        while k < len(whole) and whole[k]["place"] <= run[-1]["place"]:
-            mine.append(whole[k])
-            k += 1
-        n = sum(u["words"] for u in run)
-        if n >= least_words:
-            yield run[0]["start"], run[-1]["end"], n, run[0]["d"], run[0]["s"]
-            continue
-        last: tuple | None = None
-        for line in mine:
-            after = line["place"] + sum(line["start"] <= u["start"] < line["end"] for u in run)  # the place that follows the line
-            if last and last[0] == line["place"]:
-                last = after, last[1], line["end"], last[3] - line["words"], last[4], last[5]
-            else:
-                if last:
-                    yield last[1:]
-                last = after, line["start"], line["end"], -line["words"], line["d"], line["s"]
-        if last:
-            yield last[1:]
-
-
-def repeats(docs: DataFrame, unit: str = "phrase", least_words: int = 20, id_col: str = "doc_id", text_col: str = "text", lines: bool = False) -> DataFrame:
-    """docs -> doc_id, row, start, end, n_words, first_doc_id, first_start: one row for each removed run.
-
-    first_*: the earliest occurrence of the run's first unit. With `lines` (for phrases) a whole line that stood
-    before as a line goes whatever its length, and `least_words` is for parts of lines only. Null ids rank first. Null and empty texts have no
-    units. Of repeated rows the later ones go whole. Units of equal rank cannot be: rows are numbered. An empty
-    table gives no rows.
+            if last:
+                yield last[2], last[3], last[1] - last[0], last[4], last[5]
+            last = [a, b, start, end, d0, first_start]
+    if last:
+        yield last[2], last[3], last[1] - last[0], last[4], last[5]
+
+
+def repeats(docs: DataFrame, unit: str = "line", least_words: int = 50, line_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs -> doc_id, text_hash, start, end, n_words, first_doc_id, first_start: one row for each stretch that goes.
+
+    first_*: where the stretch (or the first of several that touch) stands earlier. Stretches of `least_words` words
+    or more go wherever they begin and end, whole lines (or paragraphs, with `unit`) and whole texts from `line_words`
+    on. Passages are held against the earliest text that has one of their reflowed lines. `least_words` is
+    LINE + SPAN - 1 or more.
+
+    Null ids rank first. Null and empty texts have no units. Rows of one id and one text count as one document,
+    so they don't mark each other; of one id with several texts each text is a document, told by text_hash (xxhash64).
+    An empty table gives no rows. Other columns of docs are not looked at.
     """
-    all_units = keep(units(docs, unit, id_col, text_col, lines), "units")
-    first = F.min(F.struct("doc_id", "row", "place", "start")).alias("first")
-    groups = all_units.groupBy("h", "g").agg(F.count("*").alias("n"), first).where("n > 1").drop("n")
+    all_units = keep(units(docs, unit, line_words, id_col, text_col), "units")
+    first = F.min(F.struct("doc_id", "t", "place")).alias("first")
+    groups = all_units.groupBy("h", "g").agg(F.count("*").alias("times"), first).where("times > 1").drop("times")
     groups = keep(groups, "repeated")  # its own exchange in the join, so that Spark can split the rows of one digest
-    marked = all_units.join(groups, ["h", "g"]).where((F.col("row") != F.col("first.row")) | (F.col("place") != F.col("first.place")))
-    hits = marked.select("doc_id", "row", F.struct("place", "start", "end", "words", F.col("first.doc_id").alias("d"), F.col("first.start").alias("s")).alias("u"))
-    each = hits.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list("u")).alias("us"))  # of one document
+    marked = all_units.join(groups, ["h", "g"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("place") == F.col("first.place"))))
+    marked = marked.select("doc_id", "t", "place", (F.col("place") + F.col("n")).alias("stop"), "whole", F.col("first.doc_id").alias("d0"), F.col("first.t").alias("t0"), (F.col("place") - F.col("first.place")).alias("off_by"))
+
+    of = ["doc_id", "t", "d0", "t0", "off_by", "whole"]
+    in_order = W.partitionBy(*of).orderBy("place")
+    opens = F.when(F.lag("stop").over(in_order) >= F.col("place"), 0).otherwise(1)
+    runs = marked.distinct().withColumn("opens", opens).withColumn("k", F.sum("opens").over(in_order)).groupBy(*of, "k").agg(F.min("place").alias("low"), F.max("stop").alias("high"))
+    runs = keep(runs.drop("k"), "runs")
+    copies = runs.where((F.col("t") == F.col("t0")) & (F.col("off_by") == 0)).groupBy("doc_id", "t").agg(F.min("d0").alias("d0"))  # whole texts that stood before
+    others = runs.join(copies.select(F.col("doc_id").alias("x"), F.col("t").alias("y")), F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")), "left_anti")
+    ends = others.select(*of, "low", "high", F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
+    ends = keep(ends.withColumn("at", F.when(F.col("side") < 0, F.col("low")).otherwise(F.col("high"))), "ends")
+    copies = keep(copies, "copies")
+
+    asks = ends.select("doc_id", "t", "at", "side").union(ends.select("d0", "t0", F.col("at") - F.col("off_by"), "side")).union(copies.select("doc_id", "t", F.lit(0), F.lit(0)))
+    asks = asks.distinct().groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "side")).alias("asks"))  # of one text
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("x"), F.xxhash64(text).alias("y"), text.alias("text"))
+    asked = texts.join(asks, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y"))).select("doc_id", "t", "text", "asks")
+    seen = keep(around(asked).dropDuplicates(["doc_id", "t", "at", "side"]), "around")
+
+    own = seen.where("side <> 0").select(F.col("doc_id").alias("x"), F.col("t").alias("y"), F.col("at").alias("z"), F.col("side").alias("s"), F.col("words").alias("mine"), F.col("offs").alias("my_offs"))
+    other = seen.where("side <> 0").select(F.col("doc_id").alias("x0"), F.col("t").alias("y0"), F.col("at").alias("z0"), F.col("side").alias("s0"), F.col("words").alias("theirs"), F.col("offs").alias("their_offs"))
+    both = ends.join(own, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")) & (F.col("at") == F.col("z")) & (F.col("side") == F.col("s")))
+    both = both.join(other, F.col("d0").eqNullSafe(F.col("x0")) & (F.col("t0") == F.col("y0")) & (F.col("at") - F.col("off_by") == F.col("z0")) & (F.col("side") == F.col("s0")))
+    both = both.withColumn("more", F.when(F.col("whole"), 0).otherwise(alike(F.col("mine"), F.col("theirs"))))
+    at = lambda offs: F.get(F.col(offs), F.col("more"))
+    both = both.select("doc_id", "t", F.struct("d0", "t0", "off_by", "whole", "low", "high", "side", "more", at("my_offs").alias("at"), at("their_offs").alias("first_at")).alias("e"))
+    each = both.groupBy("doc_id", "t").agg(F.collect_list("e").alias("es"))  # of one text
+
+    names = ["doc_id", "text_hash", "start", "end", "n_words", "first_doc_id", "first_start"]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row", "start", "end", "n_words", "first_doc_id", "first_start"]
         for b in batches:
-            out = [(d, r, *x) for d, r, us in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)) for x in removed(us.as_py(), least_words)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+            out = [(d, t, *x) for d, t, es in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)) for x in removed(es.as_py(), least_words)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], names)
 
-    if lines:
-        return each.mapInArrow(fold, "doc_id long, row long, start int, end int, n_words int, first_doc_id long, first_start int")
+    parts = each.mapInArrow(fold, "doc_id long, text_hash long, start int, end int, n_words int, first_doc_id long, first_start int")
+    wholes = seen.where("side = 0").join(copies.select(F.col("doc_id").alias("x"), F.col("t").alias("y"), "d0"), F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")))
+    wholes = wholes.where(F.col("offs")[2] >= line_words).select("doc_id", "t", F.col("offs")[0], F.col("offs")[1], F.col("offs")[2], "d0", F.col("offs")[0])
+    return parts.union(wholes)
 
-    def joined(acc: F.Column, u: F.Column) -> F.Column:
-        """Appends u to the last run if it follows it at once, else opens a run."""
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.struct(u.place.alias("place"), last.start.alias("start"), u.end.alias("end"), (last.words + u.words).alias("words"), last.d.alias("d"), last.s.alias("s"))
-        return F.when(last.place == u.place - 1, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), longer)).otherwise(F.array_append(acc, u))
 
-    none = F.array().cast("array<struct<place:int,start:int,end:int,words:int,d:bigint,s:int>>")
-    runs = each.select("doc_id", "row", F.explode(F.aggregate("us", none, joined)).alias("r")).where(F.col("r.words") >= least_words)
-    return runs.select("doc_id", "row", "r.start", "r.end", F.col("r.words").alias("n_words"), F.col("r.d").alias("first_doc_id"), F.col("r.s").alias("first_start"))
+def alike(a: Column, b: Column) -> Column:
+    """The number of first elements that are equal in both arrays."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    differs = F.array_position(same, False)
+    return F.when(differs == 0, F.size(same)).otherwise(differs - 1).cast("int")

@@ -30,7 +30,7 @@ def op3_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeats(table(spark, sf_dir, "documents"), least_words=8, lines=True).drop("row")
+    return passages.repeats(table(spark, sf_dir, "documents"))
 
 
 def op5_item_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
