@@ -1,17 +1,20 @@
 """Benchmark decontamination: item-sized windows of documents that are near an item.
 
-A document's windows of as many words as an item has are fingerprinted (SimHash over five-word shingles,
-weighted by how often they occur), wherever a shingle of an item stands at a place from which the window could
-be that item: a window without such a shingle shares nothing with any item. Fingerprints are looked up in
-a multi-index: the 64 bits are cut into BLOCKS blocks, and any fingerprint within the radius differs in at most
+A document's windows of as many words as an item has are fingerprinted (SimHash of BITS bits over five-word
+shingles, weighted by how often they occur) if enough of their shingles are an item's: a window at or over `least` to an
+item shares a known number of shingles with it, and so with all items together, which a sliding count tells for every
+window of every length. Nothing is lost by it. Fingerprints are looked up in a multi-index among the items
+of that length: the bits are cut into BLOCKS blocks, and any fingerprint within the radius differs in at most
 radius // BLOCKS bits in one of these, so probing those finds all of them. Of each candidate the exact
-weighted-shingle similarity (sum of the smaller counts over sum of the larger) decides.
+weighted-shingle similarity (sum of the smaller counts over sum of the larger) decides. At 0.8 about 19 of 128
+bits differ (a standard deviation is 4), so the radius is six deviations above that; two items by chance differ in 64.
 
 Items are broadcast in parts of at most `part_words` words, and each part is held against all documents.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -27,12 +30,13 @@ from pyspark.sql import Window as W
 from .common import ranged
 
 WORD = re.compile(r"\w+")
-SHINGLE, BLOCKS, BITS = 5, 16, 4
+SHINGLE, BITS, BLOCKS = 5, 128, 32
+BLOCK_BITS = BITS // BLOCKS
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+    return list(map(str.lower, WORD.findall(text or "")))
 
 
 def shingles(words: list[str]) -> list[str]:
@@ -45,16 +49,23 @@ def similarity(a: Counter, b: Counter) -> float:
 
 
 def votes(grams: list[str]) -> np.ndarray:
-    hashes = np.array([xxhash.xxh64_intdigest(g) for g in grams], np.uint64)
-    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+    """A row of BITS votes, 1 or -1, for each shingle."""
+    hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(g) for g in grams), np.uint8).reshape(-1, BITS // 8)
+    return np.unpackbits(hashes, axis=1, bitorder="little").astype(np.int32) * 2 - 1
 
 
 def packed(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1, bitorder="little").view(np.uint64).ravel()
+    """Fingerprints, as rows of bytes."""
+    return np.packbits(sums > 0, axis=1, bitorder="little")
+
+
+def shared_at_least(n: int, m: int, least: float) -> int:
+    """Shingles that bags of n and m have in common at the least, if their similarity is `least`."""
+    return math.ceil(least * (n + m) / (1 + least) - 1e-9)
 
 
 class Items:
-    """An index over benchmark items: their shingles, and by length their fingerprints in Hamming blocks."""
+    """An index over benchmark items: the shingles of all, and by length their fingerprints in Hamming blocks."""
 
     def __init__(self, items: list[tuple[int, str]], radius: int):
         self.radius = radius
@@ -65,23 +76,19 @@ class Items:
         for w in self.words:
             for x in w:
                 self.vocabulary.setdefault(x, len(self.vocabulary))
-        keys, where = [], []
-        self.whole: dict[str, list[int]] = defaultdict(list)  # items of fewer words than a shingle
+        self.short: dict[tuple[str, ...], list[int]] = defaultdict(list)  # items of fewer words than a shingle
+        of_length: dict[int, list[int]] = defaultdict(list)
         for k, w in enumerate(self.words):
             if len(w) >= SHINGLE:
-                own = self.keys(np.array([self.vocabulary[x] for x in w], np.int64))
-                keys.append(own)
-                where.append(np.stack([np.full(len(own), k), np.arange(len(own))], axis=1))
+                of_length[len(w)].append(k)
             elif w:
-                self.whole[" ".join(w)].append(k)
-        self.key, self.where = (np.concatenate(keys), np.concatenate(where)) if keys else (np.zeros(0, np.uint64), np.zeros((0, 2), np.int64))
-        order = np.argsort(self.key, kind="stable")
-        self.key, self.where = self.key[order], self.where[order]
+                self.short[tuple(w)].append(k)
+        keys = [self.keys(np.array([self.vocabulary[x] for x in self.words[k]], np.int64)) for own in of_length.values() for k in own]
+        self.key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for length in {len(w) for w in self.words if len(w) >= SHINGLE}:
-            own = np.array([k for k, w in enumerate(self.words) if len(w) == length])
+        for length, own in sorted(of_length.items()):
             prints = np.concatenate([packed(votes(shingles(self.words[k])).sum(axis=0, keepdims=True)) for k in own])
-            self.by_length[length] = own, prints, self.blocks(prints)
+            self.by_length[length] = np.array(own), prints.view(np.uint64), self.blocks(prints)
 
     @staticmethod
     def keys(ids: np.ndarray) -> np.ndarray:
@@ -91,77 +98,64 @@ class Items:
             out = (out + ids[k : k + n].astype(np.uint64) + np.uint64(1)) * PRIME
         return out
 
+    @staticmethod
+    def values(prints: np.ndarray) -> np.ndarray:
+        """The value of each block of each fingerprint."""
+        return np.stack([prints & 15, prints >> 4], axis=2).reshape(len(prints), BLOCKS)
+
     def blocks(self, prints: np.ndarray) -> np.ndarray:
         """[block, value, item]: whether the item's block is within radius // BLOCKS bits of the value."""
-        values = np.arange(1 << BITS, dtype=np.uint64)
-        own = prints >> (np.arange(BLOCKS, dtype=np.uint64) * np.uint64(BITS))[:, None] & np.uint64((1 << BITS) - 1)
-        return np.bitwise_count(own[:, None, :] ^ values[None, :, None]) <= self.radius // BLOCKS
-
-    def near(self, length: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (place in prints, item) within the radius."""
-        own, theirs, blocks = self.by_length[length]
-        candidate = np.zeros((len(prints), len(own)), bool)
-        for b in range(BLOCKS):
-            candidate |= blocks[b][(prints >> np.uint64(b * BITS) & np.uint64((1 << BITS) - 1)).astype(np.int64)]
-        i, j = np.nonzero(candidate)
-        ok = np.bitwise_count(prints[i] ^ theirs[j]) <= self.radius
-        return i[ok], own[j[ok]]
-
-    def anchors(self, words: list[str]) -> np.ndarray:
-        """(item, start of the window that would put the shingle where the item has it)."""
+        every = np.arange(1 << BLOCK_BITS, dtype=np.uint8)
+        return np.bitwise_count(self.values(prints).T[:, None, :] ^ every[None, :, None]) <= self.radius // BLOCKS
+
+    def near(self, length: int, window: np.ndarray) -> np.ndarray:
+        """Items of that length within the radius of one fingerprint."""
+        own, prints, blocks = self.by_length[length]
+        some = np.flatnonzero(blocks[np.arange(BLOCKS), self.values(window[None])[0]].any(axis=0))
+        return own[some[np.bitwise_count(prints[some] ^ window.view(np.uint64)).sum(axis=1) <= self.radius]]
+
+    def known(self, words: list[str]) -> np.ndarray:
+        """Running count of the places whose shingle is an item's."""
+        n = len(words) - SHINGLE + 1
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
-        known = np.flatnonzero(np.convolve(ids >= 0, np.ones(SHINGLE, np.int64), "valid") == SHINGLE)
-        if not len(known):
-            return np.zeros((0, 2), np.int64)
-        keys = np.zeros(len(known), np.uint64)
-        for k in range(SHINGLE):
-            keys = (keys + ids[known + k].astype(np.uint64) + np.uint64(1)) * PRIME
-        lo, hi = np.searchsorted(self.key, keys, "left"), np.searchsorted(self.key, keys, "right")
-        hit = np.flatnonzero(hi > lo)
-        if not len(hit):
-            return np.zeros((0, 2), np.int64)
-        count = (hi - lo)[hit]
-        at = np.repeat(lo[hit] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        found = self.where[at]
-        return np.unique(np.stack([found[:, 0], np.repeat(known[hit], count) - found[:, 1]], axis=1), axis=0)
+        at = np.flatnonzero(np.convolve(ids >= 0, np.ones(SHINGLE, np.int64), "valid") == SHINGLE)
+        count = np.zeros(n + 1, np.int64)
+        if len(at) and len(self.key):
+            keys = np.zeros(len(at), np.uint64)
+            for k in range(SHINGLE):
+                keys = (keys + ids[at + k].astype(np.uint64) + np.uint64(1)) * PRIME
+            count[at[self.key[np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)] == keys] + 1] = 1
+        return np.cumsum(count)
 
     def matches(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
-        """(item_id, similarity, start, end in code points of the text), the best window of each stretch."""
-        lower = (text or "").lower()
-        words = WORD.findall(lower)
-        if len(words) < SHINGLE:
-            same = self.whole.get(" ".join(words), []) if words else []
-            return [(self.ids[k], 1.0, 0, len(text)) for k in same]
-        anchors = self.anchors(words)
-        if not len(anchors):
-            return []
-        starts: dict[int, set[int]] = defaultdict(set)
-        for k, s in anchors.tolist():
-            length = len(self.words[k])
-            slack = int(length * (1 - least)) + 1
-            last = max(0, len(words) - length)
-            starts[length].update(range(min(max(0, s - slack), last), min(max(0, s + slack), last) + 1))
+        """(item_id, similarity, start, end in code points of the text), the best window of each stretch; of items of fewer than SHINGLE words the first place."""
+        words = words_of(text)
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for length, some in starts.items():
-            at = np.array(sorted(some))
-            for part in np.split(at, np.flatnonzero(np.diff(at) > length) + 1):  # a stretch of windows that touch
+        for length in {len(x) for x in self.short}:
+            for s in range(len(words) - length + 1):
+                for k in self.short.get(tuple(words[s : s + length]), ()):
+                    best.setdefault((k, 0), (1.0, -s))
+        count = self.known(words) if len(words) >= SHINGLE and self.by_length else np.zeros(1, np.int64)
+        for length in self.by_length if count[-1] else ():
+            width = min(length, len(words)) - SHINGLE + 1
+            need = shared_at_least(width, length - SHINGLE + 1, least)
+            if width < need or count[-1] < need:
+                continue
+            at = np.flatnonzero(count[width:] - count[:-width] >= need)
+            for part in np.split(at, np.flatnonzero(np.diff(at) > length) + 1) if len(at) else ():  # a stretch of windows that touch
                 a, b = int(part[0]), min(int(part[-1]) + length, len(words))
                 grams = shingles(words[a:b])
-                sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(votes(grams), axis=0)])
-                width = min(length, len(words)) - SHINGLE + 1
+                sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(votes(grams), axis=0)])
                 prints = packed(sums[part - a + width] - sums[part - a])
-                bags: dict[int, Counter] = {}
-                for i, k in zip(*self.near(length, prints)):
-                    s = int(part[i])
-                    bag = bags.setdefault(s, Counter(grams[s - a : s - a + width]))
-                    sim = similarity(bag, self.bags[k])
-                    if sim >= least:
-                        stretch = (int(k), a)
-                        best[stretch] = max(best.get(stretch, (0.0, 0)), (sim, -s))
-        if not best:
-            return []
-        places = [(m.start(), m.end()) for m in WORD.finditer(text if len(lower) == len(text) else lower)]
-        return [(self.ids[k], sim, places[-s][0], places[min(len(words), len(self.words[k]) - s) - 1][1]) for (k, _), (sim, s) in sorted(best.items())]
+                for s, window in zip(part.tolist(), prints):
+                    near = self.near(length, window)
+                    bag = Counter(grams[s - a : s - a + width]) if len(near) else None
+                    for k in near.tolist():
+                        sim = similarity(bag, self.bags[k])
+                        if sim >= least:
+                            best[k, a] = max(best.get((k, a), (0.0, 0)), (sim, -s))
+        found = list(WORD.finditer(text or "")) if best else []
+        return [(self.ids[k], sim, found[-s].start(), found[min(len(words), len(self.words[k]) - s) - 1].end()) for (k, _), (sim, s) in sorted(best.items())]
 
 
 def parts_of(benchmark: DataFrame, part_words: int) -> Iterator[list[tuple[int, str]]]:
@@ -176,13 +170,13 @@ def parts_of(benchmark: DataFrame, part_words: int) -> Iterator[list[tuple[int,
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 26, part_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 44, part_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, item_id, similarity, start, end (code points): windows at or over `least`, the best of each stretch.
 
-    Null and empty texts and items match nothing. Items of fewer than five words match only documents of
-    the same words. Repeated rows stay, and so do equal items under their own ids. An empty table on
-    either side gives no rows.
+    Null and empty texts and items match nothing. Items of fewer than five words are one shingle, and match wherever
+    their words stand; of these only the first place of a text is given. Repeated rows stay, and so do equal items
+    under their own ids. An empty table on either side gives no rows.
     """
     fields = "doc_id long, item_id long, similarity double, start int, end int"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -202,8 +196,12 @@ def contaminated(
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 26, part_words: int = 2_000_000, text_col: str = "text") -> DataFrame:
-    """docs without those that hold a window at or over `least`; all columns stay, and no row is moved."""
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 44, part_words: int = 2_000_000, text_col: str = "text") -> DataFrame:
+    """docs without those that hold a window at or over `least`; all columns stay, and no row is moved.
+
+    Null and empty texts stay. Of repeated rows all stay or none. An empty benchmark, or one of null and empty
+    items, keeps all.
+    """
     out = docs
     for lot in parts_of(benchmark, part_words):
         held = docs.sparkSession.sparkContext.broadcast(lot)
