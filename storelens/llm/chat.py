@@ -12,15 +12,19 @@ longer than the budget stands alone. Each window repeats the conversation's syst
 `history_turns` turns (within `history_tokens`) before its span as context. Loss spans cover the assistant
 texts of the span only: a repeated assistant text is masked, so each is a target once.
 
-DataFrame functions only. A conversation is cut into blocks of BLOCK turn numbers, so one that holds much of
-the table is spread over many tasks; a window never crosses a block's edge, and history crosses it if turn
-numbers have no gap there.
+DataFrame functions only. Turns are put in order by range, over all conversations, and numbered within each from the
+counts of the parts; a conversation is cut into blocks of BLOCK turns by these numbers. So a conversation that holds much
+of the table, or has many turns of one number, is spread over many tasks. A window never crosses a block's edge; history
+does.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from .common import ranged
 
 BLOCK = 128
 END = "</turn>\n"
@@ -45,6 +49,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")) + 4
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """turns with `no`, from 0 within a conversation: by turn (nulls first), then role, then text; equal rows in any order."""
+    rows = ranged(turns.withColumn("tie", F.monotonically_increasing_id()), "conv_id", "turn", "role", "text", "tie")
+    parts = rows.groupBy("conv_id", "pid").agg(F.min("idx").alias("low"), F.count("*").alias("here"))  # a conversation has a row for each part that it is in
+    before = F.sum("here").over(W.partitionBy("conv_id").orderBy("pid")) - F.col("here")
+    parts = parts.select(F.col("conv_id").alias("of"), F.col("pid").alias("p"), (before - F.col("low")).alias("shift"))
+    return rows.join(parts, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("pid") == F.col("p"))).withColumn("no", F.col("idx") + F.col("shift")).drop("of", "p", "shift", "pid", "idx", "tie")
+
+
 def windows(turns: DataFrame, budget: int = 1024, history_turns: int = 2, history_tokens: int = 256) -> DataFrame:
     """conv_id, turn, role, text -> conv_id, block, window, n_context, n_turns, tokens, text, loss (array of start, end in code points).
 
@@ -52,16 +65,15 @@ def windows(turns: DataFrame, budget: int = 1024, history_turns: int = 2, histor
     empty. Rows without conv_id form one conversation. An empty table gives no windows. Other columns are
     not looked at.
     """
-    base = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    base = numbered(turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
     base = base.withColumn("tok", tokens(F.col("text")))
     first = F.min(F.struct("turn", "role", "text", "tok")).alias("system")
     system = base.where(F.col("role") == "system").groupBy("conv_id").agg(first).select(F.col("conv_id").alias("of"), "system")
-    own = F.coalesce(F.floor(F.col("turn") / BLOCK).cast("long"), F.lit(-(1 << 62)))
-    late = F.col("turn") - own * BLOCK >= BLOCK - history_turns
-    homes = F.when(late, F.array(F.struct(own.alias("block"), F.lit(False).alias("carried")), F.struct((own + 1).alias("block"), F.lit(True).alias("carried"))))
-    homes = F.coalesce(homes, F.array(F.struct(own.alias("block"), F.lit(False).alias("carried"))))
+    own, late = F.floor(F.col("no") / BLOCK).cast("long"), F.col("no") % BLOCK >= BLOCK - history_turns
+    homes = F.array(F.struct(own.alias("block"), F.lit(False).alias("carried")))
+    homes = F.when(late, F.concat(homes, F.array(F.struct((own + 1).alias("block"), F.lit(True).alias("carried"))))).otherwise(homes)
     placed = base.select("*", F.inline(homes)).groupBy("conv_id", "block")
-    blocks = placed.agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "tok", "carried"))).alias("ts"))
+    blocks = placed.agg(F.sort_array(F.collect_list(F.struct("no", "turn", "role", "text", "tok", "carried"))).alias("ts"))
     blocks = blocks.join(system, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
 
     blocks = blocks.withColumns({"n_carried": F.size(F.filter("ts", lambda x: x.carried)), "room": F.lit(budget - history_tokens) - F.coalesce(F.col("system.tok"), F.lit(0))})
