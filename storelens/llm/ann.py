@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by cosine: balanced posting lists under a centroid graph.
 
-Centroids are fitted on a bounded sample (`sample` vectors); every vector is then indexed. A vector goes to the
+Centroids are fitted on a bounded sample (`sample` vectors, or two for each list); every vector is then indexed. A vector goes to the
 list of its nearest centroid and, if it lies at a boundary, to those of up to `replicas` centroids that are at
 most `spread` times as far away. While fitting, crowded centroids are handicapped so that lists come out even, and
-a list of over `list_limit` vectors is dealt out in chunks, each searched by itself. Centroids (at most
-`most_lists`, so their size is bounded) are searched through an in-memory graph of neighbours; a query goes to the
+a list of over `list_limit` vectors is dealt out in chunks, and the queries of a list of over `asked_limit` in lots; each
+chunk is searched by each lot by itself. There is a list for
+each `list_size` vectors, up to `most_lists`, so the size of the centroids is bounded; beyond most_lists * list_size
+vectors lists lengthen. Centroids are searched through an in-memory graph of neighbours; a query goes to the
 lists whose centroid is at most so many times as far away as the nearest, `least_probes` lists at least. That
 ratio, and with it the width of the search, is set on the sample so that `target` of the sample's own neighbours
 are found; neighbours in the whole table are nearer, so that is a cautious setting. Scores are then computed on the
@@ -28,7 +30,13 @@ from pyspark.sql import Window as W
 from .common import keep
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two (which rounds nothing) that brings their largest component near 1, so that squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -37,10 +45,14 @@ def fit(sample: np.ndarray, lists: int, rounds: int = 12, handicap: float = 0.3,
     rng = np.random.default_rng(seed)
     centres = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)].copy()
     size = np.full(len(centres), len(sample) / len(centres))
+    slack = 0.0  # mean distance to the nearest centre, of the round before
     for r in range(rounds):
-        cost = 1 - sample @ centres.T
-        cost += handicap * cost.min(axis=1).mean() * (np.minimum(size * len(centres) / len(sample), 8) - 1)
-        own = cost.argmin(axis=1)
+        crowd, own, least = np.minimum(size * len(centres) / len(sample), 8) - 1, np.empty(len(sample), np.int64), 0.0
+        for lo in range(0, len(sample), 1024):  # some rows at a time: the whole matrix may be large
+            cost = 1 - sample[lo : lo + 1024] @ centres.T
+            least += cost.min(axis=1).sum()
+            own[lo : lo + 1024] = (cost + handicap * slack * crowd).argmin(axis=1)
+        slack = least / len(sample)
         size = np.bincount(own, minlength=len(centres)).astype(float)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, sample)
@@ -124,8 +136,8 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20_000, list_size: int = 128, most_lists: int = 4096,
-    replicas: int = 4, spread: float = 1.15, target: float = 0.96, least_probes: int = 8, list_limit: int = 2048,
+    vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = 20_000, list_size: int = 128, most_lists: int = 16_384,
+    replicas: int = 4, spread: float = 1.15, target: float = 0.96, least_probes: int = 8, list_limit: int = 2048, asked_limit: int = 8192,
 ) -> DataFrame:
     """queries against vectors -> query_id, rank (from 1), vec_id, score: the k nearest found, a query's own id left out, ties to the smaller id.
 
@@ -143,14 +155,15 @@ def nearest(
     n = rows.count()
     if n == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    grain = 1_000_000
+    grain, lists = 1_000_000, max(1, min(most_lists, -(-n // list_size)))
+    sample = max(sample, 2 * lists)
     share = min(grain, -(-sample * grain // n))
     drawn = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(grain)) < share).select("v").limit(2 * sample)
     drawn = matrix(drawn.toArrow().column("v").combine_chunks())
     if not len(drawn):
         drawn = matrix(rows.select("v").limit(100).toArrow().column("v").combine_chunks())
     drawn = unit(drawn)
-    graph = Graph(fit(drawn, max(1, min(most_lists, -(-n // list_size)))))
+    graph = Graph(fit(drawn, lists))
     ratio, width = tune(graph, drawn, k, replicas, spread, target)
     width = max(width, least_probes)
     held = spark.sparkContext.broadcast(graph)  # most_lists centroids and their neighbours at most
@@ -177,12 +190,15 @@ def nearest(
     sizes = F.broadcast(posted.groupBy("list").agg(F.ceil(F.count("*") / list_limit).cast("int").alias("chunks")))  # a row for each list
     posted = posted.join(sizes, "list").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     probes = kinds.select("q", "v").mapInArrow(to_lists(probe, max(1, 8192 // width)), "id long, v array<double>, list int")
-    probes = probes.join(sizes, "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    probes = keep(probes, "probes")
+    lots = F.broadcast(probes.groupBy("list").agg(F.ceil(F.count("*") / asked_limit).cast("int").alias("lots")))  # a row for each list
+    probes = probes.join(sizes, "list").join(lots, "list").withColumn("lot", F.pmod(F.xxhash64("id"), F.col("lots")).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    posted = posted.join(lots, "list").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
 
     def best(_: tuple, q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(c):
-            x, y, ids = np.stack(q.v), np.stack(c.v), c.id.to_numpy()
+            x, y, ids = scaled(np.stack(q.v)), scaled(np.stack(c.v)), c.id.to_numpy()
             x_norm, y_norm = np.sqrt((x * x).sum(axis=1)), np.sqrt((y * y).sum(axis=1))
             for lo in range(0, len(x), 256):
                 near = (x[lo : lo + 256] @ y.T) / y_norm
@@ -193,7 +209,7 @@ def nearest(
                 out.append(one.groupby("q").head(k + 1))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "vec_id": [], "score": []}).astype({"q": "int64", "vec_id": "int64", "score": "float64"})
 
-    by = ["list", "chunk"]
+    by = ["list", "chunk", "lot"]
     found = probes.select(*by, "id", "v").groupBy(*by).cogroup(posted.select(*by, "id", "v").groupBy(*by)).applyInPandas(best, "q long, vec_id long, score double")
     found = found.groupBy("q", "vec_id").agg(F.max("score").alias("score"))
     order = [F.desc("score"), F.asc("vec_id")]
