@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import fresh, keep
 
 SEED = 42
 CHUNK = 1 << 20
@@ -254,7 +254,7 @@ def cross_pairs(ids: np.ndarray, group: np.ndarray, n: np.ndarray, maps: np.ndar
 
 
 def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: int = 2, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs -> doc_id, digest (of the text), group: documents of equal texts, or linked by word-shingle sets at or over `least` similarity (Jaccard).
+    """docs -> doc_id, digest (of the text), group, component: documents of equal texts, or linked by word-shingle sets at or over `least` similarity (Jaccard).
 
     At such a similarity fingerprints may differ in a dozen of their bits, more than blocks can guarantee to find;
     so texts are looked up by shingles: two texts at `least` have one of their rarest shingles (`prefix`) in
@@ -263,7 +263,7 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
     not linked yet are compared, those of a large bucket by pairs of blocks of about `block` texts. A pair is dropped
     unverified only if the sets' sizes or parity maps prove it under `least`; the rest are verified on whole
     texts. No link is lost. Null and empty texts are equal texts, and all texts without a word are alike. group
-    is the smallest doc_id. Repeated rows stay.
+    is the smallest doc_id (null if no row of the group has one); component names the group in any case. Repeated rows stay.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
@@ -354,19 +354,19 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
         more = verified(pairs)
         edges = more if edges is None else edges.union(more)
         group = components(edges.toDF("a", "b"))
-    of = keep(texts.join(group, F.col("id") == F.col("v"), "left").select("digest", "least", F.coalesce("c", "id").alias("c")), "of")
-    named = of.groupBy("c").agg(F.min("least").alias("group"))
-    return rows.select("doc_id", "digest").join(of.join(named, "c").select("digest", "group"), "digest")
+    of = keep(texts.join(group, F.col("id") == F.col("v"), "left").select("digest", "least", F.coalesce("c", "id").alias("component")), "of")
+    named = of.groupBy("component").agg(F.min("least").alias("group"))
+    return rows.select("doc_id", "digest").join(of.join(named, "component").select("digest", "group", "component"), "digest")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each group of `similar_texts`: the one of smallest doc_id; of repeated rows one stays. Rows with a null id stay only if no other row of the group has an id."""
+    """docs with one document of each group of `similar_texts`: the one of smallest doc_id (then digest of the text); of repeated rows one stays. Null ids come last: such a row stays only if no other row of its group has an id."""
     groups = keep(similar_texts(docs, id_col=id_col, text_col=text_col, **options), "groups")
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("group"))).groupBy("group").agg(F.min("digest").alias("__digest"), F.count("*").alias("n"))
-    first = keep(first, "first")
-    marked = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    kept = first.select(F.col("group").alias("__group"), F.col("__digest").alias("__d"))
-    out = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__group")) & (F.col("__digest") == F.col("__d")), "left_semi")
-    if not first.where("n > 1").isEmpty():  # an id in more than one row
-        out = out.dropDuplicates([id_col, "__digest"])
-    return out.drop("__digest")
+    order = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest")).alias("first")
+    kept = keep(groups.groupBy("component").agg(order).select(F.col("first.doc_id").alias("doc_id"), F.col("first.digest").alias("digest")), "first")
+    digest, d, g = fresh(docs, "digest", "of_id", "of_digest")
+    marked = docs.withColumn(digest, F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    out = marked.join(kept.toDF(d, g), F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.col(digest) == F.col(g)), "left_semi")
+    if not groups.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([id_col, digest])
+    return out.drop(digest)
