@@ -96,10 +96,15 @@ def chosen(digests: np.ndarray, span: int) -> np.ndarray:
 
 
 def named(text: str) -> int:
-    """xxhash64 of a text, as Spark has it."""
+    """xxhash64 of a text, unsigned."""
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42)
 
 
+def signed_name(text: str) -> int:
+    """xxhash64 of a text, as Spark has it."""
+    return (named(text) + (1 << 63)) % (1 << 64) - (1 << 63)
+
+
 def units(docs: DataFrame, unit: str, line_words: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, t (hash of the text), place (first word), n (words), whole (a line of its own), h, g (digest)."""
     of_kind = UNITS[unit]

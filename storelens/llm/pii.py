@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import fresh, keep
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -106,7 +106,7 @@ def named(text: str) -> int:
 
 
 def find(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h (of the text), spans, es (its entities), terms (the distinct terms of a text with an entity)."""
+    """doc_id, h (of the text), spans, es (its entities), terms (the distinct terms of a text with an entity). A null text counts as empty: no spans. Repeated rows and null ids stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -237,18 +237,19 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the spans that `detect` finds taken out of the text; other columns, and null texts, stay as they are."""
+    """docs with the spans that `detect` finds taken out of the text; other columns, and null texts, stay as they are. Repeated rows and null ids stay. An empty table stays empty."""
     names = docs.columns
+    h, d, g, found_spans = fresh(docs, "h", "of_id", "of_h", "found")
     spans = detect(docs, id_col=id_col, text_col=text_col, **options).where(F.size("spans") > 0).dropDuplicates(["doc_id", "h"])
-    spans = spans.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+    spans = spans.select(F.col("doc_id").alias(d), F.col("h").alias(g), F.col("spans").alias(found_spans))
 
     @F.pandas_udf("string")
     def clean(text, found):  # noqa: ANN001, ANN202
         return text.combine(found, lambda t, s: t if t is None or s is None else masked(t, [(x["order"], x["start"], x["end"]) for x in s]))
 
-    marked = docs.withColumn("__t", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    out = marked.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")), "left")
-    cleaned = F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(clean(F.col(text_col), F.col("__spans")))
+    marked = docs.withColumn(h, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    out = marked.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(g)), "left")
+    cleaned = F.when(F.col(found_spans).isNull(), F.col(text_col)).otherwise(clean(F.col(text_col), F.col(found_spans)))
     return out.select(*[cleaned.alias(c) if c == text_col else F.col(f"`{c}`") for c in names])
 
 

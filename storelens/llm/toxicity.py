@@ -111,11 +111,13 @@ def learn(doc: np.ndarray, word: np.ndarray, vocabulary: list[str], labels: np.n
 def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, groups: dict[str, tuple[str, ...]] | None = None, label_col: str = "toxic", **options) -> tuple[np.ndarray, float]:
     """Weights and bias from about `per_class` labelled documents of each label, drawn by a hash of doc_id.
 
-    Labels other than 0 and 1 are not used, nor are null ids or texts. If one label is missing, every score
-    is the share of the other.
+    Labels other than 0 and 1 are not used, nor are null ids or texts, nor ids that are labelled both 0 and 1; an id that is
+    labelled more than once counts once. Of drawn ids that stand in several documents, some of these rows are used: in all
+    4 * per_class rows at most reach the driver. If one label is missing, every score is the share of the other.
     """
     groups = IDENTITY if groups is None else groups
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").drop("most")
     count = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     if len(count) < 2:
         total = sum(count.values())
@@ -131,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, groups: dic
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(words_of(t)) for t in texts], pa.list_(pa.string())), pa.array(pairs, pa.list_(pa.string()))], ["y", "words", "pairs"])
 
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("y", "text")  # drawn: 4 * per_class rows at most
-    found = texts.mapInArrow(read, "y int, words array<string>, pairs array<string>").toArrow()
+    found = texts.mapInArrow(read, "y int, words array<string>, pairs array<string>").limit(4 * per_class).toArrow()
     y = found.column("y").to_numpy().astype(float)
     held = {c: int((y == c).sum()) for c in (0, 1)}
     if not held[0] or not held[1]:  # labels of documents that aren't here
@@ -173,7 +175,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_i
 
 
 def select(docs: DataFrame, model: tuple[np.ndarray, float], below: float, text_col: str = "text") -> DataFrame:
-    """docs that score below a threshold; all columns stay, and no row is moved."""
+    """docs that score below a threshold; all columns stay, and no row is moved. Null and empty texts score as no words. Repeated rows all stay or go; an empty table stays empty."""
     held = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
     place = docs.columns.index(text_col)
 

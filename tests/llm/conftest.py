@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Columns that the operators use inside; tables that already have them must do no harm.
-CLASHES = ["digest", "fp", "h", "spans", "size", "shard", "score", "pid", "idx", "row", "lang", "block", "h1", "doc", "e", "term", "words"]
+CLASHES = ["digest", "fp", "h", "spans", "size", "shard", "score", "pid", "idx", "row", "lang", "block", "h1", "doc", "e", "term", "words", "__digest", "__group", "__t", "__spans", "of_id", "found", "t", "place", "component", "y"]
 SCHEMA = "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 
