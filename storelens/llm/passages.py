@@ -12,8 +12,10 @@ both ends against that earlier text, at most REACH words (a longer stretch holds
 `least_words` words on; a whole line of its own counts from `line_words` on. What counts is removed, in code points
 of the original text.
 
-Texts are not moved to be compared: units carry digests and places. Only the words around the ends of runs are looked
-up, in one join of the documents with those requests.
+A text is held against itself where it is read: lines that stood before in the same text are compared with their last
+place there, extended and done with, so only lines new to their text are grouped. Texts are not moved to be compared
+with others: units carry digests and places. Only the words around the ends of runs are looked up, in one join of
+the documents with those requests.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ class Digester:
         self.hashes, self.powers = Hashes(), [powers(b, 4096) for b in BASES]
 
     def read(self, words: list[str]) -> None:
-        own = self.hashes.of(words)
+        own = self.words = self.hashes.of(words)
         if len(own) > len(self.powers[0][0]):
             self.powers = [powers(b, 2 * len(own)) for b in BASES]
         self.sums = [np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(own * up[: len(own)])]) for up, _ in self.powers]
@@ -95,6 +97,40 @@ def chosen(digests: np.ndarray, span: int) -> np.ndarray:
     return np.unique(np.lib.stride_tricks.sliding_window_view(digests, span).argmin(axis=1) + np.arange(len(digests) - span + 1))
 
 
+def agree(p: np.ndarray, q: np.ndarray, block: int = 256) -> int:
+    """The number of first elements that are equal in both."""
+    n, at = min(len(p), len(q)), 0
+    while at < n:
+        differ = np.flatnonzero(p[at : min(n, at + block)] != q[at : min(n, at + block)])
+        if len(differ):
+            return at + int(differ[0])
+        at += block
+    return n
+
+
+def seen_before(h: np.ndarray) -> np.ndarray:
+    """For each element the last place before it with the same value, or -1."""
+    order, out = np.argsort(h, kind="stable"), np.full(len(h), -1)
+    same = np.flatnonzero(h[order][1:] == h[order][:-1])
+    out[order[same + 1]] = order[same]
+    return out
+
+
+def own_repeats(words: np.ndarray, places: np.ndarray, before: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+    """Stretches of words (first, last + 1, first of the earlier place) that hold the lines of n words at `places`, which stood at `before`."""
+    last = None
+    for off, place in sorted(zip((places - before).tolist(), places.tolist())):
+        if last and off == last[0] and place <= last[2]:
+            last[2] = max(last[2], place + n)
+            continue
+        if last:
+            yield last[1], last[2], last[1] - last[0]
+        low, high = place - agree(words[:place][::-1], words[: place - off][::-1]), place + agree(words[place:], words[place - off :])
+        last = [off, low, high]
+    if last:
+        yield last[1], last[2], last[1] - last[0]
+
+
 def named(text: str) -> int:
     """xxhash64 of a text, unsigned."""
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace"), 42)
@@ -105,43 +141,62 @@ def signed_name(text: str) -> int:
     return (named(text) + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
-def units(docs: DataFrame, unit: str, line_words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, t (hash of the text), place (first word), n (words), whole (a line of its own), h, g (digest)."""
+#: Kinds of units: reflowed lines, whole lines, and stretches that stood before in their own text (done with).
+REFLOWED, WHOLE, OWN = range(3)
+
+
+def units(docs: DataFrame, unit: str, least_words: int, line_words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t (hash of the text), place (first word), n (words), kind, h, g (digest; of kind OWN: start and end, and start of the earlier place, in code points)."""
     of_kind = UNITS[unit]
 
+    def of(own: Digester, text: str) -> list[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+        words, edges = [], [0]
+        for m in of_kind.finditer(text):
+            words += WORD.findall(text, m.start(), m.end())
+            edges.append(len(words))
+        if not words:
+            return []
+        own.read(words)
+        edge = np.array(edges)
+        long = np.flatnonzero(np.diff(edge) >= line_words)
+        starts = np.arange(max(0, len(words) - LINE + 1))
+        reflowed = own.digest(0, starts, starts + LINE)
+        at = chosen(reflowed, SPAN)
+        out, spans = [], set()
+        for kind, a, b, h in ((WHOLE, edge[long], edge[long + 1], own.digest(0, edge[long], edge[long + 1]) ^ WHOLE_LINE), (REFLOWED, at, at + LINE, reflowed[at])):
+            before = seen_before(h)
+            new, old = np.flatnonzero(before < 0), np.flatnonzero(before >= 0)
+            if len(new):
+                out.append((a[new], (b - a)[new], kind, h[new], own.digest(1, a[new], b[new]) >> np.uint64(32)))
+            if kind == WHOLE:
+                spans |= set(zip(a[old].tolist(), b[old].tolist(), a[before[old]].tolist()))
+            elif len(old):
+                spans |= {s for s in own_repeats(own.words, a[old], a[before[old]], LINE) if s[1] - s[0] >= least_words}
+        if spans:
+            found = list(WORD.finditer(text))
+            low, high, first = np.array(sorted(spans)).T
+            start, end, earlier = (np.array(x, np.uint64) for x in ([found[k].start() for k in low], [found[k - 1].end() for k in high], [found[k].start() for k in first]))
+            out.append((low, high - low, OWN, start << np.uint64(32) | end, earlier))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Digester()
         for b in batches:
-            rows, ts, places, ns, wholes, hs, gs = [], [], [], [], [], [], []
+            rows, ts, columns = [], [], []
             for k, x in enumerate(b.column(1)):
                 text = x.as_py() or ""
-                words, edges = [], [0]
-                for m in of_kind.finditer(text):
-                    words += WORD.findall(text, m.start(), m.end())
-                    edges.append(len(words))
-                if not words:
-                    continue
-                own.read(words)
-                edge = np.array(edges)
-                long = np.flatnonzero(np.diff(edge) >= line_words)
-                starts = np.arange(max(0, len(words) - LINE + 1))
-                reflowed = own.digest(0, starts, starts + LINE)
-                at = chosen(reflowed, SPAN)
-                rows.append(np.full(len(long) + len(at), k))
-                ts.append(np.full(len(long) + len(at), named(text), np.uint64))
-                places.append(np.concatenate([edge[long], at]))
-                ns.append(np.concatenate([edge[long + 1] - edge[long], np.full(len(at), LINE)]))
-                wholes.append(np.arange(len(long) + len(at)) < len(long))
-                hs.append(np.concatenate([own.digest(0, edge[long], edge[long + 1]) ^ WHOLE_LINE, reflowed[at]]))
-                gs.append(own.digest(1, places[-1], places[-1] + ns[-1]) >> np.uint64(32))
+                for place, n, kind, h, g in of(own, text):
+                    rows.append(np.full(len(place), k))
+                    ts.append(np.full(len(place), named(text), np.uint64))
+                    columns.append((place, n, np.full(len(place), kind), h, g))
             if rows:
                 ids = b.column(0).take(pa.array(np.concatenate(rows)))
-                t, place, n, whole, h, g = (np.concatenate(x) for x in (ts, places, ns, wholes, hs, gs))
-                columns = [ids, pa.array(t.view(np.int64)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(whole), pa.array(h.view(np.int64)), pa.array(g.astype(np.uint32).view(np.int32))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "t", "place", "n", "whole", "h", "g"])
+                place, n, kind, h, g = map(np.concatenate, zip(*columns))
+                made = [ids, pa.array(np.concatenate(ts).view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (place, n, kind)), pa.array(h.view(np.int64)), pa.array(g.astype(np.uint32).view(np.int32))]
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "t", "place", "n", "kind", "h", "g"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, t long, place int, n int, whole boolean, h long, g int")
+    return rows.mapInArrow(run, "doc_id long, t long, place int, n int, kind int, h long, g int")
 
 
 def around(asked: DataFrame) -> DataFrame:
@@ -176,12 +231,15 @@ def around(asked: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, "doc_id long, t long, at int, side int, words array<int>, offs array<int>")
 
 
-def removed(ends: list[dict], least_words: int) -> Iterator[tuple[int, int, int, int | None, int]]:
-    """start, end, words, first_doc_id, first_start of what goes of one text, from both ends of its runs."""
+def removed(parts: list[dict], least_words: int) -> Iterator[tuple[int, int, int, int | None, int]]:
+    """start, end, words, first_doc_id, first_start of what goes of one text, from both ends of its runs and its own repeats."""
     runs: dict[tuple, dict] = {}
-    for e in ends:
-        runs.setdefault((e["d0"] is not None, e["d0"] or 0, e["t0"], e["off_by"], e["whole"], e["low"], e["high"]), {})[e["side"]] = e
     spans = []
+    for e in parts:
+        if e["side"]:
+            runs.setdefault((e["d0"] is not None, e["d0"] or 0, e["t0"], e["off_by"], e["whole"], e["low"], e["high"]), {})[e["side"]] = e
+        else:
+            spans.append(((), True, [e["low"], e["high"], e["at"], e["to"], e["d0"], e["first_at"]]))
     for (*first, whole, low, high), both in sorted(runs.items()):
         left, right = both[-1], both[1]
         new = [low - left["more"], high + right["more"], left["at"], right["at"], left["d0"], left["first_at"]]
@@ -213,12 +271,13 @@ def repeats(docs: DataFrame, unit: str = "line", least_words: int = 50, line_wor
     so they don't mark each other; of one id with several texts each text is a document, told by text_hash (xxhash64).
     An empty table gives no rows. Other columns of docs are not looked at.
     """
-    all_units = keep(units(docs, unit, line_words, id_col, text_col), "units")
+    found = keep(units(docs, unit, least_words, line_words, id_col, text_col), "units")
+    all_units = found.where(F.col("kind") != OWN)
     first = F.min(F.struct("doc_id", "t", "place")).alias("first")
     groups = all_units.groupBy("h", "g").agg(F.count("*").alias("times"), first).where("times > 1").drop("times")
     groups = keep(groups, "repeated")  # its own exchange in the join, so that Spark can split the rows of one digest
     marked = all_units.join(groups, ["h", "g"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("place") == F.col("first.place"))))
-    marked = marked.select("doc_id", "t", "place", (F.col("place") + F.col("n")).alias("stop"), "whole", F.col("first.doc_id").alias("d0"), F.col("first.t").alias("t0"), (F.col("place") - F.col("first.place")).alias("off_by"))
+    marked = marked.select("doc_id", "t", "place", (F.col("place") + F.col("n")).alias("stop"), (F.col("kind") == WHOLE).alias("whole"), F.col("first.doc_id").alias("d0"), F.col("first.t").alias("t0"), (F.col("place") - F.col("first.place")).alias("off_by"))
 
     of = ["doc_id", "t", "d0", "t0", "off_by", "whole"]
     in_order = W.partitionBy(*of).orderBy("place")
@@ -244,7 +303,13 @@ def repeats(docs: DataFrame, unit: str = "line", least_words: int = 50, line_wor
     both = both.join(other, F.col("d0").eqNullSafe(F.col("x0")) & (F.col("t0") == F.col("y0")) & (F.col("at") - F.col("off_by") == F.col("z0")) & (F.col("side") == F.col("s0")))
     both = both.withColumn("more", F.when(F.col("whole"), 0).otherwise(alike(F.col("mine"), F.col("theirs"))))
     at = lambda offs: F.get(F.col(offs), F.col("more"))
-    both = both.select("doc_id", "t", F.struct("d0", "t0", "off_by", "whole", "low", "high", "side", "more", at("my_offs").alias("at"), at("their_offs").alias("first_at")).alias("e"))
+    both = both.select("doc_id", "t", F.struct("d0", "t0", "off_by", "whole", "low", "high", "side", "more", at("my_offs").alias("at"), F.lit(0).alias("to"), at("their_offs").alias("first_at")).alias("e"))
+    again = found.where(F.col("kind") == OWN).join(copies.select(F.col("doc_id").alias("x"), F.col("t").alias("y")), F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")), "left_anti")
+    own_span = F.struct(
+        F.col("doc_id").alias("d0"), F.col("t").alias("t0"), F.lit(0).alias("off_by"), F.lit(True).alias("whole"), F.col("place").alias("low"), (F.col("place") + F.col("n")).alias("high"), F.lit(0).alias("side"), F.lit(0).alias("more"),
+        F.shiftright("h", 32).cast("int").alias("at"), F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("to"), F.col("g").alias("first_at"),
+    )
+    both = both.union(again.select("doc_id", "t", own_span.alias("e")))
     each = both.groupBy("doc_id", "t").agg(F.collect_list("e").alias("es"))  # of one text
 
     names = ["doc_id", "text_hash", "start", "end", "n_words", "first_doc_id", "first_start"]
