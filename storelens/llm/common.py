@@ -51,7 +51,17 @@ def keep(df: DataFrame, name: str = "step") -> DataFrame:
     """df written to the shared folder and read back: later jobs neither recompute it nor depend on an executor that may be lost."""
     path = f"{shared_dir(df.sparkSession)}/storelens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Removes the files of kept tables that nothing will read again."""
+    for df in kept:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._kept)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

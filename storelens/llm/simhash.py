@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, keep
+from .common import discard, fresh, keep
 
 SEED = 42
 CHUNK = 1 << 20
@@ -170,10 +170,11 @@ def components(edges: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
         new = labels.join(near, "v").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c"))
         jump = labels.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        new = keep(new.join(jump, "c").select("v", "old", F.least("c", "up").alias("c")), "labels")
-        if new.where("c <> old").isEmpty():
-            return new.select("v", "c")
-        labels = new.select("v", "c")
+        before, labels = labels, keep(new.join(jump, "c").select("v", "old", F.least("c", "up").alias("c")), "labels")
+        discard(before)
+        if labels.where("c <> old").isEmpty():
+            discard(both)
+            return labels.select("v", "c")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,12 +282,16 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "map", "rare"])
 
     rows = keep(whole.mapInArrow(run, "doc_id long, digest binary, n int, map binary, rare array<long>"), "shingles")
-    texts = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "map", "rare")])
-    texts = keep(texts.withColumn("id", F.xxhash64("digest")), "texts")  # nodes of the graph are texts; 64 bits of their digest name them
-    facts = texts.select("id", "n", "map")
-    tokens = texts.select("id", F.explode("rare").alias("s"))
+    distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "map", "rare")])
+    distinct = keep(distinct.withColumn("id", F.xxhash64("digest")), "distinct")  # nodes of the graph are texts; 64 bits of their digest name them
+    ids = keep(rows.select("doc_id", "digest"), "ids")
+    discard(rows)
+    tokens = distinct.select("id", F.explode("rare").alias("s"))
     shared = keep(tokens.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "shared")
-    members = keep(tokens.join(shared, "s"), "members")
+    left = keep(tokens.join(shared, "s").withColumn("c", F.col("id")), "open")
+    texts = keep(distinct.select("digest", "least", "id", "n", "map"), "texts")
+    facts = texts.select("id", "n", "map")
+    discard(distinct, shared)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -315,15 +320,17 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
         named = whole.join(lead, (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("l")), "left_semi")
         held = keep(named.select(F.xxhash64("digest").alias("id"), "text").dropDuplicates(["id"]), "held")
         both = pairs.join(held.toDF("x", "p"), "x").join(held.toDF("y", "q"), "y").select("x", "y", "p", "q")
-        return keep(both.mapInArrow(verify, "x long, y long"), "similar")
-
-    def grouped(group: DataFrame | None) -> DataFrame:
-        """s, id, c of the buckets that hold more than one group."""
-        if group is None:
-            return members.withColumn("c", F.col("id"))
-        own = keep(members.join(group.select(F.col("v").alias("id"), "c"), "id", "left").select("s", "id", F.coalesce("c", "id").alias("c")), "grouped")
-        several = keep(own.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s"), "several")
-        return keep(own.join(several, "s"), "open")
+        similar = keep(both.mapInArrow(verify, "x long, y long"), "similar")
+        discard(held)
+        return similar
+
+    def still_open(before: DataFrame, group: DataFrame) -> DataFrame:
+        """s, id, c of the buckets (of those open before) that hold more than one group; groups only grow, so others need no further look."""
+        own = keep(before.select("s", "id").join(group.select(F.col("v").alias("id"), "c"), "id", "left").select("s", "id", F.coalesce("c", "id").alias("c")), "grouped")
+        several = keep(own.groupBy("s").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("s"), "several")  # its own exchange in the join, so that Spark can split the rows of one shingle
+        left = keep(own.join(several, "s"), "open")
+        discard(before, own, several)
+        return left
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,30 +340,34 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
                 x, y = cross_pairs(v.field("id").to_numpy(), v.field("c").to_numpy(), v.field("n").to_numpy().astype(np.int64), maps, v.field("part").to_numpy(), apart, least)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
-    edges, tried, group = None, None, None
+    edges = tried = group = None
     for k in range(pivots + 1):
-        own = grouped(group)
+        if group is not None:
+            left = still_open(left, group)
         if k < pivots:
-            pivot = keep(own.groupBy("s").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), F.col("id").alias("y"), F.col("c").alias("d"))).alias("t")).select("s", "t.y", "t.d"), "pivots")
-            pairs = own.join(pivot, "s").where("c <> d").select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")).distinct()
-            pairs = keep(pairs, "pairs")
-            pairs = pairs.join(facts.toDF("x", "n", "p"), "x").join(facts.toDF("y", "m", "q"), "y").select("x", "y", "n", "p", "m", "q").mapInArrow(bound, "x long, y long")
+            pivot = keep(left.groupBy("s").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), F.col("id").alias("y"), F.col("c").alias("d"))).alias("t")).select("s", "t.y", "t.d"), "pivots")
+            first = keep(left.join(pivot, "s").where("c <> d").select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")).distinct(), "pairs")
+            pairs = first.join(facts.toDF("x", "n", "p"), "x").join(facts.toDF("y", "m", "q"), "y").select("x", "y", "n", "p", "m", "q").mapInArrow(bound, "x long, y long")
+            used = [pivot, first]
         else:
-            parts = keep(own.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "parts")
-            own = own.join(parts, "s").join(facts, "id").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
+            parts = keep(left.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "parts")
+            own = left.join(parts, "s").join(facts, "id").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
             own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             cell = own.groupBy("s", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("id", "c", "n", "map", "part")).alias("of"))
             pairs = cell.select((F.col("i") != F.col("j")).alias("apart"), "of").mapInArrow(cells, "x long, y long").distinct()
+            used = [parts]
         if tried is not None:
             pairs = pairs.join(tried, ["x", "y"], "left_anti")
         pairs = keep(pairs, "candidates")
+        discard(*used)
         tried = pairs if tried is None else tried.union(pairs)
         more = verified(pairs)
         edges = more if edges is None else edges.union(more)
         group = components(edges.toDF("a", "b"))
+    discard(left)
     of = keep(texts.join(group, F.col("id") == F.col("v"), "left").select("digest", "least", F.coalesce("c", "id").alias("component")), "of")
     named = of.groupBy("component").agg(F.min("least").alias("group"))
-    return rows.select("doc_id", "digest").join(of.join(named, "component").select("digest", "group", "component"), "digest")
+    return ids.join(of.join(named, "component").select("digest", "group", "component"), "digest")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

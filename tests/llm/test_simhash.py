@@ -141,6 +141,31 @@ def test_bridges_between_groups_are_found(make):
         assert {r.doc_id for r in simhash.keep_one(make(rows), block=block, pivots=pivots).collect()} == want
 
 
+def test_rows_with_null_or_shared_ids_are_told_apart(make, words):
+    five = [" ".join(words(40, 10 * k)) for k in range(5)]
+    rows = list(zip([None, None, 5, 5, 6], five))
+    assert sorted(r.text for r in simhash.keep_one(make(rows)).collect()) == sorted(five)
+    kept = simhash.keep_one(make([*rows, (None, five[4]), (4, five[2]), (5, five[3])]))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, five[0]), (0, five[1]), (4, five[2]), (5, five[3]), (6, five[4])])
+    assert kept.columns == make(rows).columns and {r["__digest"] for r in kept.collect()} == {"x"}
+
+
+def test_all_links_at_the_threshold_are_found_in_random_texts(make, words):
+    """Texts of all similarities, in two sizes of table, against all pairs: recall is 1."""
+    for n in (60, 240):
+        rng, rows = random.Random(n), []
+        for k in range(n):
+            w = words(80, 100 * (k % (n // 4)))
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(80)] = f"x{rng.randrange(40)}"
+            rows.append((k, " ".join(w)))
+        split = [t.split() for _, t in rows]
+        linked = [(i, j) for i in range(n) for j in range(i) if alike(split[i], split[j]) >= 0.8]
+        root = simhash.forest(n, *(np.array(x) for x in zip(*linked)))
+        got = {r.doc_id: r.group for r in simhash.similar_texts(make(rows)).collect()}
+        assert len(linked) > n // 4 and got == {k: int(root[k]) for k in range(n)}
+
+
 def test_empty(make):
     assert simhash.near_duplicates(make([])).count() == 0
     assert simhash.keep_one(make([])).count() == 0
