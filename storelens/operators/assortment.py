@@ -1,6 +1,7 @@
 """Must-stock lists: what each tier sells, against all tiers.
 
-One aggregation of sales by tier and product feeds shares, totals, brand and pack mixes; all tiers at once.
+One aggregation of sales by tier and product feeds shares, ranks and totals; all tiers at once. Ranks and running sums
+are counted by range, so no task holds the products of a tier.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import Window as W
 
 from .. import config as C
 from ..functions import encode as E
+from ..plans.lineage import cut
+from . import ranking
 from .rollup import money
 
 
@@ -39,24 +42,21 @@ def share(part: Column, whole: Column) -> Column:
 
 def products(rows: DataFrame, stores: DataFrame) -> DataFrame:
     """bucket, product, sales, share, share_all, index, penetration, rank, cumulative: the metrics of every product in its bucket."""
-    own = product_sales(rows)
+    own = cut(product_sales(rows), "products")
     everywhere = own.groupBy(*C.PRODUCT).agg(F.sum("sales").alias("sales_all"))
-    grand = everywhere.agg(F.sum("sales_all").alias("grand"))
+    grand = own.agg(F.sum("sales").alias("grand"))
     out = own.join(everywhere, C.PRODUCT).join(F.broadcast(grand)).join(F.broadcast(stores), "bucket")  # one row; a row for each bucket
-    group = W.partitionBy("bucket")
-    out = out.withColumn("share", share(F.col("sales"), F.sum("sales").over(group))).withColumn("share_all", share(F.col("sales_all"), F.col("grand")))
+    out = ranking.numbered(out, ["bucket"], [F.desc("sales"), *map(F.asc, C.PRODUCT)], "rank", ("sales",))
+    out = out.withColumns({"share": share(F.col("sales"), F.col("all_sales")), "cumulative": share(F.col("run_sales"), F.col("all_sales")), "share_all": share(F.col("sales_all"), F.col("grand"))})
     out = out.withColumn("index", F.try_divide(F.col("share"), F.col("share_all")) * 100).withColumn("penetration", share(F.col("stores"), F.col("n_stores")))
-    order = group.orderBy(F.desc("sales"), *C.PRODUCT)
-    out = out.withColumn("rank", F.row_number().over(order)).withColumn("running", F.sum("sales").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    out = out.withColumn("cumulative", share(F.col("running"), F.sum("sales").over(group)))
-    return out.withColumn("product", E.product_name(*[F.col(c) for c in C.PRODUCT])).drop("running", "grand")
+    return out.withColumn("product", E.product_name(*[F.col(c) for c in C.PRODUCT])).drop("run_sales", "all_sales", "grand")
 
 
 def mix(rows: DataFrame, by: str) -> DataFrame:
     """bucket and brand (or pack): sales, share, index, place. Only rows without a `by` are left out."""
     own = rows.where(F.col(by).isNotNull()).groupBy("bucket", by).agg(F.coalesce(F.sum(money(F.col("NET_SALES"))), F.lit(0).cast("decimal(28,4)")).alias("sales"))
     group, everywhere = W.partitionBy("bucket"), own.groupBy(by).agg(F.sum("sales").alias("sales_all"))
-    out = own.join(F.broadcast(everywhere), by).join(F.broadcast(own.agg(F.sum("sales").alias("grand"))))  # as many rows as brands or packs
+    out = own.join(everywhere, by).join(F.broadcast(own.agg(F.sum("sales").alias("grand"))))  # one row
     out = out.withColumns({"share": share(F.col("sales"), F.sum("sales").over(group)), "place": F.row_number().over(group.orderBy(F.desc("sales"), by))})
     return out.select("bucket", by, F.col("sales").cast("double").alias("sales"), "share", (F.try_divide(F.col("share"), share(F.col("sales_all"), F.col("grand"))) * 100).alias("index"), "place")
 
@@ -87,7 +87,7 @@ def heroes(listed: DataFrame, upto: float = 0.50) -> DataFrame:
 
 def selected(listed: DataFrame, table: DataFrame) -> DataFrame:
     """Products joined with a table of rank, type, criterion and reason, as `textops.selection_table` reads it."""
-    out = listed.join(F.broadcast(table), ["bucket", "rank"], "left")  # a reply of some dozen lines for each bucket
+    out = listed.join(table, ["bucket", "rank"], "left")
     return out.withColumn("msl_selection", F.when(F.col("sku_type").isin("Hero", "Strategic"), "✓").otherwise(""))
 
 

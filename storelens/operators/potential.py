@@ -75,8 +75,8 @@ def least_squares_fit(df: DataFrame, target: str, features: list[str]) -> np.nda
 
 
 def fit_sample(df: DataFrame, id_col: str = C.OUTLET_ID, most: int = 50_000) -> DataFrame:
-    """The same `most` rows each time: those of least hash of their id. A fit on all rows needs no such sample."""
-    return df.orderBy(F.xxhash64(f"`{id_col}`"), f"`{id_col}`").limit(most)
+    """The same `most` rows each time: those of least MD5 of their id. A fit on all rows needs no such sample."""
+    return df.orderBy(F.md5(F.col(f"`{id_col}`").cast("string").cast("binary")), f"`{id_col}`").limit(most)
 
 
 def predicted(df: DataFrame, features: list[str], beta: np.ndarray) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import config as C
+from ..functions import encode as E
 
 
 def col(name: str) -> Column:
@@ -50,11 +49,15 @@ def outliers(df: DataFrame, value: str = C.VALUE, times: float = C.OUTLIER_TIMES
 
 
 def negatives(df: DataFrame, keywords: list[str]) -> DataFrame:
-    """column, negatives: for columns whose capitals hold a keyword. No keyword: nothing is checked."""
-    names = [c for c, kind in df.dtypes if any(k in c.upper() for k in keywords) and kind != "string"]
+    """column, negatives: for columns whose capitals hold a keyword; text counts as the number that it is. No keyword: nothing is checked."""
+    names = [c for c, kind in df.dtypes if any(k in c.upper() for k in keywords)]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, negatives long")
-    return df.agg(*[F.count_if(col(c) < 0).alias(c) for c in names]).unpivot([], [col(c) for c in names], "column", "negatives")
+    return df.agg(*[F.count_if(number(df, c) < 0).alias(c) for c in names]).unpivot([], [col(c) for c in names], "column", "negatives")
+
+
+def number(df: DataFrame, name: str) -> Column:
+    return E.numeric(col(name)) if dict(df.dtypes)[name] == "string" else col(name).try_cast("double")
 
 
 def zero_share(df: DataFrame, value: str = C.VALUE) -> DataFrame:
@@ -72,20 +75,28 @@ def coverage(df: DataFrame, columns: list[str] | None = None, top: int = 5) -> D
     return counts.withColumn("place", place).where(F.col("place") <= top)
 
 
-def report(df: DataFrame, required: list[str], keywords: list[str] | None = None) -> DataFrame:
-    """check, pass, position: all seven in their order."""
-    parts = [
-        missing_columns(df, required).select("pass"),
-        null_percent(df).agg((F.count_if("flagged") == 0).alias("pass")),
-        duplicate_ids(df).select("pass"),
-        outliers(df).select("pass"),
-        negatives(df, keywords or []).agg((F.coalesce(F.sum("negatives"), F.lit(0)) == 0).alias("pass")),
-        zero_share(df).select("pass"),
-        df.limit(0).agg(F.lit(True).alias("pass")),
-    ]
-    names = ["required_columns", "null_pct", "duplicate_ids", "vpo_outliers", "negative_sku", "zero_vpo", "coverage"]
-    named = [p.select(F.lit(k).alias("position"), F.lit(n).alias("check"), "pass") for k, (n, p) in enumerate(zip(names, parts))]
-    return reduce(DataFrame.unionByName, named)
+def report(df: DataFrame, required: list[str], keywords: list[str] | None = None, value: str = C.VALUE, id_col: str = C.OUTLET_ID) -> DataFrame:
+    """check, pass, position: all seven in their order. Two passes: one for all counts and the mean, one for the rows far over it."""
+    names = [c for c in df.columns if any(k in c.upper() for k in keywords or [])]
+    share = lambda n: F.coalesce(rounded(F.try_divide(n * 100.0, F.col("__rows")), 2), F.lit(0.0))
+    counts = [F.count("*").alias("__rows"), *[F.count(col(c)).alias(f"__known_{k}") for k, c in enumerate(df.columns)]]
+    counts += [F.count_distinct(col(id_col)).alias("__ids")] if id_col in df.columns else []
+    counts += [F.count_if(number(df, c) < 0).alias(f"__low_{k}") for k, c in enumerate(names)]
+    counts += [F.avg(col(value).cast("decimal(18,4)")).cast("double").alias("__mean"), F.count_if(F.coalesce(col(value), F.lit(0.0)) == 0).alias("__zeros")]
+    found = df.agg(*counts)
+    far = df.select(col(value).alias("__v")).join(F.broadcast(found.select(F.col("__mean").alias("__m")))).agg(F.count_if(F.col("__v") > F.col("__m") * C.OUTLIER_TIMES).alias("__far"))  # one row
+    empty = [rounded(F.try_divide((F.col("__rows") - F.col(f"__known_{k}")) * 100.0, F.col("__rows")), 1) <= C.NULL_PERCENT for k in range(len(df.columns))]
+    passes = {
+        "required_columns": F.lit(all(c in df.columns for c in required)),
+        "null_pct": F.forall(F.array(*[F.coalesce(x, F.lit(True)) for x in empty]), lambda x: x),
+        "duplicate_ids": (F.col("__rows") == F.col("__ids")) if id_col in df.columns else F.lit(True),
+        "vpo_outliers": share(F.col("__far")) < 1.0,
+        "negative_sku": sum((F.col(f"__low_{k}") for k in range(len(names))), F.lit(0)) == 0,
+        "zero_vpo": share(F.col("__zeros")) < 5.0,
+        "coverage": F.lit(True),
+    }
+    lines = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(n).alias("check"), c.alias("pass")) for k, (n, c) in enumerate(passes.items())])
+    return found.join(F.broadcast(far)).select(F.inline(lines))  # one row
 
 
 def verdict(checks: DataFrame) -> DataFrame:

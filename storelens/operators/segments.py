@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import config as C
+from ..plans.lineage import cut
+from . import ranking
 
 MEASURES = ["VPO", "TOTAL_REVENUE", "AVG_SKU", "ACTIVE_MONTHS"]
 
@@ -43,8 +45,13 @@ def distribution(df: DataFrame) -> DataFrame:
 def profile_measures(df: DataFrame, measures: list[str] | None = None) -> DataFrame:
     """cluster, n, and the mean and median (two decimals) of each measure there is."""
     names = [m for m in (measures or MEASURES) if m in df.columns]
-    stats = [s for m in names for s in (exact_mean(m, 2).alias(f"mean_{m}"), F.bround(F.median(col(m).cast("double")), 2).alias(f"median_{m}"))]
-    return df.groupBy("cluster").agg(F.count("*").alias("n"), *stats)
+    rows = cut(df.select("cluster", *[col(m) for m in names]), "profiled")
+    out = rows.groupBy("cluster").agg(F.count("*").alias("n"), *[exact_mean(m, 2).alias(f"mean_{m}") for m in names])
+    long = rows.unpivot(["cluster"], [col(m).cast("double").alias(m) for m in names], "measure", "value")
+    mid = ranking.quantiles(long, "value", {"mid": 0.5}, ["cluster", "measure"])
+    mid = mid.groupBy(F.col("cluster").alias("__c")).agg(*[F.bround(F.max(F.when(F.col("measure") == m, F.col("mid"))), 2).alias(f"median_{m}") for m in names])
+    out = out.join(mid, F.col("cluster").eqNullSafe(F.col("__c")), "left")  # a row for each cluster
+    return out.select("cluster", "n", *[f"{s}_{m}" for m in names for s in ("mean", "median")])
 
 
 def top_categories(df: DataFrame, features: list[str], top: int = 3) -> DataFrame:
@@ -80,11 +87,20 @@ def feature_heatmap(df: DataFrame, columns: list[str], per_feature: bool = False
 
 
 def segment_summary(df: DataFrame) -> DataFrame:
-    """cluster, label, n, percent, means of four measures (one decimal)."""
-    out = df.groupBy("cluster", "segment_label").agg(F.count("*").alias("n"), *[exact_mean(m, 1).alias(f"avg_{m.lower()}") for m in MEASURES])
+    """cluster, label, recommended action, n, percent, means of four measures (one decimal)."""
+    df = df if "segment_action" in df.columns else df.withColumn("segment_action", F.lit(""))
+    out = df.groupBy("cluster", "segment_label", F.col("segment_action").alias("action")).agg(F.count("*").alias("n"), *[exact_mean(m, 1).alias(f"avg_{m.lower()}") for m in MEASURES])
     return out.join(F.broadcast(out.agg(F.sum("n").alias("total")))).withColumn("pct", F.bround(F.col("n") * 100.0 / F.col("total"), 1)).drop("total")
 
 
+def segment_texts(df: DataFrame, labels: DataFrame, sections: DataFrame, names: list[str]) -> DataFrame:
+    """A row for each cluster in df: label, channel and occasion, and a column for each section's text; empty where there is none."""
+    texts = sections.groupBy(F.col("doc_id").alias("cluster")).agg(*[F.max(F.when(F.col("section") == s, F.col("body"))).alias(s) for s in names])
+    out = df.select("cluster").distinct().join(labels.select("cluster", "label", "channel", "occasion"), "cluster", "left").join(texts, "cluster", "left")
+    label = F.coalesce("label", F.concat(F.lit("Segment "), F.col("cluster").cast("string")))
+    return out.select("cluster", label.alias("label"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("channel", "occasion", *names)])
+
+
 def segment_overview(df: DataFrame) -> DataFrame:
     return df.agg(F.count_distinct("cluster").alias("n_segments"), F.count("*").alias("n_outlets"), F.bround(F.sum(F.col("VPO").cast("decimal(18,4)")).cast("double"), 2).alias("total_vpo"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions.encode import looked_up
+from ..plans.lineage import cut
+from . import ranking
 
 # By the share of reference stores (two decimals), the range of the chance that a store carries a product.
 TIER_RANGE = {1.00: (0.88, 0.97), 0.80: (0.72, 0.88), 0.60: (0.50, 0.72), 0.40: (0.28, 0.50), 0.20: (0.07, 0.28)}
@@ -42,7 +44,7 @@ def lognormal(sales: DataFrame, least_std: float = 1.2) -> DataFrame:
     rows = sales.where("NET_SALES IS NOT NULL AND BRND_NM IS NOT NULL AND PPG_DESC IS NOT NULL")
     own = rows.groupBy("BRND_NM", "PPG_DESC").agg(F.avg(log_sales()).alias("mu"), F.stddev_samp(log_sales()).alias("own"))
     pack = sales.where("NET_SALES IS NOT NULL AND PPG_DESC IS NOT NULL").groupBy("PPG_DESC").agg(F.stddev_samp(log_sales()).alias("pack"))
-    return own.join(F.broadcast(pack), "PPG_DESC", "left").select("BRND_NM", "PPG_DESC", F.bround("mu", 4).alias("mu"), F.bround(F.coalesce("own", "pack", F.lit(least_std)), 4).alias("sigma"))  # a row for each pack
+    return own.join(pack, "PPG_DESC", "left").select("BRND_NM", "PPG_DESC", F.bround("mu", 4).alias("mu"), F.bround(F.coalesce("own", "pack", F.lit(least_std)), 4).alias("sigma"))
 
 
 def lognormal_global(sales: DataFrame) -> DataFrame:
@@ -50,14 +52,17 @@ def lognormal_global(sales: DataFrame) -> DataFrame:
 
 
 def skus_per_outlet(sales: DataFrame) -> DataFrame:
-    per = sales.groupBy(C.SALES_ID).agg(F.count("*").alias("n"))
-    return per.agg(F.min("n").alias("least"), F.median("n").alias("median"), F.bround(F.avg("n"), 2).alias("mean"), F.max("n").alias("most"))
+    per = cut(sales.groupBy(C.SALES_ID).agg(F.count("*").alias("n")), "per-outlet")
+    stats = per.agg(F.min("n").alias("least"), F.bround(F.avg("n"), 2).alias("mean"), F.max("n").alias("most"))
+    return stats.join(F.broadcast(ranking.quantiles(per, "n", {"median": 0.5}))).select("least", "median", "mean", "most")  # one row each
 
 
 def describe_sales(sales: DataFrame) -> DataFrame:
-    x = F.col("NET_SALES").cast("double")
-    quarter = lambda q, name: F.bround(F.percentile(x, q), 2).alias(name)
-    return sales.agg(
+    x, quarters = F.col("NET_SALES").cast("double"), {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    rows = cut(sales.select("NET_SALES"), "net-sales")
+    stats = rows.agg(
         F.count(x).alias("n"), F.bround(F.avg(x.cast("decimal(18,4)")).cast("double"), 2).alias("mean"), F.bround(F.stddev_samp(x), 2).alias("std"),
-        F.bround(F.min(x), 2).alias("least"), quarter(0.25, "q1"), quarter(0.5, "median"), quarter(0.75, "q3"), F.bround(F.max(x), 2).alias("most"),
+        F.bround(F.min(x), 2).alias("least"), F.bround(F.max(x), 2).alias("most"),
     )
+    found = ranking.quantiles(rows, "NET_SALES", quarters).select(*[F.bround(c, 2).alias(c) for c in quarters])
+    return stats.join(F.broadcast(found)).select("n", "mean", "std", "least", *quarters, "most")  # one row each

@@ -8,6 +8,8 @@ from pyspark.sql import Window as W
 
 from .. import config as C
 from ..functions.encode import looked_up, plain
+from ..plans.lineage import cut
+from . import ranking
 
 # Zones by number of shelves, standard names of brands and packs.
 ZONES = {
@@ -35,8 +37,7 @@ def pack_dims(raw: DataFrame) -> DataFrame:
     A blank brand is that of the rows above it; rows without three numbers go. What stands in brackets after
     a pack's name is left out of the standard name.
     """
-    above = W.partitionBy(F.lit(0)).orderBy("row_no").rowsBetween(W.unboundedPreceding, 0)  # a table of some hundred packs
-    out = raw.withColumn("brand", F.last(F.when(F.trim("brand") != "", F.trim("brand")), True).over(above))
+    out = ranking.filled_down(raw.withColumn("brand", F.when(F.trim("brand") != "", F.trim("brand"))), "brand", "row_no")
     sizes = ["height", "width", "depth"]
     out = out.withColumns({f"{s}_cm": F.trim(F.col(f"{s}_cm")).try_cast("double") for s in sizes}).dropna(subset=[f"{s}_cm" for s in sizes])
     out = out.withColumns({"brand_norm": brand_name(F.col("brand")), "ppg_norm": pack_name(F.regexp_replace("ppg_raw", r"\s*\(.*", ""))})
@@ -108,7 +109,8 @@ def facings(products: DataFrame, rack: DataFrame) -> DataFrame:
 def placement_order(df: DataFrame) -> DataFrame:
     """place_no within a bucket: Hero, Strategic, the rest; then rank (null last), then name."""
     kind = F.when(F.col("sku_type") == "Hero", 0).when(F.col("sku_type") == "Strategic", 1).otherwise(2)
-    return df.withColumn("place_no", F.row_number().over(W.partitionBy("bucket", "rack").orderBy(kind, F.asc_nulls_last("rank"), "product")))
+    out = ranking.numbered(df.withColumn("__kind", kind), ["bucket", "rack"], [F.asc("__kind"), F.asc_nulls_last("rank"), F.asc("product")], "place_no")
+    return out.drop("__kind")
 
 
 def preferred_zones(df: DataFrame) -> DataFrame:
@@ -128,23 +130,31 @@ def zone_of_shelves(n: Column) -> Column:
 def shelf_assignment(df: DataFrame) -> DataFrame:
     """Greedy first fit, by place_no, then by preferred zone, then from the lowest shelf: shelf and zone of each product.
 
-    "overflow" where no shelf has the width left; "not_placed" (shelf 0) where there are no facings. The products of
-    one bucket and rack, a few hundred, are folded in the JVM.
+    "overflow" where no shelf has the width left; "not_placed" (shelf 0) where there are no facings. Of products of
+    one width and zones only as many can find a place as the rack holds of that width, so only these first ones of each
+    width are folded (as many as widths and shelves make, however long the list is), and the fold keeps what it places.
     """
-    item = F.struct("place_no", "product", F.coalesce("facings", F.lit(0)).alias("facings"), F.coalesce("used_mm", F.lit(0.0)).alias("used"), "zones")
-    groups = df.groupBy("bucket", "rack").agg(F.first("usable").alias("usable"), zone_of_shelves(F.first("n_shelves")).alias("shelf_zones"), F.sort_array(F.collect_list(item)).alias("items"))
-    start = F.struct(F.transform("shelf_zones", lambda z: F.col("usable")).alias("left"), F.array().cast("array<struct<place_no:int,shelf:int,zone:string>>").alias("out"))
+    df = cut(df, "to-place")
+    kind = W.partitionBy("bucket", "rack", "used_mm", "zones").orderBy("place_no")
+    fits = F.floor(F.col("usable") / F.col("used_mm")) * F.col("n_shelves")
+    first = df.where((F.col("facings") > 0) & (F.col("used_mm") > 0)).withColumn("__n", F.row_number().over(kind)).where(F.col("__n") <= fits)
+    item = F.struct("place_no", F.col("used_mm").alias("used"), "zones")
+    groups = first.groupBy("bucket", "rack").agg(F.first("usable").alias("usable"), zone_of_shelves(F.first("n_shelves")).alias("shelf_zones"), F.sort_array(F.collect_list(item)).alias("items"))
+    start = F.struct(F.transform("shelf_zones", lambda z: F.col("usable")).alias("left"), F.array().cast("array<struct<place_no:int,shelf:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         shelves = F.sequence(F.lit(1), F.size("shelf_zones"))
-        fits = F.flatten(F.transform(x.zones, lambda z: F.filter(shelves, lambda s: (F.col("shelf_zones")[s - 1] == z) & (acc.left[s - 1] >= x.used))))
-        shelf = F.when(x.facings > 0, F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(-1))).otherwise(F.lit(0))
-        zone = F.when(shelf > 0, F.try_element_at(F.col("shelf_zones"), F.greatest(shelf, F.lit(1)))).when(shelf == 0, "not_placed").otherwise("overflow")
+        fit = F.flatten(F.transform(x.zones, lambda z: F.filter(shelves, lambda s: (F.col("shelf_zones")[s - 1] == z) & (acc.left[s - 1] >= x.used))))
+        shelf = F.try_element_at(fit, F.lit(1))
         left = F.transform(acc.left, lambda w, i: F.when(i + 1 == shelf, w - x.used).otherwise(w))
-        return F.struct(left.alias("left"), F.array_append(acc.out, F.struct(x.place_no.alias("place_no"), F.greatest(shelf, F.lit(0)).alias("shelf"), zone.alias("zone"))).alias("out"))
-
-    placed = groups.select("bucket", "rack", F.inline(F.aggregate("items", start, step, lambda acc: acc.out)))
-    return df.join(placed, ["bucket", "rack", "place_no"])
+        out = F.when(shelf.isNull(), acc.out).otherwise(F.array_append(acc.out, F.struct(x.place_no.alias("place_no"), shelf.alias("shelf"))))
+        return F.struct(left.alias("left"), out.alias("out"))
+
+    placed = groups.select("bucket", "rack", "shelf_zones", F.inline(F.aggregate("items", start, step, lambda acc: acc.out)))  # what stands on a rack
+    placed = placed.select(F.col("bucket").alias("__b"), F.col("rack").alias("__r"), F.col("place_no").alias("__p"), "shelf", F.get("shelf_zones", F.col("shelf") - 1).alias("zone"))
+    out = df.join(placed, F.col("bucket").eqNullSafe(F.col("__b")) & F.col("rack").eqNullSafe(F.col("__r")) & (F.col("place_no") == F.col("__p")), "left").drop("__b", "__r", "__p")
+    other = F.when(F.coalesce("facings", F.lit(0)) > 0, "overflow").otherwise("not_placed")
+    return out.withColumns({"zone": F.coalesce("zone", other), "shelf": F.coalesce("shelf", F.lit(0))})
 
 
 def assets_needed(placed: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from ..sources import files, sinks
 from ..streaming.inbox import inbox
 from . import adapter as A
 from . import batch
-from .lineage import shared_dir
+from .lineage import cut, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,15 +36,19 @@ def query(sql: str | None = None, name: str | None = None):  # noqa: ANN201
 
 
 def tiers(spark: SparkSession, d: str) -> DataFrame:
-    return priority.prioritised(A.outlets(spark, d))
+    return cut(priority.prioritised(A.outlets(spark, d)), "tiers")
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """Outlets with tiers, a stand-in potential, gaps, and a stand-in segment."""
     out = priority.gaps(tiers(spark, d).withColumn("predicted_raw", F.expr(A.POTENTIAL)))
     out = out.withColumn("cluster", F.expr(f"CAST({KEY} % 6 AS INT)"))
-    labels = spark.range(5).selectExpr("CAST(id AS INT) AS cluster", "concat('Label ', id) AS label", "'' AS description", "'' AS action")
-    return segments.attach_labels(out, labels)
+    return segments.attach_labels(out, labels(spark))
+
+
+def labels(spark: SparkSession) -> DataFrame:
+    """Labels of five of the six clusters."""
+    return spark.range(5).selectExpr("CAST(id AS INT) AS cluster", "concat('Label ', id) AS label", "if(id % 2 = 0, 'GT', 'MT') AS channel", "'Stock-up' AS occasion", "'' AS description", "concat('Action ', id) AS action")
 
 
 WITH_TIERS = f"{A.WITH}, {A.RANKED_SQL}"
@@ -68,7 +72,7 @@ def joined(spark: SparkSession, d: str) -> DataFrame:
 
 def listed(spark: SparkSession, d: str) -> DataFrame:
     t = tiers(spark, d)
-    return assortment.products(assortment.joined(A.sales(spark, d), t), assortment.bucket_stores(t))
+    return cut(assortment.products(assortment.joined(A.sales(spark, d), t), assortment.bucket_stores(t)), "listed")
 
 
 PRODUCT_SQL = "BRND_NM, SUB_BRND_NM, FLVR_NM, PPG_DESC"
@@ -244,12 +248,12 @@ REPORT_SQL = f"""{A.WITH} SELECT * FROM (VALUES (0, 'required_columns', false),
 
 @query(REPORT_SQL)
 def dq_report(spark: SparkSession, d: str) -> DataFrame:
-    return quality.report(A.outlets(spark, d), REQUIRED)
+    return quality.report(cut(A.outlets(spark, d), "outlets"), REQUIRED)
 
 
 @query(f"SELECT bool_and(pass) AS passed, string_agg('- ' || \"check\" || ': ' || CASE WHEN pass THEN 'PASS' ELSE 'FAIL' END, chr(10) ORDER BY position) AS text FROM ({REPORT_SQL})")
 def dq_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return quality.verdict(quality.report(A.outlets(spark, d), REQUIRED))
+    return quality.verdict(quality.report(cut(A.outlets(spark, d), "outlets"), REQUIRED))
 
 
 @query(f"{A.WITH} SELECT count(*) AS n_rows, CAST(19 AS BIGINT) AS n_columns, 'OUTLET_UID_EDITED, VPO' AS key_columns FROM outlets")
@@ -322,12 +326,12 @@ NUMERIC_SQL = "numeric AS (SELECT *, CASE raw_number WHEN '0x2a' THEN 42.0 WHEN
 
 @query(f"{A.WITH}, {NUMERIC_SQL} SELECT OUTLET_UID_EDITED, coalesce(x, (SELECT median(x) FROM numeric)) AS raw_number FROM numeric")
 def impute_median(spark: SparkSession, d: str) -> DataFrame:
-    return priority.imputed(priority.coerced(A.outlets(spark, d), ["raw_number"]), ["raw_number"]).select("OUTLET_UID_EDITED", "raw_number")
+    return priority.imputed(cut(priority.coerced(A.outlets(spark, d), ["raw_number"]), "coerced"), ["raw_number"]).select("OUTLET_UID_EDITED", "raw_number")
 
 
 @query(f"{A.WITH}, {NUMERIC_SQL}, f AS (SELECT OUTLET_UID_EDITED, coalesce(x, (SELECT median(x) FROM numeric)) AS x FROM numeric) SELECT OUTLET_UID_EDITED, round_even((x - (SELECT avg(x) FROM f)) / (SELECT stddev_pop(x) FROM f), 6) AS z FROM f")
 def standardize(spark: SparkSession, d: str) -> DataFrame:
-    out, names = priority.standardised(priority.coerced(A.outlets(spark, d), ["raw_number"]), ["raw_number"])
+    out, names = priority.standardised(cut(priority.coerced(A.outlets(spark, d), ["raw_number"]), "coerced"), ["raw_number"])
     return out.select("OUTLET_UID_EDITED", F.bround(names[0], 6).alias("z"))
 
 
@@ -355,7 +359,7 @@ def feature_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def modelled(spark: SparkSession, d: str, ols: bool = False) -> DataFrame:
-    out, names = priority.standardised(ready(spark, d), FEATURES)
+    out, names = priority.standardised(cut(ready(spark, d), "ready"), FEATURES)
     out = out.withColumn("y", F.coalesce("VPO", F.lit(0.0)))
     beta = potential.least_squares_fit(out, "y", names) if ols else potential.quantile_fit(out, "y", names)
     return priority.gaps(potential.predicted(out, names, beta))
@@ -366,7 +370,17 @@ def quantile_regression(spark: SparkSession, d: str) -> DataFrame:
     return modelled(spark, d).select("OUTLET_UID_EDITED", "predicted_potential_vpo", "opportunity_gap", "priority")
 
 
-@query()
+def ols_sql() -> str:
+    """Least squares by taking the features out of the target, and of one another, one by one."""
+    out = MATRIX_SQL[: MATRIX_SQL.rindex(" SELECT OUTLET_UID_EDITED")] + ", y AS (SELECT f.*, coalesce(VPO, 0) AS y FROM f JOIN tiers USING (OUTLET_UID_EDITED))"
+    out += f", g0 AS (SELECT OUTLET_UID_EDITED, y AS whole, y - avg(y) OVER () AS y, {', '.join(f'{c} - avg({c}) OVER () AS {c}' for c in FEATURES)} FROM y)"
+    for k, c in enumerate(FEATURES):
+        less = [f"{x} - sum({x} * {c}) OVER () / nullif(sum({c} * {c}) OVER (), 0) * {c} AS {x}" for x in ["y", *FEATURES[k + 1 :]]]
+        out += f", g{k + 1} AS (SELECT OUTLET_UID_EDITED, whole, {', '.join(less)} FROM g{k})"
+    return out + f" SELECT OUTLET_UID_EDITED, round_even(greatest(whole - y, 0), 2) AS predicted_potential_vpo FROM g{len(FEATURES)}"
+
+
+@query(ols_sql())
 def ols_fallback(spark: SparkSession, d: str) -> DataFrame:
     return modelled(spark, d, True).select("OUTLET_UID_EDITED", "predicted_potential_vpo")
 
@@ -376,7 +390,7 @@ def predict_potential(spark: SparkSession, d: str) -> DataFrame:
     return modelled(spark, d).select("OUTLET_UID_EDITED", "predicted_potential_vpo")
 
 
-@query()
+@query(f"{A.WITH} SELECT OUTLET_UID_EDITED, VPO FROM outlets ORDER BY md5(OUTLET_UID_EDITED), OUTLET_UID_EDITED LIMIT 50000")
 def fit_sample(spark: SparkSession, d: str) -> DataFrame:
     return potential.fit_sample(A.outlets(spark, d)).select("OUTLET_UID_EDITED", "VPO")
 
@@ -424,7 +438,7 @@ def brand_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
-    out, names = priority.standardised(ready(spark, d), [*FEATURES, "bucket_num"])
+    out, names = priority.standardised(cut(ready(spark, d), "ready"), [*FEATURES, "bucket_num"])
     return segments.kmeans(out, names).select("OUTLET_UID_EDITED", "cluster")
 
 
@@ -703,34 +717,50 @@ def preferred_zone(spark: SparkSession, d: str) -> DataFrame:
     return space.preferred_zones(faced(spark, d)).select("bucket", "product", F.col("zones")[0].alias("first_zone"))
 
 
-@query()
+SHELVES = {"base": (1, 3, 2, 4), "eye_level": (3, 2, 1, 4), "upper": (4, 3, 2, 1)}
+FIT_SQL = " ".join(f"WHEN first_zone = '{z}' THEN CASE " + " ".join(f"WHEN l{k} >= used THEN {k}" for k in order) + " ELSE -1 END" for z, order in SHELVES.items())
+PLACED_SQL = f"""{FACED_SQL.replace("WITH", "WITH RECURSIVE", 1)},
+ ordered AS MATERIALIZED (SELECT *, facings * w AS used, row_number() OVER (PARTITION BY bucket ORDER BY CASE WHEN cumulative <= 0.5 THEN 0 ELSE 2 END, rank, product) AS place_no,
+  CASE WHEN PPG_DESC IN ('Large', 'Extra Large') THEN 'base' WHEN cumulative <= 0.5 THEN 'eye_level' ELSE 'upper' END AS first_zone FROM faced),
+ walk AS (SELECT DISTINCT bucket, CAST(0 AS BIGINT) AS place_no, 855.0::DOUBLE AS l1, 855.0::DOUBLE AS l2, 855.0::DOUBLE AS l3, 855.0::DOUBLE AS l4, 0 AS s FROM ordered
+  UNION ALL SELECT bucket, place_no, {", ".join(f"CASE WHEN s = {k} THEN l{k} - used ELSE l{k} END" for k in (1, 2, 3, 4))}, s
+  FROM (SELECT w.bucket, o.place_no, l1, l2, l3, l4, used, CASE WHEN coalesce(facings, 0) = 0 THEN 0 {FIT_SQL} END AS s FROM walk w JOIN ordered o ON o.bucket = w.bucket AND o.place_no = w.place_no + 1)),
+ placed AS (SELECT o.*, CASE WHEN cumulative <= 0.5 THEN 'Hero' ELSE '' END AS sku_type, greatest(w.s, 0) AS shelf, CASE w.s WHEN 0 THEN 'not_placed' WHEN -1 THEN 'overflow' WHEN 1 THEN 'base' WHEN 2 THEN 'grab_zone' WHEN 3 THEN 'eye_level' ELSE 'upper' END AS zone
+  FROM ordered o JOIN walk w USING (bucket, place_no)),
+ held AS (SELECT bucket, {", ".join(f"CAST(greatest(1, ceil(coalesce(sum(used) FILTER (WHERE {c}), 0) / (855 * 4))) AS INT) AS {n}" for n, c in (("assets_needed", "shelf > 0"), ("assets_with_overflow", "shelf > 0 OR zone = 'overflow'")))},
+  round_even(coalesce(CAST(sum(CAST(share AS DECIMAL(20,10))) FILTER (WHERE shelf > 0) AS DOUBLE), 0) * 100, 1) AS coverage_pct, count(*) FILTER (WHERE shelf > 0) AS n_placed, count(*) FILTER (WHERE zone = 'overflow') AS n_overflow, count(*) FILTER (WHERE h IS NULL) AS n_no_dims
+  FROM placed GROUP BY 1)"""
+
+
+@query(f"{PLACED_SQL} SELECT bucket, product, place_no, shelf, zone FROM placed")
 def shelf_assignment(spark: SparkSession, d: str) -> DataFrame:
     return placed(spark, d).select("bucket", "product", "place_no", "shelf", "zone")
 
 
-@query()
+@query(f"{PLACED_SQL} SELECT * FROM held")
 def assets_needed(spark: SparkSession, d: str) -> DataFrame:
     return space.assets_needed(placed(spark, d))
 
 
-@query()
+@query(f"{PLACED_SQL} SELECT bucket, n_placed, n_overflow, n_no_dims, coverage_pct, assets_needed FROM held")
 def space_summary(spark: SparkSession, d: str) -> DataFrame:
     return space.assets_needed(placed(spark, d)).select("bucket", "n_placed", "n_overflow", "n_no_dims", "coverage_pct", "assets_needed")
 
 
-@query()
+@query(f"{PLACED_SQL} SELECT bucket, sku_type, product, rank, shelf, zone, dos, warning FROM (SELECT *, row_number() OVER (PARTITION BY bucket, sku_type ORDER BY rank, product) AS n FROM placed) WHERE (sku_type IN ('Hero', 'Strategic') AND n <= 8) OR warning <> ''")
 def placement_highlights(spark: SparkSession, d: str) -> DataFrame:
     return space.highlights(placed(spark, d))
 
 
-@query()
+@query(f"""{PLACED_SQL} SELECT bucket, 'Rack A' AS rack, place_no, rank, product, BRND_NM AS brand, PPG_DESC AS pack, sku_type, round_even(share * 100, 2) AS share_pct, round_even(penetration * 100, 1) AS penetration_pct, round_even("index", 1) AS "index",
+ h AS height_mm, w AS width_mm, d AS depth_mm, round_even(units, 6) AS units, facings, used AS used_mm, dos, shelf, zone, warning FROM placed""")
 def space_display(spark: SparkSession, d: str) -> DataFrame:
-    return space.display(placed(spark, d))
+    return space.display(placed(spark, d)).withColumn("units", F.bround("units", 6))
 
 
 # Reports
 
-WITH_SEGMENT = f"{WITH_SCORED} SELECT cluster, segment_label, count(*) AS n, " + ", ".join(f"{dec(m, 1)} AS avg_{m.lower()}" for m in segments.MEASURES) + ", round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM scored GROUP BY ALL"
+WITH_SEGMENT = f"{WITH_SCORED} SELECT cluster, segment_label, CASE WHEN cluster = 5 THEN '' ELSE 'Action ' || cluster END AS action, count(*) AS n, " + ", ".join(f"{dec(m, 1)} AS avg_{m.lower()}" for m in segments.MEASURES) + ", round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM scored GROUP BY ALL"
 
 
 @query(WITH_SEGMENT)
@@ -782,11 +812,16 @@ def radar_scores(spark: SparkSession, d: str) -> DataFrame:
     return A.read(spark, d, "customer").select("c_custkey", F.array_join(F.transform(E.radar_scores(F.coalesce(text, F.lit(""))), lambda x: x.cast("string")), ",").alias("scores"))
 
 
-@query()
+SECTIONS = list(dict.fromkeys(name for _, name in textops.SECTIONS))
+TEXTS_SQL = ", ".join({"identity_card": "'Segment of ' || n", "shopper_profile": "'Cluster ' || cluster || chr(10) || 'second line'"}.get(s, "''") + f" AS {s}" for s in SECTIONS)
+
+
+@query(f"{WITH_SCORED} SELECT cluster, segment_label AS label, CASE WHEN cluster = 5 THEN '' WHEN cluster % 2 = 0 THEN 'GT' ELSE 'MT' END AS channel, CASE WHEN cluster = 5 THEN '' ELSE 'Stock-up' END AS occasion, {TEXTS_SQL} FROM (SELECT cluster, segment_label, count(*) AS n FROM scored GROUP BY 1, 2)")
 def segment_texts(spark: SparkSession, d: str) -> DataFrame:
-    rows = scored(spark, d).groupBy("cluster", "segment_label").agg(F.count("*").alias("n"))
-    text = F.concat(F.lit("IDENTITY CARD\n"), F.col("segment_label"), F.lit("\nSHOPPER PROFILE\n"), F.col("n").cast("string"))
-    return textops.sections(rows.select(F.col("cluster").alias("doc_id"), text.alias("text")))
+    rows = cut(scored(spark, d).groupBy("cluster").agg(F.count("*").alias("n")), "clusters")
+    text = F.concat(F.lit("IDENTITY CARD\nSegment of "), F.col("n").cast("string"), F.lit("\nSection 2: SHOPPER PROFILE\nCluster "), F.col("cluster").cast("string"), F.lit("\nsecond line"))
+    replies = textops.sections(rows.select(F.col("cluster").alias("doc_id"), text.alias("text")))
+    return segments.segment_texts(rows, labels(spark), replies, SECTIONS)
 
 
 # Statistics of reference sales

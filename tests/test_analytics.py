@@ -70,6 +70,23 @@ def test_ranks_agree_with_plain_windows(spark):
     assert {(r.i, r.p, r.r) for r in got.collect()} == {(r.i, r.p, r.r) for r in plain.collect()}
 
 
+def test_places_running_sums_and_quantiles_by_range(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 7 == 0 else "ab"[int(rng.integers(2))], float(rng.integers(0, 40)), int(rng.integers(0, 9))) for i in range(500)] + [(900, "one", 5.0, 1), (901, "none", None, 2)]
+    df = spark.createDataFrame(rows, "i int, g string, v double, n long").repartition(5)
+    got = {r.i: (r.place, r.run_n, r.all_n) for r in ranking.numbered(df, ["g"], [F.desc("v"), F.asc("i")], "place", ("n",)).collect()}
+    for g in {r[1] for r in rows}:
+        own = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        run = np.cumsum([r[3] for r in own])
+        assert all(got[r[0]] == (k + 1, run[k], run[-1]) for k, r in enumerate(own))
+    q = {r.g: (r.a, r.b, r.c) for r in ranking.quantiles(df, "v", {"a": 0.25, "b": 0.5, "c": 1.0}, ["g"]).collect()}
+    for g in {r[1] for r in rows} - {"none"}:
+        assert np.allclose(q[g], np.quantile([r[2] for r in rows if r[1] == g], (0.25, 0.5, 1.0)))
+    assert "none" not in q and ranking.quantiles(df.limit(0), "v", {"a": 0.5}).first().a is None
+    down = ranking.filled_down(df.withColumn("x", F.when(F.col("i") % 50 == 3, F.col("i"))), "x", "i")
+    assert {r.i: r.x for r in down.collect()} == {i: None if i < 3 else min(453, i - (i - 3) % 50) if i < 900 else 453 for i in (r[0] for r in rows)}
+
+
 def test_buckets_at_their_borders(spark):
     df = spark.createDataFrame([(float(v),) for v in range(1, 11)], "VPO double")
     got = {r.VPO: r.priority_bucket for r in priority.prioritised(df).collect()}
@@ -217,3 +234,31 @@ def test_sku_statistics(sales):
     sigma = {r.BRND_NM: r.sigma for r in skustats.lognormal(sales).collect()}
     assert sigma["Kurkure"] == 1.2 and sigma["Quaker"] == sigma["Quaker"]
     assert C.TIERS[0] == "A+"
+
+
+def test_first_fit_agrees_with_a_plain_fold_on_long_lists(spark):
+    rng = np.random.default_rng(4)
+    zones = [["base", "eye_level", "grab_zone", "upper"], ["upper", "eye_level", "grab_zone", "base"], ["eye_level", "grab_zone", "base", "upper"]]
+    rows = []
+    for bucket in "AB":
+        for n in range(600):
+            f = int(rng.integers(0, 4))
+            rows.append((bucket, "r", n + 1, f"p{n}", f if n % 9 else None, None if f == 0 else float(rng.integers(2, 40)) * 7.5, zones[int(rng.integers(3))], 855.0, 4))
+    df = spark.createDataFrame(rows, "bucket string, rack string, place_no int, product string, facings int, used_mm double, zones array<string>, usable double, n_shelves int").repartition(3)
+    got = {(r.bucket, r.place_no): (r.shelf, r.zone) for r in space.shelf_assignment(df).collect()}
+    names = space.ZONES[4]
+    for bucket in "AB":
+        left = [855.0] * 4
+        for _, _, n, _, f, used, order, *_ in sorted(r for r in rows if r[0] == bucket):
+            shelf, zone = 0, "not_placed"
+            if f:
+                fits = [k for z in order for k in range(4) if names[k] == z and left[k] >= used]
+                shelf, zone = (fits[0] + 1, names[fits[0]]) if fits else (0, "overflow")
+                if fits:
+                    left[fits[0]] -= used
+            assert got[bucket, n] == (shelf, zone)
+
+
+def test_negative_text_counts_as_the_number_that_it_is(spark):
+    df = spark.createDataFrame([("-1", "x"), ("2", "-3"), (None, "-0.5")], "LAYS_SKU string, ACCT string")
+    assert {r.column: r.negatives for r in quality.negatives(df, ["SKU", "ACCT"]).collect()} == {"LAYS_SKU": 1, "ACCT": 2}
