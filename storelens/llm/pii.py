@@ -8,7 +8,8 @@ discloses an entity e as far as its pointwise mutual information with e nears th
 
 Counts are of documents. A term whose disclosure is at or over the threshold, on at least `support` documents, is
 removed at every place of every text, or generalised if it holds a digit (digits become 0). Pairs are made only for
-entities that stand in `support` documents: as many as there are of them in texts, times the texts' distinct words.
+entities that stand in `support` documents, and for one of those that stand in the same documents (a list of contacts
+in several copies makes one): as many as there are of them in texts, times the texts' distinct words.
 """
 
 from __future__ import annotations
@@ -205,8 +206,10 @@ def detect(docs: DataFrame, threshold: float = 0.9, support: int = 3, id_col: st
     """
     found = keep(find(docs, id_col, text_col), "personal")
     rows = found.agg(F.count("*")).first()[0]
-    each = found.select(F.explode("es").alias("e"), "terms")
-    entities = keep(each.groupBy("e").agg(F.count("*").alias("c_e")).where(F.col("c_e") >= support), "entities")  # of others no pair has the support
+    each = found.select(F.explode("es").alias("e"), "doc_id", "h", "terms")
+    where = [F.sum(F.xxhash64("doc_id", "h", F.lit(k)).cast("decimal(38,0)")).alias(f"where_{k}") for k in (0, 1)]  # equal for entities of the same documents
+    entities = each.groupBy("e").agg(F.count("*").alias("c_e"), *where).where(F.col("c_e") >= support)  # of others no pair has the support
+    entities = keep(entities.groupBy("c_e", "where_0", "where_1").agg(F.min("e").alias("e")).select("e", "c_e"), "entities")
     both = each.join(entities, "e", "left_semi").select("e", F.explode("terms").alias("term")).groupBy("e", "term").agg(F.count("*").alias("c_et")).where(F.col("c_et") >= support)
     both = keep(both, "pairs")
     terms = document_counts(docs, places(both.select("term").distinct()), text_col)
