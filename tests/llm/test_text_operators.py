@@ -179,6 +179,32 @@ def test_toxicity_learns_and_swaps_lower_the_weight_of_groups(spark, make, words
     assert spread(model) < 0.5 * spread(free)
 
 
+def test_scores_are_the_plain_formula_and_the_fit_is_a_minimum(make, odd, words):
+    rng = np.random.default_rng(1)
+    model = rng.normal(size=1 << toxicity.BITS).astype(np.float32).astype(float), -0.5
+    for r in toxicity.score(make(odd), model).collect():
+        mine = {w.lower() for i, t in odd if i == r.doc_id for w in re.findall(r"\w+", t or "")}
+        z = model[1] + sum(model[0][p] for w in mine for p in toxicity.features(w))
+        assert math.isclose(r.score, 1 / (1 + math.exp(-max(-500, min(500, z)))), rel_tol=1e-3, abs_tol=1e-9)
+    texts = [[*words(12, k), *(["vile"] if k % 2 else []), *(["women"] if k % 2 or k % 6 == 0 else [])] for k in range(300)]
+    vocabulary = sorted({w for t in texts for w in t})
+    doc, word = zip(*[(k, vocabulary.index(w)) for k, t in enumerate(texts) for w in set(t)])
+    labels, share, pairs = np.arange(300) % 2.0, np.ones(300), [(["women"], [g]) for g in ("men", "jews", "elderly")]
+    sums = lambda w: np.bincount(doc, np.array([w[list(toxicity.features(v))].sum() for v in vocabulary])[list(word)], 300)
+
+    def loss(w, b):
+        z = sums(w) + b
+        swaps = [(w[list(toxicity.features("women"))].sum() - w[list(toxicity.features(n[0]))].sum()) ** 2 for _, n in pairs]
+        return np.mean(np.logaddexp(0, z) - labels * z) + 1e-5 / 2 * (w * w).sum() + np.mean(swaps) + 1e-4 * np.abs(w).sum()
+
+    w, b = toxicity.learn(np.array(doc), np.array(word), vocabulary, labels, share, pairs, lasso=1e-4, rounds=1500)
+    best, held = loss(w, b), np.flatnonzero(w)
+    for _ in range(40):
+        other = w.copy()
+        other[rng.choice(held, 5)] += rng.normal(scale=0.1, size=5)
+        assert loss(other, b + rng.normal(scale=0.02)) >= best - 0.002
+
+
 def test_toxicity_odd_rows(spark, make, odd):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(make(odd), none)
@@ -370,6 +396,31 @@ def test_disclosing_terms_go_at_every_place_of_every_text(make, words):
     assert all(out[k].startswith("Zorblatt00 ") and out[k].endswith(" zorblatt00") and "[EMAIL]" in out[k] for k in range(4)) and out[4] == "here is ZORBLATT00 alone"
 
 
+def test_disclosure_against_a_plain_count(make, words):
+    """Random documents: the terms that go are those of the plain formula."""
+    rng, rows = random.Random(2), []
+    for k in range(300):
+        who = rng.choice(["", "", "", *(f"p{j}@corp.example" for j in range(12))])
+        near = [f"name{who[1:].split('@')[0]}"] if who and rng.random() < 0.9 else [f"name{rng.randrange(12)}"] if rng.random() < 0.05 else []
+        rows.append((k, " ".join(words(rng.randrange(5, 40), k) + near + ([who, "and " + who] if who else []))))
+    found = [(set(re.findall(r"p\d+@corp\.example", t)), {w for w in re.findall(r"\w+", re.sub(r"p\d+@corp\.example", " ", t).lower()) if len(w) >= 3}) for _, t in rows]
+    n, c_e, c_t, c_et = len(rows), Counter(), Counter(w for _, ts in found for w in ts), Counter()
+    for es, ts in found:
+        c_e.update(es)
+        c_et.update((e, w) for e in es for w in ts)
+    want = {w for (e, w), c in c_et.items() if c >= 3 and math.log2(n * c / (c_t[w] * c_e[e])) >= 0.9 * math.log2(n / c_e[e])}
+    text = dict(rows)
+    got = {text[r.doc_id][int(a) : int(b)].lower() for r in pii.digests(pii.detect(make(rows))).collect() for kind, a, b in (x.split(":") for x in r.spans.split(",") if x) if kind == "term"}
+    assert got == want and len(want) >= 3
+
+
+def test_a_long_list_of_contacts_in_copies_takes_seconds(make):
+    text = " ".join(f"person{k} user{k}@corp.example" for k in range(6000))
+    began = time.time()
+    got = pii.digests(pii.detect(make([(1, text), (2, text), (3, text), *((10 + k, f"other text {k}") for k in range(200))]))).collect()
+    assert {r.n_email for r in got if r.doc_id < 4} == {6000} and all("term:" in r.spans for r in got if r.doc_id < 4) and time.time() - began < 90
+
+
 def test_toxicity_labels_without_documents(spark, make):
     labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
     for rows in ([(9, "x")], [(1, "only one label")]):
