@@ -60,3 +60,27 @@ def test_few_and_no_vectors(spark):
     assert run(spark, [])[0] == {}
     assert run(spark, [(0, [1.0, 0.0])])[0] == {}
     assert [x for x, _ in run(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])])[0][0]] == [2, 1]
+
+
+def test_very_small_and_very_large_vectors_take_part(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.normal(size=16) * 10.0 ** [0, -200, 200, -300][i % 4]).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    m = np.array([np.array(v) / np.abs(v).max() for _, v in rows])
+    m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    for q in range(0, 200, 50):
+        sims = m @ m[q]
+        want = [j for j in np.argsort(-sims) if j != q][:5]
+        assert [got[q][k][0] for k in range(1, 6)] == want and np.allclose([got[q][k][1] for k in range(1, 6)], sims[want], atol=1e-12)
+
+
+def test_one_hot_list_of_queries_is_dealt_in_lots(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=16)
+    rows = [(50 * i, (base + 0.01 * rng.normal(size=16)).tolist()) for i in range(600)] + [(50 * i + 1, rng.normal(size=16).tolist()) for i in range(300)]
+    plain, _ = run(spark, rows)
+    dealt, _ = run(spark, rows, asked_limit=40, list_limit=50)
+    assert len(plain) == 600 and np.mean([plain[q] == dealt[q] for q in plain]) > 0.98

@@ -1,4 +1,7 @@
 import hashlib
+import time
+
+from pyspark.sql import functions as F
 
 from storelens.llm import chat
 
@@ -42,5 +45,13 @@ def test_windows_keep_the_system_turn_the_budget_and_history(spark):
     assert all(r.text[s.start : s.end] == "a b c d e f" for r in got for s in r.loss)
 
 
+def test_crowded_turns_and_rows_without_an_id(spark):
+    """100000 rows of one conversation and one turn number, without an id: blocks hold rows, not numbers."""
+    began = time.time()
+    rows = spark.range(100_000).select(F.lit(None).cast("long").alias("conv_id"), F.lit(7).alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), F.col("id") % 50).alias("text"))
+    out = chat.windows(rows).agg(F.sum("n_turns").alias("n"), F.sum(F.size("loss")).alias("loss"), F.max("tokens").alias("most"), F.count_distinct("block").alias("blocks")).first()
+    assert (out.n, out.loss, out.blocks) == (100_000, 50_000, -(-100_000 // chat.BLOCK)) and out.most <= 1024 and time.time() - began < 120
+
+
 def test_empty(spark):
     assert chat.digests(chat.windows(frame(spark, []))).count() == 0
