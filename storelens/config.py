@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+# Names of columns, and numbers and orders that results must agree with.
 OUTLET_ID = "OUTLET_UID_EDITED"
 SALES_ID = "CUST_UNIQ_ID_VAL"
 VALUE = "VPO"

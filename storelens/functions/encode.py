@@ -80,9 +80,13 @@ def penetration_band(c: Column) -> Column:
     return F.when(c <= 0.55, "red").when(c <= 0.69, "orange").when(c.isNotNull(), "green")
 
 
+#: Fixed value: the form in which a reply gives its scores.
+SCORES = r"Scores\s*:\s*\[([^\]]+)\]"
+
+
 def radar_scores(text: Column, n: int = 8, fill: float = 3.0) -> Column:
     """The numbers after "Scores:", filled up with 3 to n values; all 3 if they are missing or one is no number."""
-    inner = F.regexp_extract(text, r"Scores\s*:\s*\[([^\]]+)\]", 1)
+    inner = F.regexp_extract(text, SCORES, 1)
     values = F.transform(F.split(inner, ","), lambda x: F.trim(x).try_cast("double"))
     full = F.slice(F.concat(values, F.array_repeat(F.lit(fill), n)), 1, n)
     return F.when((F.length(F.trim(inner)) > 0) & ~F.exists(values, lambda x: x.isNull()), full).otherwise(F.array_repeat(F.lit(fill), n))
