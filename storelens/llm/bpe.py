@@ -80,8 +80,8 @@ class Tokenizer:
         out[todo] = got
         return out
 
-    def merge_matrix(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces of about one length."""
+    def merge_matrix(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of pieces of about one length."""
         length = max(map(len, pieces))
         raw = np.frombuffer(b"".join(p.ljust(length, b"\0") for p in pieces), np.uint8).reshape(len(pieces), length)
         ids = self.single[raw]
@@ -93,8 +93,11 @@ class Tokenizer:
             best = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(row), np.int64)
             least = rank[np.arange(len(row)), best] if rank.shape[1] else np.full(len(row), NONE)
             done = least == NONE
-            for r, x in zip(row[done], ids[done]):
-                out[r] = x[x >= 0]
+            if done.any():  # all rows that are done are packed in one go
+                held = ids[done] >= 0
+                packed, ends = ids[done][held].astype("<u4").tobytes(), (4 * np.cumsum(held.sum(axis=1))).tolist()
+                for r, a, b in zip(row[done].tolist(), [0, *ends], ends):
+                    out[r] = packed[a:b]
             if done.all():
                 return out
             row, ids, rank, best, least = row[~done], ids[~done], rank[~done], best[~done], least[~done]
@@ -148,8 +151,7 @@ class Tokenizer:
         for bucket in buckets.values():
             for lo in range(0, len(bucket), 4096):
                 part = bucket[lo : lo + 4096]
-                for (p, _), ids in zip(part, self.merge_matrix([d for _, d in part])):
-                    out[p] = ids.astype("<u4").tobytes()
+                out.update(zip([p for p, _ in part], self.merge_matrix([d for _, d in part])))
         return out
 
     def pieces(self, text: str) -> Iterator[list[str]]:
