@@ -149,11 +149,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 4000, groups: dic
 def scorer(model: tuple[np.ndarray, float]):  # noqa: ANN201
     """Score of a text, with a bounded memory of words."""
     (weights, bias), known = model, {}
+    weights = weights.astype(np.float64)
 
     def of(text: str | None) -> float:
         words = words_of(text)
-        for w in [w for w in words if w not in known]:
-            known[w] = float(weights[list(features(w))].sum())
+        if new := [w for w in words if w not in known]:
+            places = [features(w) for w in new]
+            starts = np.cumsum([0, *(len(p) for p in places[:-1])])
+            known.update(zip(new, np.add.reduceat(weights[np.fromiter((x for p in places for x in p), np.int64)], starts).tolist()))
         z = bias + sum(sorted(map(known.__getitem__, words)))
         if len(known) > REMEMBERED:
             known.clear()
