@@ -1,9 +1,9 @@
 """Benchmark decontamination: item-sized windows of documents that are near an item.
 
 A document's windows of as many words as an item has are fingerprinted (SimHash of BITS bits over five-word
-shingles, weighted by how often they occur) if enough of their shingles are an item's: a window at or over `least` to an
-item shares a known number of shingles with it, and so with all items together, which a sliding count tells for every
-window of every length. Nothing is lost by it. Fingerprints are looked up in a multi-index among the items
+shingles, weighted by how often they occur) if enough of their shingles are those of items of that length: a window at or
+over `least` to an item shares a known number of shingles with it, and so with all items of its length together, which
+a sliding count tells for every window. Nothing is lost by it. Fingerprints are looked up in a multi-index among the items
 of that length: the bits are cut into BLOCKS blocks, and any fingerprint within the radius differs in at most
 radius // BLOCKS bits in one of these, so probing those finds all of them. Of each candidate the exact
 weighted-shingle similarity (sum of the smaller counts over sum of the larger) decides. At 0.8 about 19 of 128
@@ -83,8 +83,11 @@ class Items:
                 of_length[len(w)].append(k)
             elif w:
                 self.short[tuple(w)].append(k)
-        keys = [self.keys(np.array([self.vocabulary[x] for x in self.words[k]], np.int64)) for own in of_length.values() for k in own]
-        self.key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        keys = {n: np.unique(np.concatenate([self.keys(np.array([self.vocabulary[x] for x in self.words[k]], np.int64)) for k in own])) for n, own in of_length.items()}
+        self.key = np.concatenate([np.zeros(0, np.uint64), *keys.values()])
+        self.length = np.repeat(np.array(list(keys), np.int64), [len(x) for x in keys.values()])
+        order = np.argsort(self.key, kind="stable")
+        self.key, self.length = self.key[order], self.length[order]
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for length, own in sorted(of_length.items()):
             prints = np.concatenate([packed(votes(shingles(self.words[k])).sum(axis=0, keepdims=True)) for k in own])
@@ -108,24 +111,36 @@ class Items:
         every = np.arange(1 << BLOCK_BITS, dtype=np.uint8)
         return np.bitwise_count(self.values(prints).T[:, None, :] ^ every[None, :, None]) <= self.radius // BLOCKS
 
-    def near(self, length: int, window: np.ndarray) -> np.ndarray:
-        """Items of that length within the radius of one fingerprint."""
+    def near(self, length: int, windows: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(place of a fingerprint, item of that length within the radius of it); so many at a time that a block's row of items stays small."""
         own, prints, blocks = self.by_length[length]
-        some = np.flatnonzero(blocks[np.arange(BLOCKS), self.values(window[None])[0]].any(axis=0))
-        return own[some[np.bitwise_count(prints[some] ^ window.view(np.uint64)).sum(axis=1) <= self.radius]]
-
-    def known(self, words: list[str]) -> np.ndarray:
-        """Running count of the places whose shingle is an item's."""
-        n = len(words) - SHINGLE + 1
+        step = max(1, (1 << 18) // (len(own) * BLOCKS))
+        for lo in range(0, len(windows), step):
+            some = windows[lo : lo + step]
+            values, maybe = self.values(some), np.zeros((len(some), len(own)), bool)
+            for b in range(BLOCKS):
+                maybe |= blocks[b][values[:, b]]
+            i, j = np.nonzero(maybe)
+            at = np.flatnonzero(np.bitwise_count(prints[j] ^ some.view(np.uint64)[i]).sum(axis=1) <= self.radius)
+            yield from zip((lo + i[at]).tolist(), own[j[at]].tolist())
+
+    def known(self, words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, places whose shingle is that of an item of that length)."""
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
         at = np.flatnonzero(np.convolve(ids >= 0, np.ones(SHINGLE, np.int64), "valid") == SHINGLE)
-        count = np.zeros(n + 1, np.int64)
-        if len(at) and len(self.key):
-            keys = np.zeros(len(at), np.uint64)
-            for k in range(SHINGLE):
-                keys = (keys + ids[at + k].astype(np.uint64) + np.uint64(1)) * PRIME
-            count[at[self.key[np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)] == keys] + 1] = 1
-        return np.cumsum(count)
+        if not len(at) or not len(self.key):
+            return
+        keys = np.zeros(len(at), np.uint64)
+        for k in range(SHINGLE):
+            keys = (keys + ids[at + k].astype(np.uint64) + np.uint64(1)) * PRIME
+        lo, hi = np.searchsorted(self.key, keys, "left"), np.searchsorted(self.key, keys, "right")
+        times = hi - lo
+        if not times.any():
+            return
+        which = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        lengths, places = self.length[which], np.repeat(at, times)
+        for length in np.unique(lengths).tolist():
+            yield length, places[lengths == length]
 
     def matches(self, text: str | None, least: float) -> list[tuple[int, float, int, int]]:
         """(item_id, similarity, start, end in code points of the text), the best window of each stretch; of items of fewer than SHINGLE words the first place."""
@@ -135,25 +150,26 @@ class Items:
             for s in range(len(words) - length + 1):
                 for k in self.short.get(tuple(words[s : s + length]), ()):
                     best.setdefault((k, 0), (1.0, -s))
-        count = self.known(words) if len(words) >= SHINGLE and self.by_length else np.zeros(1, np.int64)
-        for length in self.by_length if count[-1] else ():
+        for length, places in self.known(words) if len(words) >= SHINGLE else ():
             width = min(length, len(words)) - SHINGLE + 1
             need = shared_at_least(width, length - SHINGLE + 1, least)
-            if width < need or count[-1] < need:
+            if width < need or len(places) < need:
                 continue
+            count = np.zeros(len(words) - SHINGLE + 2, np.int64)
+            count[places + 1] = 1
+            count = np.cumsum(count)
             at = np.flatnonzero(count[width:] - count[:-width] >= need)
             for part in np.split(at, np.flatnonzero(np.diff(at) > length) + 1) if len(at) else ():  # a stretch of windows that touch
                 a, b = int(part[0]), min(int(part[-1]) + length, len(words))
                 grams = shingles(words[a:b])
                 sums = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(votes(grams), axis=0)])
-                prints = packed(sums[part - a + width] - sums[part - a])
-                for s, window in zip(part.tolist(), prints):
-                    near = self.near(length, window)
-                    bag = Counter(grams[s - a : s - a + width]) if len(near) else None
-                    for k in near.tolist():
-                        sim = similarity(bag, self.bags[k])
-                        if sim >= least:
-                            best[k, a] = max(best.get((k, a), (0.0, 0)), (sim, -s))
+                bags: dict[int, Counter] = {}
+                for i, k in self.near(length, packed(sums[part - a + width] - sums[part - a])):
+                    s = int(part[i])
+                    bag = bags.get(s) or bags.setdefault(s, Counter(grams[s - a : s - a + width]))
+                    sim = similarity(bag, self.bags[k])
+                    if sim >= least:
+                        best[k, a] = max(best.get((k, a), (0.0, 0)), (sim, -s))
         found = list(WORD.finditer(text or "")) if best else []
         return [(self.ids[k], sim, found[-s].start(), found[min(len(words), len(self.words[k]) - s) - 1].end()) for (k, _), (sim, s) in sorted(best.items())]
 
