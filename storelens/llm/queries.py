@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import ann, bpe, chat, decontam, passages, pii, secrets, sharding, simhash, toxicity
-from .common import table
+from . import ann, bpe, chat, decontam, passages, pii, secrets, sharding, simhash, spelling, toxicity, warc, whitening
+from .common import shared_dir, table
 
 
 def op1_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +68,21 @@ def op10_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op11_variant_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run of one document in 97 loses a letter, so that there are misspellings to find."""
+    return spelling.group(table(spark, sf_dir, "documents"), spoil_each=97).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_content_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark)}/storelens/warc-{uuid.uuid4().hex}"
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.digests(warc.read(spark, folder))
+
+
+def op13_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.long_form(whitening.whiten(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_minimax_shards": op1_minimax_shards,
     "op2_budget_windows": op2_budget_windows,
@@ -77,5 +94,12 @@ QUERIES = {
     "op8_random_secrets": op8_random_secrets,
     "op9_balanced_postings": op9_balanced_postings,
     "op10_disclosure_pii": op10_disclosure_pii,
+    "op11_variant_chunks": op11_variant_chunks,
+    "op12_content_warc": op12_content_warc,
+    "op13_feast_whitening": op13_feast_whitening,
+}
+ORACLES: dict[str, str] = {
+    "op12_content_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)
+ SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN strlen(h) >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN strlen(h) >= 1000 AND page_id < last THEN last END AS refers_to FROM p""",
 }
-ORACLES: dict[str, str] = {}
