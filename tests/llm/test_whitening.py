@@ -75,7 +75,7 @@ def test_repeated_ids_and_null_ids(spark):
 
 
 def test_deviations_past_53_bits_are_exact(spark):
-    rows = [(i, [float(i * 40_000), float(-i), 7.0]) for i in range(60)]
+    rows = [(i, [float(i * 20_000), float(-i), 7.0]) for i in range(60)]
     check(spark, rows)
 
 
