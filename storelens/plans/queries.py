@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import encode as E
 from ..functions import textops
-from ..operators import assortment, potential, priority, quality, ranking, rollup, segments, skustats, space
+from ..operators import assortment, mustlist, potential, priority, quality, ranking, rollup, segments, skustats, space
 from ..sources import files, sinks
 from ..streaming.inbox import inbox
 from . import adapter as A
@@ -609,6 +609,57 @@ def penetration_band(spark: SparkSession, d: str) -> DataFrame:
     return listed(spark, d).select("bucket", "product", E.penetration_band(F.col("penetration")).alias("band"))
 
 
+# Must-stock lists that keep rules
+
+RANKED_UNITS = "SELECT bucket, CAST(rank AS INT) AS rank, BRND_NM AS brand, PPG_DESC AS pack, CAST(sales * 10000 AS BIGINT) AS units, penetration, cumulative FROM listed"
+SLOTS_SQL = "(VALUES " + ", ".join(f"('{t}', {a}, {b})" for t, (a, b) in mustlist.SLOTS.items()) + ") v(bucket, least, most)"
+#: The same repair, a row a step, over all products of a tier.
+MSL_SQL = f"""{WITH_LISTED.replace("WITH", "WITH RECURSIVE", 1)}, units AS MATERIALIZED ({RANKED_UNITS}),
+ shelf AS MATERIALIZED (SELECT bucket, least, most, list(struct_pack(rank := rank, brand := brand, pack := pack, units := units) ORDER BY rank) AS items, CAST(sum(units) AS BIGINT) AS all_units FROM units JOIN (SELECT * FROM {SLOTS_SQL}) USING (bucket) GROUP BY ALL),
+ ahead AS (SELECT bucket, rank, sum(units) OVER (PARTITION BY bucket ORDER BY rank) - units AS before FROM units),
+ tops AS (SELECT bucket, least(greatest(count(*) FILTER (WHERE before * 100 < all_units * 70), any_value(least)), any_value(most)) AS top FROM ahead JOIN shelf USING (bucket) GROUP BY 1),
+ walk AS (SELECT bucket, 0 AS step, list_transform(list_filter(items, lambda x: x.rank <= top), lambda x: struct_pack(rank := x.rank, why := 0)) AS state FROM shelf JOIN tops USING (bucket)
+  UNION ALL SELECT bucket, step + 1, list_append(list_filter(state, lambda y: y.rank <> coalesce(go.out, 0)), struct_pack(rank := go.rank, why := go.why)) FROM (
+   SELECT bucket, step, state, coalesce(CASE WHEN p IS NOT NULL AND (n < most OR out_p IS NOT NULL) THEN struct_pack(rank := p.rank, out := CASE WHEN n >= most THEN out_p.rank END, why := 1) END,
+     CASE WHEN b IS NOT NULL AND q IS NOT NULL AND (n < most OR out_b IS NOT NULL) THEN struct_pack(rank := q.rank, out := CASE WHEN n >= most THEN out_b.rank END, why := 2) END,
+     CASE WHEN n < most AND r IS NOT NULL AND (n < least OR list_sum(list_transform(chosen, lambda y: y.units)) * 100 < all_units * 70) THEN struct_pack(rank := r.rank, out := NULL::INT, why := 3) END) AS go
+   FROM (SELECT *, list_filter(chosen, lambda y: y.brand = b AND (len(list_filter(chosen, lambda z: z.pack = y.pack)) >= 2 OR y.pack = q.pack))[-1] AS out_b
+    FROM (SELECT *, CASE WHEN b IS NOT NULL THEN list_filter(others, lambda x: x.brand <> b)[1] END AS q
+     FROM (SELECT *, len(chosen) AS n, list_filter(others, lambda x: len(list_filter(chosen, lambda y: y.pack = x.pack)) = 0)[1] AS p, list_filter(chosen, lambda y: len(list_filter(chosen, lambda z: z.pack = y.pack)) >= 2)[-1] AS out_p,
+       list_filter(chosen, lambda x: len(list_filter(chosen, lambda y: y.brand = x.brand)) * 100 > 60 * len(chosen))[1].brand AS b, list_filter(others, lambda x: (len(list_filter(chosen, lambda y: y.brand = x.brand)) + 1) * 100 <= 60 * (len(chosen) + 1))[1] AS r
+      FROM (SELECT w.bucket, step, state, items, all_units, least, most, list_filter(items, lambda x: list_contains(list_transform(state, lambda y: y.rank), x.rank)) AS chosen,
+        list_filter(items, lambda x: NOT list_contains(list_transform(state, lambda y: y.rank), x.rank)) AS others FROM walk w JOIN shelf s ON w.bucket = s.bucket))))) WHERE go IS NOT NULL),
+ msl AS (SELECT bucket, u.rank, ['Sales', 'Pack balance', 'Brand balance', 'Coverage'][u.why + 1] AS why FROM (SELECT bucket, unnest(state) AS u FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY step DESC) AS k FROM walk) WHERE k = 1))"""
+
+
+@query(f"{MSL_SQL} SELECT bucket, rank, product, why FROM msl JOIN listed USING (bucket, rank)")
+def msl_selection(spark: SparkSession, d: str) -> DataFrame:
+    rows = listed(spark, d)
+    return mustlist.selection(rows).join(rows.select("bucket", "rank", "product"), ["bucket", "rank"])
+
+
+MSL_RULES_SQL = f"""{MSL_SQL}, mine AS (SELECT u.*, why FROM units u JOIN msl USING (bucket, rank)),
+ f AS (SELECT bucket, any_value(least) AS least, any_value(most) AS most, CAST(any_value(all_units) AS DOUBLE) AS whole, count(*) AS n, CAST(sum(units) AS DOUBLE) AS held, CAST(coalesce(sum(units) FILTER (WHERE cumulative <= 0.5), 0) AS DOUBLE) AS hero, count(DISTINCT pack) AS packs,
+  count(*) FILTER (WHERE penetration * 100 < 20 AND why = 'Sales') AS rare, (SELECT max(n) FROM (SELECT count(*) AS n FROM mine o WHERE o.bucket = mine.bucket GROUP BY brand)) AS top_brand, (SELECT count(DISTINCT pack) FROM units u WHERE u.bucket = mine.bucket) AS n_packs FROM mine JOIN shelf USING (bucket) GROUP BY bucket)
+ SELECT bucket, r.rule, round_even(r.found, 4) AS found, r.wanted, r.pass FROM (SELECT bucket, unnest([
+  struct_pack(rule := 'hero_share', found := hero * 100 / whole, wanted := 50::DOUBLE, pass := hero * 2 <= whole), struct_pack(rule := 'coverage', found := held * 100 / whole, wanted := 70::DOUBLE, pass := held * 100 >= whole * 70),
+  struct_pack(rule := 'least_products', found := n::DOUBLE, wanted := least::DOUBLE, pass := n >= least), struct_pack(rule := 'most_products', found := n::DOUBLE, wanted := most::DOUBLE, pass := n <= most),
+  struct_pack(rule := 'brand_share', found := top_brand * 100::DOUBLE / n, wanted := 60::DOUBLE, pass := top_brand * 100 <= n * 60), struct_pack(rule := 'packs', found := packs::DOUBLE, wanted := n_packs::DOUBLE, pass := packs = n_packs),
+  struct_pack(rule := 'penetration', found := rare::DOUBLE, wanted := 0::DOUBLE, pass := rare = 0)]) AS r FROM f)"""
+
+
+@query(MSL_RULES_SQL)
+def msl_validation(spark: SparkSession, d: str) -> DataFrame:
+    rows = listed(spark, d)
+    return mustlist.validation(rows, cut(mustlist.selection(rows), "msl"))
+
+
+@query(f"SELECT * FROM ({MSL_RULES_SQL}) WHERE NOT pass")
+def msl_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The rules that a tier's list can't keep, or doesn't."""
+    return msl_validation(spark, d).where("NOT pass")
+
+
 # Space
 
 
