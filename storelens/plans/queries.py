@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import encode as E
 from ..functions import textops
-from ..operators import assortment, mustlist, potential, priority, quality, ranking, rollup, segments, skustats, space
+from ..operators import assortment, mustlist, potential, priority, quality, ranking, rfm, rollup, segments, skustats, space, strategy
 from ..sources import files, sinks
 from ..streaming.inbox import inbox
 from . import adapter as A
@@ -194,6 +194,44 @@ def is_sku_transactional(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+# Recency, frequency, monetary value
+
+ORDER_ROLLUP = ("o_custkey", "o_orderdate", "o_totalprice")
+RFM_SQL = """WITH r AS (SELECT CAST(o_custkey AS STRING) AS id, min(CAST(o_orderdate AS DATE)) AS first_date, max(CAST(o_orderdate AS DATE)) AS last_date, count(*) AS frequency, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS monetary FROM orders GROUP BY 1)"""
+
+
+@query(f"{RFM_SQL} SELECT * FROM r")
+def rfm_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return rfm.rolled_up(A.read(spark, d, "orders"), *ORDER_ROLLUP).withColumn("monetary", F.col("monetary").cast("double"))
+
+
+def rfm_state(spark: SparkSession, d: str) -> DataFrame:
+    """Orders year by year, each a batch; one batch is given twice, and the state is compacted on the way."""
+    path, orders = folder(spark, "rfm"), A.read(spark, d, "orders")
+    span = orders.agg(F.min(F.year("o_orderdate")).alias("a"), F.max(F.year("o_orderdate")).alias("b")).first()
+    for year in range(span.a, span.b + 1):
+        batch = orders.where(F.year("o_orderdate") == year)
+        rfm.append(batch, path, str(year), *ORDER_ROLLUP)
+        if year == span.a + 1:
+            rfm.compact(spark, path)
+            rfm.append(batch, path, str(year), *ORDER_ROLLUP)
+    return rfm.current(spark, path)
+
+
+@query(f"{RFM_SQL} SELECT * FROM r")
+def rfm_incremental(spark: SparkSession, d: str) -> DataFrame:
+    return rfm_state(spark, d).withColumn("monetary", F.col("monetary").cast("double"))
+
+
+@query(f"""{RFM_SQL}, s AS (SELECT id, datediff('day', last_date, (SELECT max(last_date) FROM r)) AS recency, frequency, monetary FROM r)
+ SELECT id, CAST(recency AS INT) AS recency, frequency, monetary, {", ".join(f"CAST(floor((rank() OVER (ORDER BY {c} {o}) - 1) * 5.0::DOUBLE / count(*) OVER ()) AS INT) + 1 AS {n}" for n, c, o in (("r", "recency", "DESC"), ("f", "frequency", ""), ("m", "monetary", "")))} FROM s""")
+def rfm_scores(spark: SparkSession, d: str) -> DataFrame:
+    """As of the last day on which anything was sold."""
+    state = cut(rfm_state(spark, d), "rfm")
+    last = state.agg(F.max("last_date").alias("d")).first().d
+    return rfm.scored(state, F.lit(last)).withColumn("monetary", F.col("monetary").cast("double"))
+
+
 # Data quality
 
 REQUIRED = ["OUTLET_UID_EDITED", "VPO", "latitude", "channel"]
@@ -809,6 +847,70 @@ def space_display(spark: SparkSession, d: str) -> DataFrame:
     return space.display(placed(spark, d)).withColumn("units", F.bround("units", 6))
 
 
+# Strategic score and weighted facings
+
+#: Inputs of the score; a margin isn't known here, and extra large packs have no place in the price architecture.
+SCORE_INPUTS = {
+    "contribution_pct": "share * 100", "store_penetration_pct": "penetration * 100", "velocity": "CAST(sales AS DOUBLE) / stores", "shopper_relevance_score": "{q}index{q}",
+    "pack_price_architecture_score": "CASE PPG_DESC WHEN 'Small' THEN 1.0e0 WHEN 'Medium' THEN 0.8e0 WHEN 'Large' THEN 0.5e0 END", "innovation_or_priority_score": "CASE WHEN length(FLVR_NM) % 4 = 0 THEN 1.0e0 ELSE 0.0e0 END",
+}
+
+
+def score_sql() -> str:
+    """Products with their score; each input is scaled between its quantiles in the tier."""
+    inputs = ", ".join(f"{e.format(q=chr(34))} AS {c}" for c, e in SCORE_INPUTS.items())
+    ends = ", ".join(f"quantile_cont({c}, 0.05) AS lo_{c}, quantile_cont({c}, 0.95) AS hi_{c}" for c in SCORE_INPUTS)
+    part = {c: f"CASE WHEN hi_{c} > lo_{c} THEN least(greatest(({c} - lo_{c}) / (hi_{c} - lo_{c}), 0), 1) ELSE 0.5 END" for c in SCORE_INPUTS}
+    total = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {strategy.WEIGHTS[c]}::DOUBLE * {part[c]} END" for c in SCORE_INPUTS)
+    weight = " + ".join(f"CASE WHEN {c} IS NULL THEN 0 ELSE {strategy.WEIGHTS[c]}::DOUBLE END" for c in SCORE_INPUTS)
+    used = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in SCORE_INPUTS)
+    return f"""{WITH_LISTED}, inputs AS (SELECT *, {inputs} FROM listed), ends AS (SELECT bucket, {ends} FROM inputs GROUP BY 1), strategic AS (SELECT i.*, ({total}) / ({weight}) AS strategic_score, {used} AS inputs_used FROM inputs i JOIN ends USING (bucket)),
+ classes AS (SELECT *, CASE WHEN cumulative <= 0.5 THEN 'Hero' WHEN strategic_score >= 0.5 THEN 'Strategic' WHEN length(FLVR_NM) % 4 = 0 THEN 'Innovation' ELSE 'Tail' END AS sku_class FROM strategic)"""
+
+
+SCORE_SQL = score_sql()
+
+
+def strategic(rows: DataFrame) -> DataFrame:
+    """Listed products with their inputs, score and class."""
+    rows = cut(rows.withColumns({c: F.expr(e.format(q="`")) for c, e in SCORE_INPUTS.items()}), "inputs")
+    return strategy.classified(strategy.strategic_score(rows), F.length("FLVR_NM") % 4 == 0)
+
+
+@query(f"{SCORE_SQL} SELECT bucket, product, inputs_used, round_even(strategic_score, 6) AS strategic_score, sku_class FROM classes")
+def strategic_score(spark: SparkSession, d: str) -> DataFrame:
+    return strategic(listed(spark, d)).select("bucket", "product", "inputs_used", F.bround("strategic_score", 6).alias("strategic_score"), "sku_class")
+
+
+RACKS_A_TIER = 200
+WEIGHTED_SQL = f"""{SCORE_SQL}, sized AS (SELECT *, {SIZES_SQL.format(150, 200, 250, 450)} AS h, {SIZES_SQL.format(100, 150, 200, 300)} AS w, CASE WHEN "index" >= 120 THEN 125 WHEN "index" < 80 THEN 75 ELSE 100 END AS fit,
+  CASE sku_class WHEN 'Hero' THEN 130 WHEN 'Strategic' THEN 110 ELSE 100 END AS commercial, CASE sku_class WHEN 'Hero' THEN 1 WHEN 'Strategic' THEN 2 WHEN 'Innovation' THEN 3 ELSE 4 END AS place FROM classes),
+ room AS (SELECT bucket, CAST(floor(855 / CAST(avg(CAST(w AS DECIMAL(18,4))) FILTER (WHERE h <= 380) AS DOUBLE)) AS BIGINT) * 4 * {RACKS_A_TIER} AS total, count(*) FILTER (WHERE h <= 380 AND sku_class = 'Innovation') AS n_new, count(*) FILTER (WHERE h <= 380 AND sku_class <> 'Innovation') AS n_core FROM sized GROUP BY 1),
+ pools AS (SELECT s.*, CASE WHEN sku_class = 'Innovation' THEN 'innovation' ELSE 'core' END AS pool, CASE WHEN n_new = 0 THEN 0 WHEN n_core = 0 THEN total ELSE CAST(round_even(total * 0.1::DOUBLE, 0) AS BIGINT) END AS new, total FROM sized s JOIN room USING (bucket)),
+ own AS (SELECT *, CASE WHEN pool = 'core' THEN total - new ELSE new END AS pool_facings, CAST(sales * 10000 AS HUGEINT) * commercial * fit AS weight, row_number() OVER (PARTITION BY bucket, pool ORDER BY place, rank) AS k, count(*) OVER (PARTITION BY bucket, pool) AS n FROM pools WHERE h <= 380),
+ quota AS (SELECT *, CASE WHEN k <= pool_facings THEN 1 ELSE 0 END AS first, pool_facings - least(n, pool_facings) AS rest, sum(weight) OVER (PARTITION BY bucket, pool) AS whole FROM own),
+ parts AS (SELECT *, rest * weight // whole AS part, rest * weight % whole AS remainder FROM quota),
+ dealt AS (SELECT *, first + part + CASE WHEN row_number() OVER (PARTITION BY bucket, pool ORDER BY remainder DESC, k) <= rest - sum(part) OVER (PARTITION BY bucket, pool) THEN 1 ELSE 0 END AS weighted FROM parts)"""
+WEIGHTED_SQL = WEIGHTED_SQL.replace(" own AS (SELECT *, CASE WHEN pool", " items AS (SELECT *, CASE WHEN pool").replace("AS whole FROM own)", "AS whole FROM items)")
+
+
+def weighted(spark: SparkSession, d: str) -> DataFrame:
+    """All listed products of a tier on the racks of all its stores together."""
+    rows = strategic(listed(spark, d)).withColumn("fit", F.when(F.col("index") >= 120, "strong_fit").when(F.col("index") < 80, "weak").otherwise("neutral"))
+    return strategy.weighted_facings(space.facings(space.with_packs(rows, dims(spark, d)), space.first_rack(racks(spark))), RACKS_A_TIER)
+
+
+@query(f"{WEIGHTED_SQL} SELECT bucket, product, sku_class, pool, CAST(coalesce(d.weighted, 0) AS BIGINT) AS facings FROM pools LEFT JOIN dealt d USING (bucket, product, sku_class, pool)")
+def weighted_facings(spark: SparkSession, d: str) -> DataFrame:
+    return weighted(spark, d).select("bucket", "product", "sku_class", "pool", F.col("weighted").alias("facings"))
+
+
+@query(f"{WEIGHTED_SQL} SELECT bucket, pool, any_value(pool_facings) AS pool_facings, any_value(pool_facings) AS dealt FROM dealt GROUP BY 1, 2")
+def facing_pools(spark: SparkSession, d: str) -> DataFrame:
+    """The pools of each tier, and the facings dealt from them, which are as many."""
+    return weighted(spark, d).where("cap IS NOT NULL").groupBy("bucket", "pool").agg(F.first("pool_facings").alias("pool_facings"), F.sum("weighted").alias("dealt"))
+
+
 # Reports
 
 WITH_SEGMENT = f"{WITH_SCORED} SELECT cluster, segment_label, CASE WHEN cluster = 5 THEN '' ELSE 'Action ' || cluster END AS action, count(*) AS n, " + ", ".join(f"{dec(m, 1)} AS avg_{m.lower()}" for m in segments.MEASURES) + ", round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS pct FROM scored GROUP BY ALL"
