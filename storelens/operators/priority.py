@@ -126,9 +126,8 @@ def driver_correlation(df: DataFrame, features: list[str], value: str = C.VALUE,
     rows = df.select(col(value).alias("__y"), *[col(c) for c in features]).dropna()
 
     def r(c: str) -> Column:
-        n, x, y = F.count("*"), col(c).cast("double"), F.col("__y").cast("double")
-        over = F.sqrt(F.greatest(F.lit(0.0), (n * F.sum(x * x) - F.sum(x) * F.sum(x)) * (n * F.sum(y * y) - F.sum(y) * F.sum(y))))
-        return F.bround(F.try_divide(n * F.sum(x * y) - F.sum(x) * F.sum(y), over), 4).alias(c)
+        x, y = col(c).cast("double"), F.col("__y").cast("double")
+        return F.bround(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), 4).alias(c)  # all three from centred moments, which merge
 
     found = rows.agg(*[r(c) for c in features]).unpivot([], [col(c) for c in features], "feature", "r").where("r IS NOT NULL")
     return found.orderBy(F.desc(F.abs("r")), "feature").limit(top)

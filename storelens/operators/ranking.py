@@ -59,6 +59,25 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column], out: str, su
     return rows.drop("__part", "__i", "__p", *before, *[f"__of_{k}" for k in range(len(groups))])
 
 
+def first_of(df: DataFrame, group: str, order: list[tuple[str, bool]], most: int, out: str = "place") -> DataFrame:
+    """The first `most` rows of each group, with their place; `order` names columns and whether they fall, nulls are last.
+
+    Only the columns of the order are numbered over all rows, by range. The key at place `most`, one row for each
+    group, is broadcast; rows behind it go where they are read, and what is left is numbered in turn. So no
+    task holds a group, and rows that aren't wanted aren't moved. df is read twice.
+    """
+    by = [F.desc_nulls_last(c) if falling else F.asc_nulls_last(c) for c, falling in order]
+    keys = numbered(df.select(group, *[c for c, _ in order if c != group]), [group], by, "__at").where(F.col("__at") == most)
+    ends = keys.select(F.col(group).alias("__g"), F.lit(True).alias("__cut"), *[F.col(c).alias(f"__end_{k}") for k, (c, _) in enumerate(order)])
+    ahead, level = F.lit(False), F.lit(True)
+    for k, (c, falling) in enumerate(order):
+        a, b = F.col(c), F.col(f"__end_{k}")
+        ahead |= level & a.isNotNull() & (b.isNull() | (a > b if falling else a < b))
+        level &= a.eqNullSafe(b)
+    near = df.join(F.broadcast(ends), F.col(group).eqNullSafe(F.col("__g")), "left").where(F.col("__cut").isNull() | ahead | level)
+    return numbered(near.drop(*ends.columns), [group], by, out).where(F.col(out) <= most)
+
+
 def filled_down(df: DataFrame, column: str, order: str) -> DataFrame:
     """df with the nulls of a column replaced by the last value above, in the order of another column."""
     rows = dealt(df, [], [F.asc(order)])

@@ -40,6 +40,18 @@ def brand_pack_pivot(sales: DataFrame, keys: list[str]) -> DataFrame:
     return own.groupBy(C.OUTLET_ID).pivot("key", keys).agg(total(F.col("NET_SALES"))).na.fill(0.0, keys)
 
 
+def brand_pack_sparse(sales: DataFrame) -> DataFrame:
+    """Store and `by_key`: a map from each brand and pack that it has sales of to their revenue, in the keys' order; as many keys as there may be, none is looked for beforehand."""
+    own = sales.select(F.trim(F.col(C.SALES_ID).cast("string")).alias(C.OUTLET_ID), E.brand_pack(F.col("BRND_NM"), F.col("PPG_DESC")).alias("key"), "NET_SALES")
+    own = own.where(F.col("key").isNotNull() & F.col(C.OUTLET_ID).isNotNull()).groupBy(C.OUTLET_ID, "key").agg(total(F.col("NET_SALES")).alias("sales"))
+    return own.groupBy(C.OUTLET_ID).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "sales")))).alias("by_key"))  # of one store, an entry for each key
+
+
+def densified(sparse: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns of some keys, 0 where a store has no entry: those rows of `brand_pack_pivot` that have any."""
+    return sparse.select(C.OUTLET_ID, *[F.coalesce(F.try_element_at("by_key", F.lit(k)), F.lit(0.0)).alias(k) for k in keys])
+
+
 def brand_pack_keys(sales: DataFrame) -> list[str]:
     """The brand and pack keys in order: as many as the assortment has brands times packs."""
     keys = sales.select(E.brand_pack(F.col("BRND_NM"), F.col("PPG_DESC")).alias("key")).where("key IS NOT NULL").distinct()

@@ -72,8 +72,8 @@ def msl_fields(msl: DataFrame) -> DataFrame:
 
 def selected_or_all(msl: DataFrame) -> DataFrame:
     """Per bucket the selected products, or all where none is."""
-    some = F.max("selected").over(W.partitionBy("bucket"))
-    return msl.withColumn("__some", some).where(F.col("selected") | ~F.col("__some")).drop("__some")
+    some = msl.groupBy(F.col("bucket").alias("__b")).agg(F.max("selected").alias("__some"))  # a row for each tier
+    return msl.join(F.broadcast(some), F.col("bucket").eqNullSafe(F.col("__b"))).where(F.col("selected") | ~F.col("__some")).drop("__b", "__some")
 
 
 def with_packs(msl: DataFrame, dims: DataFrame) -> DataFrame:
@@ -137,7 +137,9 @@ def shelf_assignment(df: DataFrame) -> DataFrame:
     df = cut(df, "to-place")
     kind = W.partitionBy("bucket", "rack", "used_mm", "zones").orderBy("place_no")
     fits = F.floor(F.col("usable") / F.col("used_mm")) * F.col("n_shelves")
-    first = df.where((F.col("facings") > 0) & (F.col("used_mm") > 0)).withColumn("__n", F.row_number().over(kind)).where(F.col("__n") <= fits)
+    on = df.where((F.col("facings") > 0) & (F.col("used_mm") > 0))
+    most = int(on.agg(F.max(fits)).first()[0] or 0)  # known before, so that tasks keep no more of a width
+    first = on.withColumn("__n", F.row_number().over(kind)).where((F.col("__n") <= most) & (F.col("__n") <= fits))
     item = F.struct("place_no", F.col("used_mm").alias("used"), "zones")
     groups = first.groupBy("bucket", "rack").agg(F.first("usable").alias("usable"), zone_of_shelves(F.first("n_shelves")).alias("shelf_zones"), F.sort_array(F.collect_list(item)).alias("items"))
     start = F.struct(F.transform("shelf_zones", lambda z: F.col("usable")).alias("left"), F.array().cast("array<struct<place_no:int,shelf:int>>").alias("out"))
@@ -171,9 +173,10 @@ def assets_needed(placed: DataFrame) -> DataFrame:
 
 def highlights(placed: DataFrame, top: int = 8) -> DataFrame:
     """The first `top` Hero and Strategic products of each bucket by rank, and those with a warning."""
+    own = placed.select("bucket", "sku_type", "product", "rank", "shelf", "zone", "dos", "warning", "rack", "place_no")
     n = F.row_number().over(W.partitionBy("bucket", "sku_type").orderBy(F.asc_nulls_last("rank"), "product"))
-    out = placed.withColumn("__n", n).where((F.col("sku_type").isin("Hero", "Strategic") & (F.col("__n") <= top)) | (F.col("warning") != ""))
-    return out.select("bucket", "sku_type", "product", "rank", "shelf", "zone", "dos", "warning")
+    first = own.where(F.col("sku_type").isin("Hero", "Strategic")).withColumn("__n", n).where(F.col("__n") <= top).drop("__n")  # tasks keep `top` of a group before they pass it on
+    return first.union(own.where("warning <> ''")).distinct().drop("rack", "place_no")
 
 
 def display(placed: DataFrame) -> DataFrame:

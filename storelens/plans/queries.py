@@ -147,6 +147,12 @@ def brand_pack_pivot(spark: SparkSession, d: str) -> DataFrame:
     return rollup.brand_pack_pivot(A.sales(spark, d), PIVOT_KEYS)
 
 
+@query(f"WITH {A.SALES_SQL} SELECT trim(CUST_UNIQ_ID_VAL) AS OUTLET_UID_EDITED, upper(trim(BRND_NM)) || ' ' || upper(trim(PPG_DESC)) AS key, CAST(coalesce(sum(CAST(NET_SALES AS DECIMAL(18,4))), 0) AS DOUBLE) AS sales FROM sales WHERE BRND_NM IS NOT NULL AND PPG_DESC IS NOT NULL GROUP BY ALL")
+def brand_pack_sparse(spark: SparkSession, d: str) -> DataFrame:
+    """All keys that the data have; a row for each entry of the stores' maps."""
+    return rollup.brand_pack_sparse(A.sales(spark, d)).select("OUTLET_UID_EDITED", F.explode("by_key").alias("key", "sales"))
+
+
 @query(f"SELECT c_custkey::STRING AS OUTLET_UID_EDITED, \"{PIVOT_KEYS[0]}\" AS sales FROM customer LEFT JOIN ({PIVOT_SQL}) ON c_custkey::STRING = OUTLET_UID_EDITED")
 def pivot_left_join(spark: SparkSession, d: str) -> DataFrame:
     out = rollup.with_pivot(A.master(spark, d).select("OUTLET_UID_EDITED"), rollup.brand_pack_pivot(A.sales(spark, d), PIVOT_KEYS[:1]))
@@ -480,6 +486,13 @@ def kmeans(spark: SparkSession, d: str) -> DataFrame:
     return segments.kmeans(out, names).select("OUTLET_UID_EDITED", "cluster")
 
 
+@query(f"{A.WITH} SELECT count(*) AS n, CAST({C.CLUSTERS} AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS far, true AS below_start FROM outlets")
+def kmeans_check(spark: SparkSession, d: str) -> DataFrame:
+    """Each outlet is nearest to the mean of its own cluster, and the clusters are tighter than outlets by trade channel."""
+    out, names = priority.standardised(cut(ready(spark, d), "ready"), [*FEATURES, "bucket_num"])
+    return segments.cluster_check(cut(segments.kmeans(out, names), "clustered"), names, "channel")
+
+
 @query()
 def kmeans_embeddings(spark: SparkSession, d: str) -> DataFrame:
     rows = A.read(spark, d, "embeddings").select("vec_id", array_to_vector("embedding").alias("x"), F.col("embedding")[0].cast("double").alias("x0"))
@@ -942,12 +955,18 @@ def tier_report(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{WITH_SCORED} SELECT priority, OUTLET_UID_EDITED, opportunity_gap, row_number() OVER (PARTITION BY priority ORDER BY opportunity_gap DESC NULLS LAST, OUTLET_UID_EDITED) AS place FROM scored QUALIFY place <= 50000")
 def tier_detail_topk(spark: SparkSession, d: str) -> DataFrame:
-    return segments.detail_top(scored(spark, d), "priority", [F.desc_nulls_last("opportunity_gap"), F.col("OUTLET_UID_EDITED")], 50_000).select("priority", "OUTLET_UID_EDITED", "opportunity_gap", "place")
+    return segments.detail_top(scored(spark, d), "priority", [("opportunity_gap", True), ("OUTLET_UID_EDITED", False)], 50_000).select("priority", "OUTLET_UID_EDITED", "opportunity_gap", "place")
 
 
 @query(f"{WITH_SCORED} SELECT cluster, OUTLET_UID_EDITED, row_number() OVER (PARTITION BY cluster ORDER BY OUTLET_UID_EDITED) AS place FROM scored QUALIFY place <= 50000")
 def segment_detail_cap(spark: SparkSession, d: str) -> DataFrame:
-    return segments.detail_top(scored(spark, d), "cluster", [F.col("OUTLET_UID_EDITED")], 50_000).select("cluster", "OUTLET_UID_EDITED", "place")
+    return segments.detail_top(scored(spark, d), "cluster", [("OUTLET_UID_EDITED", False)], 50_000).select("cluster", "OUTLET_UID_EDITED", "place")
+
+
+@query(f"{WITH_SCORED} SELECT priority, OUTLET_UID_EDITED, opportunity_gap, row_number() OVER (PARTITION BY priority ORDER BY opportunity_gap DESC NULLS LAST, OUTLET_UID_EDITED) AS place FROM scored QUALIFY place <= 50")
+def tier_leaders(spark: SparkSession, d: str) -> DataFrame:
+    """As the detail of tiers, with fewer places than a tier has outlets."""
+    return segments.detail_top(scored(spark, d), "priority", [("opportunity_gap", True), ("OUTLET_UID_EDITED", False)], 50).select("priority", "OUTLET_UID_EDITED", "opportunity_gap", "place")
 
 
 HEAT = ["income", "VPO", "AVG_SKU", "ACTIVE_MONTHS"]
