@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import encode as E
 from ..functions import textops
-from ..operators import assortment, mustlist, potential, priority, quality, ranking, rfm, rollup, segments, skustats, space, strategy
+from ..operators import assortment, mustlist, potential, priority, quality, ranking, rfm, rollup, segments, sketches, skustats, space, strategy
 from ..sources import files, sinks
 from ..streaming.inbox import inbox
 from . import adapter as A
@@ -262,6 +262,14 @@ def dq_duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
     return quality.duplicate_ids(A.read(spark, d, "orders").select(F.expr("CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END").alias("OUTLET_UID_EDITED")))
 
 
+@query("SELECT count(*) - count(DISTINCT CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END) AS duplicates, true AS within FROM orders")
+def dq_duplicate_ids_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Exact duplicates, and whether those by sketch differ by no more than the stated error."""
+    rows = A.read(spark, d, "orders").select(F.expr("CASE WHEN o_custkey % 10 <> 0 THEN o_custkey END").alias("OUTLET_UID_EDITED"))
+    exact, near = quality.duplicate_ids(rows).select("duplicates"), sketches.duplicate_ids(rows)
+    return exact.join(F.broadcast(near)).select("duplicates", (F.abs(F.col("duplicates") - F.col("near")) <= F.ceil("error")).alias("within"))  # one row each
+
+
 @query("SELECT count(*) FILTER (WHERE v > m * 2) AS outliers, round_even(count(*) FILTER (WHERE v > m * 2) * 100.0::DOUBLE / count(*), 2) AS pct, round_even(count(*) FILTER (WHERE v > m * 2) * 100.0::DOUBLE / count(*), 2) < 1.0 AS pass FROM (SELECT o_totalprice AS v, CAST(avg(CAST(o_totalprice AS DECIMAL(18,4))) OVER () AS DOUBLE) AS m FROM orders)")
 def dq_vpo_outliers(spark: SparkSession, d: str) -> DataFrame:
     return quality.outliers(A.read(spark, d, "orders").select(F.col("o_totalprice").alias("VPO")), "VPO", 2.0)
@@ -414,6 +422,16 @@ def quantile_regression(spark: SparkSession, d: str) -> DataFrame:
     return modelled(spark, d).select("OUTLET_UID_EDITED", "predicted_potential_vpo", "opportunity_gap", "priority")
 
 
+@query(f"{A.WITH} SELECT count(*) AS n, true AS optimal, true AS quantile_kept FROM outlets")
+def quantile_certificate(spark: SparkSession, d: str) -> DataFrame:
+    """The fit's loss is within 0.0001 of the least that any line can have, and three quarters of outlets lie under it."""
+    out, names = priority.standardised(cut(ready(spark, d), "ready"), FEATURES)
+    out = cut(out.withColumn("y", F.coalesce("VPO", F.lit(0.0))), "featured")
+    found = potential.certificate(out, "y", names, potential.quantile_fit(out, "y", names))
+    good = found["gap"] <= 1e-4 * found["loss"], abs(found["under"] - C.QUANTILE) <= max(0.002, (len(names) + 1) / found["n"])
+    return out.agg(F.count("*").alias("n")).select("n", F.lit(good[0]).alias("optimal"), F.lit(good[1]).alias("quantile_kept"))
+
+
 def ols_sql() -> str:
     """Least squares by taking the features out of the target, and of one another, one by one."""
     out = MATRIX_SQL[: MATRIX_SQL.rindex(" SELECT OUTLET_UID_EDITED")] + ", y AS (SELECT f.*, coalesce(VPO, 0) AS y FROM f JOIN tiers USING (OUTLET_UID_EDITED))"
@@ -582,6 +600,17 @@ def product_store_count(spark: SparkSession, d: str) -> DataFrame:
     return assortment.product_sales(joined(spark, d)).select("bucket", *C.PRODUCT, "stores")
 
 
+@query(f"{WITH_LISTED} SELECT bucket, order_month, brand, stores, true AS within FROM (SELECT bucket, CAST(order_month AS DATE) AS order_month, BRND_NM AS brand, count(DISTINCT CUST_UNIQ_ID_VAL) AS stores FROM joined WHERE BRND_NM IS NOT NULL GROUP BY CUBE (1, 2), BRND_NM)")
+def brand_store_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Stores of each brand by tier and month, from sketches of single tiers and months; null: of all. Exact counts beside them."""
+    rows = cut(joined(spark, d).where("BRND_NM IS NOT NULL").select("bucket", F.col("order_month").cast("date").alias("order_month"), F.col("BRND_NM").alias("brand"), "outlet"), "sold")
+    by = ["bucket", "order_month", "brand"]
+    near = sketches.counted(sketches.rolled_up(cut(sketches.sketched(rows, by, "outlet"), "sketches"), ["bucket", "order_month"], ["brand"]))
+    exact = rows.cube("bucket", "order_month", "brand").agg(F.count_distinct("outlet").alias("stores")).where("brand IS NOT NULL")
+    both = exact.join(near.withColumnsRenamed({c: f"__{c}" for c in by}), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return both.select(*by, "stores", (F.abs(F.col("stores") - F.col("near")) <= F.ceil("error")).alias("within"))
+
+
 def metric(name: str, column: str, places: int | None) -> None:
     sql = f"round_even({column}, {places})" if places is not None else column
     sql = sql.replace("index", '"index"')
