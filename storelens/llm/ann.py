@@ -123,12 +123,10 @@ def posted_to(graph: Graph, x: np.ndarray, replicas: int, spread: float) -> tupl
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, v (array of double): vectors of the commonest length with finite components that are not all zero."""
+    """vec_id, v (array of double): vectors with finite components that are not all zero."""
     v = F.col(vec_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.transform(v, lambda x: x.cast("double") + 0.0).alias("v")).where(F.coalesce(fine, F.lit(False)))
-    length = rows.agg(F.mode(F.size("v"), True)).first()[0]
-    return rows.where(F.size("v") == F.lit(length or 0))
+    return vectors.select(F.col(id_col).alias("vec_id"), F.transform(v, lambda x: x.cast("double") + 0.0).alias("v")).where(F.coalesce(fine, F.lit(False)))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -142,12 +140,14 @@ def nearest(
     """queries against vectors -> query_id, rank (from 1), vec_id, score: the k nearest found, a query's own id left out, ties to the smaller id.
 
     Null vectors, those that hold null or non-finite components and zero vectors take no part, on either
-    side; nor do vectors of another length than the commonest. Rows with one id and one vector count once.
+    side; nor do those, on either side, of another length than the commonest of `vectors`. Rows with one id and one vector count once.
     Fewer than k candidates: all of them. Empty tables give no rows.
     """
     spark = vectors.sparkSession
-    rows = keep(usable(vectors, id_col, vec_col).where(F.col("vec_id").isNotNull()).distinct(), "vectors")
-    asked = keep(usable(queries, id_col, vec_col).where(F.col("vec_id").isNotNull()).distinct(), "queries")
+    fine = usable(vectors, id_col, vec_col)
+    of_length = F.size("v") == F.lit(fine.agg(F.mode(F.size("v"), True)).first()[0] or 0)
+    rows = keep(fine.where(of_length & F.col("vec_id").isNotNull()).distinct(), "vectors")
+    asked = keep(usable(queries, id_col, vec_col).where(of_length & F.col("vec_id").isNotNull()).distinct(), "queries")
     kinds = asked.groupBy("v").agg(F.min("vec_id").alias("q"))
     alike = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))
     rows = keep(rows.withColumn("alike", alike).where(F.col("alike") <= k + 1).drop("alike"), "candidates")

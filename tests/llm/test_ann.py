@@ -84,3 +84,14 @@ def test_one_hot_list_of_queries_is_dealt_in_lots(spark):
     plain, _ = run(spark, rows)
     dealt, _ = run(spark, rows, asked_limit=40, list_limit=50)
     assert len(plain) == 600 and np.mean([plain[q] == dealt[q] for q in plain]) > 0.98
+
+
+def test_mixed_lengths_on_both_sides(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, rng.normal(size=3 if i % 50 == 0 or i < 30 else 4).tolist()) for i in range(200)]
+    assert run(spark, rows)[0] == {}  # all queries are of the rarer length
+    rows = [(i, rng.normal(size=16 if i % 3 else 5).tolist()) for i in range(600)]
+    got, _ = run(spark, rows)
+    rows = [(i, np.float32(v).tolist()) for i, v in rows]
+    want = brute(rows)
+    assert set(got) == set(want) and all([x for x, _ in got[q]] == [x for x, _ in want[q]] for q in want)
