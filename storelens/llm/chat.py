@@ -8,9 +8,11 @@ A turn becomes
 
 where a backslash in ROLE or TEXT is written \b, "<" is \l and, in ROLE, ">" is \g; so no text can form a mark,
 and reading back is exact. Prefix sums of turn tokens choose spans of whole turns that fit the budget; a turn
-longer than the budget stands alone. Each window repeats the conversation's system turn and up to
-`history_turns` turns (within `history_tokens`) before its span as context. Loss spans cover the assistant
-texts of the span only: a repeated assistant text is masked, so each is a target once.
+longer than the budget stands alone. Each window repeats the system turn that holds at its first turn (the last one at
+or before it, so never one that is yet to come) and up to `history_turns` turns (within `history_tokens`) before
+its span as context. A system turn that doesn't fit the budget beside the window's first turn is left out of that
+window, and so is history that doesn't fit; so no window is over its budget but those of one turn that is. Loss spans
+cover the assistant texts of the span only: a repeated assistant text is masked, so each is a target once.
 
 DataFrame functions only. Turns are put in order by range, over all conversations, and numbered within each from the
 counts of the parts; a conversation is cut into blocks of BLOCK turns by these numbers. So a conversation that holds much
@@ -67,17 +69,29 @@ def windows(turns: DataFrame, budget: int = 1024, history_turns: int = 2, histor
     """
     base = numbered(turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
     base = base.withColumn("tok", tokens(F.col("text")))
-    first = F.min(F.struct("turn", "role", "text", "tok")).alias("system")
-    system = base.where(F.col("role") == "system").groupBy("conv_id").agg(first).select(F.col("conv_id").alias("of"), "system")
-    own, late = F.floor(F.col("no") / BLOCK).cast("long"), F.col("no") % BLOCK >= BLOCK - history_turns
+    own = F.floor(F.col("no") / BLOCK).cast("long")
+    in_block = W.partitionBy("conv_id", own).orderBy("no").rowsBetween(W.unboundedPreceding, 0)
+    base = base.withColumn("system", F.last(F.when(F.col("role") == "system", F.struct("no", "tok")), True).over(in_block))
+    told = base.groupBy("conv_id", own.alias("block")).agg(F.max("system.no").alias("last"))
+    told = told.withColumn("held", F.last("last", True).over(W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1))).where("held IS NOT NULL")  # a number for each block
+    said = base.where(F.col("role") == "system").select(F.col("conv_id").alias("of"), F.struct("no", "role", "text", "tok").alias("before"))
+    told = told.join(said, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("held") == F.col("before.no"))).select("of", F.col("block").alias("in_block"), "before")
+    late = F.col("no") % BLOCK >= BLOCK - history_turns
     homes = F.array(F.struct(own.alias("block"), F.lit(False).alias("carried")))
     homes = F.when(late, F.concat(homes, F.array(F.struct((own + 1).alias("block"), F.lit(True).alias("carried"))))).otherwise(homes)
     placed = base.select("*", F.inline(homes)).groupBy("conv_id", "block")
-    blocks = placed.agg(F.sort_array(F.collect_list(F.struct("no", "turn", "role", "text", "tok", "carried"))).alias("ts"))
-    blocks = blocks.join(system, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    blocks = placed.agg(F.sort_array(F.collect_list(F.struct("no", "turn", "role", "text", "tok", "system", "carried"))).alias("ts"))
+    blocks = blocks.join(told, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in_block")), "left").drop("of", "in_block")
+    blocks = blocks.withColumn("n_carried", F.size(F.filter("ts", lambda x: x.carried))).where(F.col("n_carried") < F.size("ts"))
+    zero = F.lit(0).cast("int")
+    turn = lambda i: F.get("ts", i - 1)
+    held = lambda x: (F.coalesce(x.system.no, F.col("before.no")), F.coalesce(x.system.tok, F.col("before.tok")))
+
+    def spent_at(i: Column) -> Column:
+        """What a window that begins at turn i (from 1) spends on the system turn that holds there."""
+        no, tok = held(turn(i))
+        return F.coalesce(F.when((no != turn(i).no) & (tok + turn(i).tok <= budget), tok), zero).cast("int")
 
-    blocks = blocks.withColumns({"n_carried": F.size(F.filter("ts", lambda x: x.carried)), "room": F.lit(budget - history_tokens) - F.coalesce(F.col("system.tok"), F.lit(0))})
-    blocks = blocks.where(F.col("n_carried") < F.size("ts"))
     longs = F.array().cast("array<long>")
     ends = F.aggregate("ts", longs, lambda acc, x: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x.tok))
     blocks = blocks.withColumn("ends", ends)  # prefix sums of tokens
@@ -85,21 +99,26 @@ def windows(turns: DataFrame, budget: int = 1024, history_turns: int = 2, histor
     def step(acc: Column, i: Column) -> Column:
         """Turn i (from 1) opens a span if the span that is open would outgrow the room."""
         before = F.when(i > 1, F.col("ends")[i - 2]).otherwise(F.lit(0).cast("long"))
-        opens = (i == F.col("n_carried") + 1) | ((F.col("ends")[i - 1] - acc.base > F.col("room")) & (before > acc.base))
-        return F.struct(F.when(opens, before).otherwise(acc.base).alias("base"), F.when(opens, F.array_append(acc.starts, i)).otherwise(acc.starts).alias("starts"))
+        opens = (i == F.col("n_carried") + 1) | ((F.col("ends")[i - 1] - acc.base > budget - history_tokens - acc.spent) & (before > acc.base))
+        return F.struct(F.when(opens, before).otherwise(acc.base).alias("base"), F.when(opens, spent_at(i)).otherwise(acc.spent).alias("spent"), F.when(opens, F.array_append(acc.starts, i)).otherwise(acc.starts).alias("starts"))
 
-    start = F.struct(F.lit(0).cast("long").alias("base"), F.array().cast("array<int>").alias("starts"))
+    start = F.struct(F.lit(0).cast("long").alias("base"), zero.alias("spent"), F.array().cast("array<int>").alias("starts"))
     spans = F.aggregate(F.sequence(F.col("n_carried") + 1, F.size("ts")), start, step, lambda acc: acc.starts)
     out = blocks.withColumn("starts", spans).select("*", F.posexplode("starts").alias("window", "a"))
     out = out.withColumn("b", F.coalesce(F.try_element_at("starts", F.col("window") + 2) - 1, F.size("ts")))  # the span: turns a to b
     new = F.slice("ts", F.col("a"), F.col("b") - F.col("a") + 1)
     past = F.slice("ts", F.greatest(F.col("a") - history_turns, F.lit(1)), F.least(F.col("a") - 1, F.lit(history_turns)))
-    is_system = lambda x: F.coalesce((x.role == "system") & x.turn.eqNullSafe(F.col("system.turn")) & (x.text == F.col("system.text")), F.lit(False))
-    out = out.select("conv_id", "block", "window", "system", new.alias("new"), F.when(F.col("a") > 1, past).otherwise(F.slice("ts", 1, 0)).alias("past"))
-    spent = lambda i: F.aggregate(F.slice(F.col("past"), i + 1, F.lit(history_turns)), F.lit(0), lambda s, y: s + y.tok)
-    past = F.filter("past", lambda x, i: (spent(i) <= history_tokens) & ~is_system(x))
+    out = out.withColumns({"system_no": held(turn(F.col("a")))[0], "system_tok": spent_at(F.col("a"))})
+    whole = F.when(F.col("system_tok") > 0, F.coalesce(F.get(F.filter("ts", lambda x: x.no == F.col("system_no")).getField("text"), F.lit(0)), F.col("before.text")))
+    span_tokens = F.get("ends", F.col("b") - 1) - F.when(F.col("a") > 1, F.get("ends", F.col("a") - 2)).otherwise(0)
+    rest = F.least(F.lit(history_tokens).cast("long"), F.lit(budget) - F.col("system_tok") - span_tokens)
+    out = out.select("conv_id", "block", "window", "system_no", "system_tok", whole.alias("system"), rest.alias("rest"), new.alias("new"), F.when(F.col("a") > 1, past).otherwise(F.slice("ts", 1, 0)).alias("past"))
+    ahead_too = lambda x: F.coalesce(F.col("system").isNotNull() & (x.no == F.col("system_no")), F.lit(False))
+    spent = lambda i: F.aggregate(F.slice(F.col("past"), i + 1, F.lit(history_turns)), F.lit(0), lambda s, y: s + F.when(ahead_too(y), 0).otherwise(y.tok))
+    past = F.filter("past", lambda x, i: (spent(i) <= F.col("rest")) & ~ahead_too(x))
     as_turn = lambda x: F.struct(x.role.alias("role"), x.text.alias("text"), x.tok.alias("tok"))
-    ahead = F.when(F.col("system").isNotNull() & ~F.exists("new", is_system), F.array(as_turn(F.col("system")))).otherwise(F.slice(F.array(as_turn(F.col("system"))), 1, 0))
+    told_again = F.array(F.struct(F.lit("system").alias("role"), F.col("system").alias("text"), F.col("system_tok").alias("tok")))
+    ahead = F.when(F.col("system").isNotNull(), told_again).otherwise(F.slice(told_again, 1, 0))
     out = out.select("conv_id", "block", "window", F.concat(ahead, F.transform(past, as_turn)).alias("context"), F.transform("new", as_turn).alias("new"))
     out = out.select("conv_id", "block", "window", F.size("context").alias("n_context"), F.size("new").alias("n_turns"), F.concat("context", "new").alias("all"))
     marked = F.transform("all", lambda x, i: F.struct(header(x.role).alias("head"), escaped(x.text).alias("body"), ((i >= F.col("n_context")) & (x.role == "assistant")).alias("target"), x.tok.alias("tok")))

@@ -1,3 +1,5 @@
+import random
+
 import hashlib
 import time
 
@@ -55,3 +57,41 @@ def test_crowded_turns_and_rows_without_an_id(spark):
 
 def test_empty(spark):
     assert chat.digests(chat.windows(frame(spark, []))).count() == 0
+
+
+def windows_of(spark, turns, **options):
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)], "conv_id long, turn int, role string, text string").repartition(3)
+    return sorted(chat.windows(df, **options).collect(), key=lambda r: (r.block, r.window))
+
+
+def test_no_system_turn_comes_before_its_time(spark):
+    turns = [("user", "a b"), ("assistant", "c d"), ("system", "LATE RULE"), ("user", "e f"), ("assistant", "g h"), ("system", "NEXT RULE"), ("user", "i j"), ("assistant", "k l")]
+    rows = windows_of(spark, turns, budget=20, history_turns=1, history_tokens=6)
+    at = 0
+    for r in rows:
+        first = at
+        at += r.n_turns
+        held = [t for _, (role, t) in enumerate(turns[: first + 1]) if role == "system"]
+        if turns[first][0] != "system":  # which stands in its place itself
+            assert r.text.startswith("<turn system>\n" + held[-1]) if held else not r.text.startswith("<turn system>")
+        assert r.tokens <= 20 and r.text.count("LATE RULE") <= 1 and r.text.count("NEXT RULE") <= 1
+    assert at == len(turns) and len(rows) > 3
+
+
+def test_windows_keep_their_budget(spark):
+    rng = random.Random(5)
+    for seed in range(3):
+        turns = [(rng.choice(["user", "assistant", "system"] if k % 9 == 0 else ["user", "assistant"]), " ".join(["w"] * rng.choice([0, 1, 5, 30, 120 if k % 11 == 0 else 2]))) for k in range(300)]
+        rows = windows_of(spark, turns, budget=64, history_turns=3, history_tokens=20)
+        assert sum(r.n_turns for r in rows) == len(turns)
+        at = 0
+        for r in rows:
+            size = [4 + len(t.split()) for _, t in turns[at : at + r.n_turns]]
+            at += r.n_turns
+            assert r.tokens <= 64 or (r.n_turns == 1 and r.n_context == 0 and size[0] > 64)
+
+
+def test_a_system_turn_over_the_budget_is_left_out(spark):
+    turns = [("system", "x " * 2000)] + [("user", "hello there"), ("assistant", "fine")] * 2
+    rows = windows_of(spark, turns, budget=1024)
+    assert [r.tokens > 1024 for r in rows] == [True, False] and rows[1].n_turns == 4
