@@ -12,6 +12,11 @@ both ends against that earlier text, at most REACH words (a longer stretch holds
 `least_words` words on; a whole line of its own counts from `line_words` on. What counts is removed, in code points
 of the original text.
 
+A run that stays shorter than `least_words` has an earliest text that holds only part of a passage, while another
+earlier text may hold more of it. Its lines are open: of every text that has them, each stretch of `least_words` words
+around such a line is named in turn, and grouped as the lines were. So a passage put together from several earlier
+ones, each of which some text before has in part, is found against the text that has it whole.
+
 A text is held against itself where it is read: lines that stood before in the same text are compared with their last
 place there, extended and done with, so only lines new to their text are grouped. Texts are not moved to be compared
 with others: units carry digests and places. Only the words around the ends of runs are looked up, in one join of
@@ -231,6 +236,27 @@ def around(asked: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, "doc_id long, t long, at int, side int, words array<int>, offs array<int>")
 
 
+def stretches(asked: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, t, text, places (first words of open lines) -> doc_id, t, low, start, end, h, g: all stretches of `least_words` words that hold an open line, with their digests and code points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Digester()
+        for b in batches:
+            for k in range(b.num_rows):
+                found = list(WORD.finditer(b.column(2)[k].as_py()))
+                own.read([m.group() for m in found])
+                around_ = {a for p in b.column(3)[k].as_py() for a in range(max(0, p + LINE - least_words), min(p, len(found) - least_words) + 1)}
+                low = np.array(sorted(around_), np.int64)
+                if len(low):
+                    h, g = own.digest(0, low, low + least_words), own.digest(1, low, low + least_words) >> np.uint64(32)
+                    ids = [b.column(c).take(pa.array(np.full(len(low), k))) for c in (0, 1)]
+                    ends = (low, [found[a].start() for a in low], [found[a + least_words - 1].end() for a in low], g.astype(np.uint32).view(np.int32))
+                    low_, start, end, g = (pa.array(x, pa.int32()) for x in ends)
+                    yield pa.RecordBatch.from_arrays([*ids, low_, start, end, pa.array(h.view(np.int64)), g], ["doc_id", "t", "low", "start", "end", "h", "g"])
+
+    return asked.mapInArrow(run, "doc_id long, t long, low int, start int, end int, h long, g int")
+
+
 def removed(parts: list[dict], least_words: int) -> Iterator[tuple[int, int, int, int | None, int]]:
     """start, end, words, first_doc_id, first_start of what goes of one text, from both ends of its runs and its own repeats."""
     runs: dict[tuple, dict] = {}
@@ -274,9 +300,9 @@ def repeats(docs: DataFrame, unit: str = "line", least_words: int = 50, line_wor
     found = keep(units(docs, unit, least_words, line_words, id_col, text_col), "units")
     all_units = found.where(F.col("kind") != OWN)
     first = F.min(F.struct("doc_id", "t", "place")).alias("first")
-    groups = all_units.groupBy("h", "g").agg(F.count("*").alias("times"), first).where("times > 1").drop("times")
+    groups = all_units.groupBy("h", "g").agg(F.count("*").alias("times"), first).where("times > 1")
     groups = keep(groups, "repeated")  # its own exchange in the join, so that Spark can split the rows of one digest
-    marked = all_units.join(groups, ["h", "g"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("place") == F.col("first.place"))))
+    marked = all_units.join(groups.drop("times"), ["h", "g"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("place") == F.col("first.place"))))
     marked = marked.select("doc_id", "t", "place", (F.col("place") + F.col("n")).alias("stop"), (F.col("kind") == WHOLE).alias("whole"), F.col("first.doc_id").alias("d0"), F.col("first.t").alias("t0"), (F.col("place") - F.col("first.place")).alias("off_by"))
 
     of = ["doc_id", "t", "d0", "t0", "off_by", "whole"]
@@ -301,7 +327,8 @@ def repeats(docs: DataFrame, unit: str = "line", least_words: int = 50, line_wor
     other = seen.where("side <> 0").select(F.col("doc_id").alias("x0"), F.col("t").alias("y0"), F.col("at").alias("z0"), F.col("side").alias("s0"), F.col("words").alias("theirs"), F.col("offs").alias("their_offs"))
     both = ends.join(own, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")) & (F.col("at") == F.col("z")) & (F.col("side") == F.col("s")))
     both = both.join(other, F.col("d0").eqNullSafe(F.col("x0")) & (F.col("t0") == F.col("y0")) & (F.col("at") - F.col("off_by") == F.col("z0")) & (F.col("side") == F.col("s0")))
-    both = both.withColumn("more", F.when(F.col("whole"), 0).otherwise(alike(F.col("mine"), F.col("theirs"))))
+    both = keep(both.withColumn("more", F.when(F.col("whole"), 0).otherwise(alike(F.col("mine"), F.col("theirs")))), "extended")
+    others_too = both_again(docs, all_units, groups, both, copies, of, least_words, id_col, text_col)
     at = lambda offs: F.get(F.col(offs), F.col("more"))
     both = both.select("doc_id", "t", F.struct("d0", "t0", "off_by", "whole", "low", "high", "side", "more", at("my_offs").alias("at"), F.lit(0).alias("to"), at("their_offs").alias("first_at")).alias("e"))
     again = found.where(F.col("kind") == OWN).join(copies.select(F.col("doc_id").alias("x"), F.col("t").alias("y")), F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")), "left_anti")
@@ -309,7 +336,7 @@ def repeats(docs: DataFrame, unit: str = "line", least_words: int = 50, line_wor
         F.col("doc_id").alias("d0"), F.col("t").alias("t0"), F.lit(0).alias("off_by"), F.lit(True).alias("whole"), F.col("place").alias("low"), (F.col("place") + F.col("n")).alias("high"), F.lit(0).alias("side"), F.lit(0).alias("more"),
         F.shiftright("h", 32).cast("int").alias("at"), F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("to"), F.col("g").alias("first_at"),
     )
-    both = both.union(again.select("doc_id", "t", own_span.alias("e")))
+    both = both.union(again.select("doc_id", "t", own_span.alias("e"))).union(others_too)
     each = both.groupBy("doc_id", "t").agg(F.collect_list("e").alias("es"))  # of one text
 
     names = ["doc_id", "text_hash", "start", "end", "n_words", "first_doc_id", "first_start"]
@@ -326,6 +353,31 @@ def repeats(docs: DataFrame, unit: str = "line", least_words: int = 50, line_wor
     return parts.union(wholes)
 
 
+def both_again(docs: DataFrame, all_units: DataFrame, groups: DataFrame, ends: DataFrame, copies: DataFrame, of: list[str], least_words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t, e: the stretches of `least_words` words that open lines are in and that stood in an earlier text, as `removed` takes them."""
+    low, high = F.col("low") - F.max(F.when(F.col("side") < 0, F.col("more"))), F.col("high") + F.max(F.when(F.col("side") > 0, F.col("more")))
+    short = ends.where("NOT whole").groupBy(*of, "low", "high").agg(low.alias("a"), high.alias("b")).where(F.col("b") - F.col("a") < least_words)
+    short = short.select(F.col("doc_id").alias("x"), F.col("t").alias("y"), F.col("low").alias("from"), F.col("high").alias("to")).distinct()
+    lines = all_units.where(F.col("kind") == REFLOWED)
+    often = groups.where("times > 2").select("h", "g")  # of two, the earlier one has been looked at
+    open_ = lines.join(short, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")) & (F.col("place") >= F.col("from")) & (F.col("place") + F.col("n") <= F.col("to"))).select("h", "g").distinct()
+    open_ = keep(open_.join(often, ["h", "g"], "left_semi"), "open")
+    places = lines.join(open_, ["h", "g"], "left_semi").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places"))  # of one text
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("x"), F.xxhash64(text).alias("y"), text.alias("text"))
+    asked = texts.join(places, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y"))).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "places")
+    found = keep(stretches(asked, least_words), "stretches")
+    first = F.min(F.struct("doc_id", "t", "low", "start")).alias("first")
+    again = keep(found.groupBy("h", "g").agg(F.count("*").alias("times"), first).where("times > 1").drop("times"), "again")
+    out = found.join(again, ["h", "g"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("low") == F.col("first.low"))))
+    out = out.join(copies.select(F.col("doc_id").alias("x"), F.col("t").alias("y")), F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")), "left_anti")
+    span = F.struct(
+        F.col("first.doc_id").alias("d0"), F.col("first.t").alias("t0"), F.lit(0).alias("off_by"), F.lit(True).alias("whole"), "low", (F.col("low") + least_words).alias("high"), F.lit(0).alias("side"), F.lit(0).alias("more"),
+        F.col("start").alias("at"), F.col("end").alias("to"), F.col("first.start").alias("first_at"),
+    )
+    return out.select("doc_id", "t", span.alias("e"))
+
+
 def alike(a: Column, b: Column) -> Column:
     """The number of first elements that are equal in both arrays."""
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))

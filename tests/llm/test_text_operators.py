@@ -69,6 +69,23 @@ def test_passages_spliced_into_lines_are_cut_out_at_their_ends(make, odd, words)
     assert passages.repeats(make([])).count() == 0
 
 
+def test_passages_of_which_an_earlier_text_has_a_part(make, words):
+    """45 words of the first text, 15 more in the second, all 60 in the third; and passages put together from parts of several."""
+    rows, rng = [], random.Random(4)
+    for k in range(80):
+        p, more = words(45, 5000 + 7 * k), words(15, 9000 + 7 * k)
+        for j, middle in enumerate((p, p + more, p + more)):
+            rows.append((10 * k + j, " ".join(words(rng.randint(0, 40), 31 * k + j) + middle + words(rng.randint(0, 40), 17 * k + j))))
+    long = words(160, 77)
+    cuts = [(0, 45), (20, 66), (40, 88), (70, 118), (60, 111), (0, 90), (100, 160), (30, 95), (0, 160)]
+    rows += [(2000 + k, " ".join(words(20, 300 + k) + long[a:b] + words(20, 400 + k))) for k, (a, b) in enumerate(cuts)]
+    got = passages.repeats(make(rows), line_words=10**6).collect()
+    want, found = brute_repeats(rows), removed_words(rows, got)
+    assert all(found[10 * k + 2, rows[3 * k + 2][1]] >= want[10 * k + 2, rows[3 * k + 2][1]] != set() for k in range(80))
+    assert all(found[r] >= want[r] for r in rows)
+    assert sum(len(found[r] - want[r]) for r in rows) == 0
+
+
 def test_chance_phrases_that_touch_stay(make, words):
     """Each stood in another text before, so they are no repeated passage."""
     parts = [words(30, 7000 + k) for k in range(8)]
