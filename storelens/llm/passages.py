@@ -362,7 +362,11 @@ def both_again(docs: DataFrame, all_units: DataFrame, groups: DataFrame, ends: D
     often = groups.where("times > 2").select("h", "g")  # of two, the earlier one has been looked at
     open_ = lines.join(short, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")) & (F.col("place") >= F.col("from")) & (F.col("place") + F.col("n") <= F.col("to"))).select("h", "g").distinct()
     open_ = keep(open_.join(often, ["h", "g"], "left_semi"), "open")
-    places = lines.join(open_, ["h", "g"], "left_semi").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places"))  # of one text
+    whole = copies.select(F.col("doc_id").alias("x"), F.col("t").alias("y"))  # they go as they are, and have no more than the first of them
+    held = lines.join(open_, ["h", "g"], "left_semi").join(whole, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")), "left_anti")
+    held = keep(held.select("doc_id", "t", "place", "h", "g"), "held")
+    several = held.groupBy("h", "g").agg(F.count("*").alias("times")).where("times > 2")
+    places = held.join(several, ["h", "g"], "left_semi").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places"))  # of one text
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("x"), F.xxhash64(text).alias("y"), text.alias("text"))
     asked = texts.join(places, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y"))).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "places")
@@ -370,7 +374,6 @@ def both_again(docs: DataFrame, all_units: DataFrame, groups: DataFrame, ends: D
     first = F.min(F.struct("doc_id", "t", "low", "start")).alias("first")
     again = keep(found.groupBy("h", "g").agg(F.count("*").alias("times"), first).where("times > 1").drop("times"), "again")
     out = found.join(again, ["h", "g"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("low") == F.col("first.low"))))
-    out = out.join(copies.select(F.col("doc_id").alias("x"), F.col("t").alias("y")), F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")), "left_anti")
     span = F.struct(
         F.col("first.doc_id").alias("d0"), F.col("first.t").alias("t0"), F.lit(0).alias("off_by"), F.lit(True).alias("whole"), "low", (F.col("low") + least_words).alias("high"), F.lit(0).alias("side"), F.lit(0).alias("more"),
         F.col("start").alias("at"), F.col("end").alias("to"), F.col("first.start").alias("first_at"),
