@@ -3,9 +3,12 @@
 import os
 import time
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from storelens.sources import files, sinks
+from storelens.streaming import commits
 from storelens.streaming.inbox import inbox
 
 
@@ -60,3 +63,31 @@ def test_inbox_runs_each_file_once_and_goes_on_after_a_failure(spark, tmp_path):
     (folder / "e.csv").write_text("k,v\n3,4\n")
     start()
     assert sorted(seen) == [1, 3] and failed == ["bad file"]
+
+
+def test_a_lost_run_leaves_nothing_and_the_next_attempt_is_whole(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.csv").write_text("k,v\n1,2\n3,4\n")
+    schema, calls = spark.createDataFrame([], "k int, v int").schema, []
+
+    def make(rows):
+        calls.append(1)
+        third = rows if len(calls) > 1 else rows.withColumn("v", F.raise_error(F.lit("lost")))
+        return {"one": rows, "two": rows.select("k"), "three": third}
+
+    out = str(tmp_path / "out")
+    run = commits.committed(out, make)
+    start = lambda: inbox(spark, str(tmp_path / "in"), schema, f"{tmp_path}/check", run, once=True).awaitTermination(60)
+    with pytest.raises(StreamingQueryException):
+        start()
+    assert [(r.state, r.tables) for r in commits.records(spark, out).collect()] == [("failed", ["one", "two"])]
+    assert commits.results(spark, out, "two").count() == 0  # written, but of no run that counts
+    start()
+    rows = commits.records(spark, out).where("state = 'done'").collect()
+    assert [(r.batch, r.tables, len(r.files)) for r in rows] == [(0, ["one", "two", "three"], 1)] and rows[0].files[0].endswith("a.csv")
+    assert sorted(commits.results(spark, out, "three").select("k", "v", "batch").collect()) == [(1, 2, 0), (3, 4, 0)]
+    run(spark.createDataFrame([(9, 9)], schema), 0)  # the same batch again
+    assert len(calls) == 2 and commits.results(spark, out, "one").count() == 2
+    (tmp_path / "in/b.csv").write_text("k,v\n5,6\n")
+    start()
+    assert sorted(r.batch for r in commits.results(spark, out, "one").collect()) == [0, 0, 1]
