@@ -8,8 +8,8 @@ discloses an entity e as far as its pointwise mutual information with e nears th
 
 Counts are of documents. A term whose disclosure is at or over the threshold, on at least `support` documents, is
 removed at every place of every text, or generalised if it holds a digit (digits become 0). Pairs are made only for
-entities that stand in `support` documents, and for one of those that stand in the same documents (a list of contacts
-in several copies makes one): as many as there are of them in texts, times the texts' distinct words.
+entities and terms that stand in `support` documents, and for one of those that stand in the same documents (a list of
+contacts in several copies makes one, and so do the words that come with it).
 """
 
 from __future__ import annotations
@@ -198,24 +198,43 @@ def document_counts(docs: DataFrame, wanted: bytes, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def pairs(found: DataFrame, rows: int, threshold: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """(term, class) of the terms that may disclose, and (class, c_et, c_e): for each number of documents that a class shares with an entity, the least count of such an entity.
+
+    Entities of the same documents are one, and so are terms: what counts of a pair is the same for all of them. A class
+    on more documents than N (c(e) / N) ** threshold can't reach the threshold with e, and isn't counted with it.
+    Entities that stand in every document tell nothing. An empty table gives no rows.
+    """
+    where = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"where_{k}") for k in (0, 1)]  # equal for what stands in the same documents
+    each = found.select("row", F.explode("es").alias("e"))
+    entities = each.groupBy("e").agg(F.count("*").alias("c_e"), *where).where((F.col("c_e") >= support) & (F.col("c_e") < rows))  # of others no pair counts
+    entities = entities.groupBy("c_e", "where_0", "where_1").agg(F.min("e").alias("e")).select("e", "c_e")
+    entities = keep(each.join(entities, "e"), "entities")
+    own = found.join(entities.select("row").distinct(), "row", "left_semi").select("row", F.explode("terms").alias("term"))
+    counted = keep(own.groupBy("term").agg(F.count("*").alias("m"), *where).where(F.col("m") >= support), "terms")
+    alike = ["m", "where_0", "where_1"]
+    firsts = keep(counted.groupBy(*alike).agg(F.min("term").alias("class")), "firsts")
+    most = F.lit(float(rows)) * F.pow(F.col("c_e") / F.lit(float(rows)), F.lit(threshold)) * (1 + 1e-9)
+    held = own.join(firsts.select(F.col("class").alias("term"), "m"), "term")
+    both = entities.join(held, "row").where(F.col("m") <= most).groupBy("e", "c_e", F.col("term").alias("class")).agg(F.count("*").alias("c_et")).where(F.col("c_et") >= support)
+    both = keep(both.groupBy("class", "c_et").agg(F.min("c_e").alias("c_e")), "pairs")
+    open_ = firsts.join(both.select("class").distinct(), "class", "left_semi")
+    classes = keep(counted.join(open_, alike).select("term", "class"), "classes")
+    return classes, both
+
+
 def detect(docs: DataFrame, threshold: float = 0.9, support: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, h, spans (array of order, start, end; order 4 is a disclosing term), by kind, then start.
 
     A null text counts as empty: no spans. Repeated rows and null ids stay; each row counts as a document. An
     empty table gives no rows.
     """
-    found = keep(find(docs, id_col, text_col), "personal")
+    found = keep(find(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "personal")
     rows = found.agg(F.count("*")).first()[0]
-    each = found.select(F.explode("es").alias("e"), "doc_id", "h", "terms")
-    where = [F.sum(F.xxhash64("doc_id", "h", F.lit(k)).cast("decimal(38,0)")).alias(f"where_{k}") for k in (0, 1)]  # equal for entities of the same documents
-    entities = each.groupBy("e").agg(F.count("*").alias("c_e"), *where).where(F.col("c_e") >= support)  # of others no pair has the support
-    entities = keep(entities.groupBy("c_e", "where_0", "where_1").agg(F.min("e").alias("e")).select("e", "c_e"), "entities")
-    both = each.join(entities, "e", "left_semi").select("e", F.explode("terms").alias("term")).groupBy("e", "term").agg(F.count("*").alias("c_et")).where(F.col("c_et") >= support)
-    both = keep(both, "pairs")
-    terms = document_counts(docs, places(both.select("term").distinct()), text_col)
-    scored = both.join(terms, "term").join(entities, "e")
+    classes, both = pairs(found, rows, threshold, support)
+    terms = document_counts(docs, places(classes.select("term")), text_col)
     told = F.log2(F.lit(float(rows)) * F.col("c_et") / (F.col("n") * F.col("c_e")))
-    scored = scored.withColumn("disclosure", F.try_divide(told, F.log2(F.lit(float(rows)) / F.col("c_e"))))
+    scored = classes.join(both, "class").join(terms, "term").withColumn("disclosure", F.try_divide(told, F.log2(F.lit(float(rows)) / F.col("c_e"))))
     revealing = keep(scored.where(F.col("disclosure") >= threshold).select("term").distinct(), "revealing")
     hits = occurrences(docs, places(revealing), id_col, text_col).join(revealing, "term", "left_semi")
     more = hits.groupBy("d", "g").agg(F.collect_set(F.struct(F.lit(len(KINDS)).alias("order"), "start", "end")).alias("more"))

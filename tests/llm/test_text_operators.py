@@ -12,8 +12,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from storelens.llm import bpe, decontam, passages, pii, secrets, toxicity
+from storelens.llm.common import keep
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -443,3 +445,21 @@ def test_toxicity_labels_without_documents(spark, make):
     for rows in ([(9, "x")], [(1, "only one label")]):
         docs = make(rows)
         assert all(r.score < 0.3 for r in toxicity.score(docs, toxicity.train(docs, labels)).collect())
+
+
+def test_lists_of_contacts_that_overlap_pair_sets_of_documents(make):
+    def counted(n):
+        lists = [[] for _ in range(8)]
+        for k in range(n):
+            who = f"name{k} p{k}@x.com"
+            for d in random.Random(k).sample(range(8), 4):
+                lists[d].append(who)
+        docs = make([(d, " ".join(x)) for d, x in enumerate(lists)] + [(100 + k, f"other text {k}") for k in range(92)])
+        found = keep(pii.find(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "found")
+        classes, both = pii.pairs(found, 100, 0.9, 3)
+        terms = pii.detect(docs).select(F.count_if(F.exists("spans", lambda x: x.order == 4)), F.sum(pii.count_of(4))).first()
+        return classes.select("class").distinct().count(), both.count(), terms
+
+    few, many = counted(600), counted(2400)
+    assert few[0] == many[0] <= 70 and many[1] <= 4 * 70  # of 8 documents there are 70 sets of 4, however long the lists are
+    assert tuple(many[2]) == (8, 4 * 2400)  # each name tells its address, wherever it stands
