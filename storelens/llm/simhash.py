@@ -231,6 +231,26 @@ def prefix(hashes: np.ndarray, levels: np.ndarray, least: float) -> np.ndarray:
     return hashes[np.lexsort((hashes, levels[(hashes >> np.uint64(64 - PLACES)).astype(np.int64)]))[:n]]
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of shingles, unsigned: the bits that over half of its hashes have set; 0 for no shingle."""
+    counts = np.zeros(64, np.int64)
+    for lo in range(0, len(hashes), 1 << 16):
+        counts += np.unpackbits(hashes[lo : lo + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def by_fingerprint(marks: DataFrame, radius: int = 2) -> DataFrame:
+    """id (distinct), fp -> x < y: each id with the least id of its fingerprint, and those least ids whose fingerprints the Gray-order index links. At most a pair for each id and link."""
+    lead = keep(marks.groupBy("fp").agg(F.min("id").alias("lead")), "leads")
+    near = links(lead, radius)
+    same = marks.join(lead, "fp").select(F.col("id").alias("x"), F.col("lead").alias("y"))
+    apart = near.join(lead.toDF("a", "x"), "a").join(lead.toDF("b", "y"), "b").select("x", "y")
+    pairs = same.union(apart).where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    out = keep(pairs.distinct(), "by-fingerprint")
+    discard(lead, near)
+    return out
+
+
 def parity(hashes: np.ndarray) -> bytes:
     """Two sets differ in at least as many shingles as their maps differ in bits."""
     return np.packbits(np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes()
@@ -254,11 +274,12 @@ def cross_pairs(ids: np.ndarray, group: np.ndarray, n: np.ndarray, maps: np.ndar
     return np.concatenate([none, *x]), np.concatenate([none, *y])
 
 
-def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: int = 2, block: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: int = 2, block: int = 512, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> doc_id, digest (of the text), group, component: documents of equal texts, or linked by word-shingle sets at or over `least` similarity (Jaccard).
 
-    At such a similarity fingerprints may differ in a dozen of their bits, more than blocks can guarantee to find;
-    so texts are looked up by shingles: two texts at `least` have one of their rarest shingles (`prefix`) in
+    The Gray-order index comes first: it links texts whose SimHash fingerprints, of the same shingles, differ in
+    `radius` bits or fewer. At `least` they may differ in a dozen, more than blocks can guarantee to find; so texts
+    of different groups are then looked up by shingles: two texts at `least` have one of their rarest (`prefix`) in
     common, at any number of rows. The texts with one such shingle are a bucket. In `pivots` rounds each is
     compared with one of its bucket, which links most of a large group; then all pairs of a bucket that are
     not linked yet are compared, those of a large bucket by pairs of blocks of about `block` texts. A pair is dropped
@@ -273,16 +294,17 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(held_levels.value, np.uint8)
         for b in batches:
-            sizes, maps, rare = [], [], []
+            sizes, maps, prints, rare = [], [], [], []
             for t in b.column(2):
                 own = shingle_hashes(t.as_py(), words)
                 sizes.append(len(own))
                 maps.append(parity(own))
+                prints.append(signed(majority(own)))
                 rare.append(prefix(own, levels, least).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "map", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int32()), pa.array(maps, pa.binary()), pa.array(prints, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "map", "fp", "rare"])
 
-    rows = keep(whole.mapInArrow(run, "doc_id long, digest binary, n int, map binary, rare array<long>"), "shingles")
-    distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "map", "rare")])
+    rows = keep(whole.mapInArrow(run, "doc_id long, digest binary, n int, map binary, fp long, rare array<long>"), "shingles")
+    distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "map", "fp", "rare")])
     distinct = keep(distinct.withColumn("id", F.xxhash64("digest")), "distinct")  # nodes of the graph are texts; 64 bits of their digest name them
     ids = keep(rows.select("doc_id", "digest"), "ids")
     discard(rows)
@@ -291,6 +313,7 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
     left = keep(tokens.join(shared, "s").withColumn("c", F.col("id")), "open")
     texts = keep(distinct.select("digest", "least", "id", "n", "map"), "texts")
     facts = texts.select("id", "n", "map")
+    near = by_fingerprint(distinct.select("id", "fp"), radius)
     discard(distinct, shared)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,6 +323,10 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
             at = pa.array(np.flatnonzero(may_link(n, m, np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64), least)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["x", "y"])
 
+    def bounded(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(facts.toDF("x", "n", "p"), "x").join(facts.toDF("y", "m", "q"), "y")
+        return both.select("x", "y", "n", "p", "m", "q").mapInArrow(bound, "x long, y long")
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for b in batches:
@@ -340,14 +367,16 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
                 x, y = cross_pairs(v.field("id").to_numpy(), v.field("c").to_numpy(), v.field("n").to_numpy().astype(np.int64), maps, v.field("part").to_numpy(), apart, least)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
-    edges = tried = group = None
+    tried = keep(bounded(near), "candidates")
+    edges = verified(tried)
+    group = components(edges.toDF("a", "b"))
+    discard(near)
     for k in range(pivots + 1):
-        if group is not None:
-            left = still_open(left, group)
+        left = still_open(left, group)
         if k < pivots:
             pivot = keep(left.groupBy("s").agg(F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("o"), F.col("id").alias("y"), F.col("c").alias("d"))).alias("t")).select("s", "t.y", "t.d"), "pivots")
             first = keep(left.join(pivot, "s").where("c <> d").select(F.least("id", "y").alias("x"), F.greatest("id", "y").alias("y")).distinct(), "pairs")
-            pairs = first.join(facts.toDF("x", "n", "p"), "x").join(facts.toDF("y", "m", "q"), "y").select("x", "y", "n", "p", "m", "q").mapInArrow(bound, "x long, y long")
+            pairs = bounded(first)
             used = [pivot, first]
         else:
             parts = keep(left.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "parts")
@@ -356,13 +385,10 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
             cell = own.groupBy("s", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("id", "c", "n", "map", "part")).alias("of"))
             pairs = cell.select((F.col("i") != F.col("j")).alias("apart"), "of").mapInArrow(cells, "x long, y long").distinct()
             used = [parts]
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = keep(pairs, "candidates")
+        pairs = keep(pairs.join(tried, ["x", "y"], "left_anti"), "candidates")
         discard(*used)
-        tried = pairs if tried is None else tried.union(pairs)
-        more = verified(pairs)
-        edges = more if edges is None else edges.union(more)
+        tried = tried.union(pairs)
+        edges = edges.union(verified(pairs))
         group = components(edges.toDF("a", "b"))
     discard(left)
     of = keep(texts.join(group, F.col("id") == F.col("v"), "left").select("digest", "least", F.coalesce("c", "id").alias("component")), "of")

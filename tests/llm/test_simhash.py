@@ -166,6 +166,26 @@ def test_all_links_at_the_threshold_are_found_in_random_texts(make, words):
         assert len(linked) > n // 4 and got == {k: int(root[k]) for k in range(n)}
 
 
+def test_copies_with_few_changes_are_found_by_fingerprint(spark, make, words):
+    """The pairs that the index hands on: each text with the least of its fingerprint, and linked fingerprints; the groups are the same at any radius."""
+    rows = []
+    for k in range(30):
+        w = words(1500, 40 * k)
+        rows.append((k, " ".join(w)))
+        rows.append((100 + k, " ".join(with_others(w, {700}, f"z{k}_"))))
+    prints = {i: simhash.majority(simhash.shingle_hashes(t, 5)) for i, t in rows}
+    for i, t in rows[:3]:
+        own = [xxhash.xxh64_intdigest(" ".join(g).encode()) for g in {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}]
+        assert prints[i] == sum(1 << b for b in range(64) if sum(h >> b & 1 for h in own) * 2 > len(own))
+    marks = spark.createDataFrame([(i, simhash.signed(fp)) for i, fp in prints.items()], "id long, fp long")
+    got = {tuple(r) for r in simhash.by_fingerprint(marks).collect()}
+    near = {k for k in range(30) if (prints[k] ^ prints[100 + k]).bit_count() <= 2}
+    assert near and got == {(k, 100 + k) for k in near}
+    assert simhash.majority(np.zeros(0, np.uint64)) == 0
+    for radius in (0, 2):
+        assert {r.doc_id for r in simhash.keep_one(make(rows), radius=radius).collect()} == set(range(30))
+
+
 def test_empty(make):
     assert simhash.near_duplicates(make([])).count() == 0
     assert simhash.keep_one(make([])).count() == 0
