@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import discard, fresh, keep
 
@@ -193,8 +194,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Bits of a text's parity map, places of the table of common shingles, and the rows of a sample that fill it.
-PARITY, PLACES, SAMPLE = 512, 22, 20_000
+#: Least and most bits of a text's parity map, places of the table of common shingles, and the rows of a sample that fill it.
+PARITY, PARITY_MOST, PLACES, SAMPLE = 512, 1 << 14, 22, 20_000
+#: Earlier buckets of its own that a text carries into a bucket.
+EARLIER = 64
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -252,8 +255,27 @@ def by_fingerprint(marks: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def parity(hashes: np.ndarray) -> bytes:
-    """Two sets differ in at least as many shingles as their maps differ in bits."""
-    return np.packbits(np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+    """Two sets differ in at least as many shingles as their maps differ in bits. A map has as many bits as its set has
+    shingles, up to a power of two: in a shorter one the bits of unlike sets even out."""
+    bits = min(PARITY_MOST, max(PARITY, 1 << max(0, len(hashes) - 1).bit_length()))
+    return np.packbits(np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def folded(maps: list[bytes], size: int) -> np.ndarray:
+    """Maps of one size as rows of `size` bytes: those that shorter maps of the same sets would have."""
+    rows = np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1, size // 8)
+    return np.bitwise_xor.reduce(rows, axis=1)
+
+
+def differing(p: list[bytes], q: list[bytes]) -> np.ndarray:
+    """The number of bits in which each two maps differ, the longer one folded."""
+    sizes = np.array([(len(x), len(y)) for x, y in zip(p, q)]).reshape(-1, 2)
+    out = np.zeros(len(p), np.int64)
+    for a, b in np.unique(sizes, axis=0).tolist():
+        at = np.flatnonzero((sizes == (a, b)).all(axis=1)).tolist()
+        left, right = (folded([x[k] for k in at], min(a, b)) for x in (p, q))
+        out[at] = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def may_link(n: np.ndarray, m: np.ndarray, far: np.ndarray, least: float) -> np.ndarray:
@@ -261,13 +283,27 @@ def may_link(n: np.ndarray, m: np.ndarray, far: np.ndarray, least: float) -> np.
     return np.maximum(far, np.abs(n - m)) <= (n + m) * (1 - least) / (1 + least) + 1e-6
 
 
-def cross_pairs(ids: np.ndarray, group: np.ndarray, n: np.ndarray, maps: np.ndarray, block: np.ndarray, apart: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """ids of all pairs in different groups that may link; `apart`: only between different blocks."""
+def cross_pairs(ids: np.ndarray, group: np.ndarray, n: np.ndarray, maps: list[bytes], block: np.ndarray, earlier: list[frozenset], apart: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """ids of all pairs in different groups that may link and were in no earlier bucket together; `apart`: only between different blocks."""
+    size, at_size = np.array([len(x) for x in maps]), {}
+    for s in np.unique(size).tolist():  # of sets that may link one has a map of at most twice the other's size
+        at_size[s] = np.zeros((len(maps), s // 8), np.uint64)
+        for longer in (s, 2 * s):
+            at = np.flatnonzero(size == longer)
+            if len(at):
+                at_size[s][at] = folded([maps[k] for k in at], s)
     x, y = [], []
     for k in range(len(ids) - 1):
         r = np.flatnonzero((group[k + 1 :] != group[k]) & ((block[k + 1 :] != block[k]) | (not apart))) + k + 1
         r = r[may_link(n[k], n[r], 0, least)]
-        r = r[may_link(n[k], n[r], np.bitwise_count(maps[r] ^ maps[k]).sum(axis=1, dtype=np.int64), least)]
+        if not len(r):
+            continue
+        common, far = np.minimum(size[r], size[k]), np.zeros(len(r), np.int64)
+        for s in np.unique(common).tolist():
+            own = common == s
+            far[own] = np.bitwise_count(at_size[s][r[own]] ^ at_size[s][k]).sum(axis=1, dtype=np.int64)
+        r = r[may_link(n[k], n[r], far, least)]
+        r = r[[earlier[k].isdisjoint(earlier[i]) for i in r.tolist()]] if len(r) else r
         x.append(np.minimum(ids[k], ids[r]))
         y.append(np.maximum(ids[k], ids[r]))
     none = np.zeros(0, np.int64)
@@ -280,11 +316,12 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
     The Gray-order index comes first: it links texts whose SimHash fingerprints, of the same shingles, differ in
     `radius` bits or fewer. At `least` they may differ in a dozen, more than blocks can guarantee to find; so texts
     of different groups are then looked up by shingles: two texts at `least` have one of their rarest (`prefix`) in
-    common, at any number of rows. The texts with one such shingle are a bucket. In `pivots` rounds each is
-    compared with one of its bucket, which links most of a large group; then all pairs of a bucket that are
-    not linked yet are compared, those of a large bucket by pairs of blocks of about `block` texts. A pair is dropped
-    unverified only if the sets' sizes or parity maps prove it under `least`; the rest are verified on whole
-    texts. No link is lost. Null and empty texts are equal texts, and all texts without a word are alike. group
+    common, at any number of rows. The texts with one such shingle are a bucket; shingles of the same texts make one. In
+    `pivots` rounds each is compared with one of its bucket, which links most of a large group; then all pairs of a
+    bucket that are not linked yet are compared, those of a large bucket by pairs of blocks of about `block` texts. A
+    pair that stands in several buckets is written in the first of them (a text carries its last EARLIER buckets into
+    the next; beyond these a pair may be written twice, and is still compared once). A pair is dropped unverified
+    only if the sets' sizes or parity maps prove it under `least`; the rest are verified on whole texts. No link is lost. Null and empty texts are equal texts, and all texts without a word are alike. group
     is the smallest doc_id (null if no row of the group has one); component names the group in any case. Repeated rows stay.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -310,17 +347,19 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
     discard(rows)
     tokens = distinct.select("id", F.explode("rare").alias("s"))
     shared = keep(tokens.groupBy("s").agg(F.count("*").alias("k")).where("k > 1").select("s"), "shared")
-    left = keep(tokens.join(shared, "s").withColumn("c", F.col("id")), "open")
+    several = keep(tokens.join(shared, "s"), "tokens")
+    whose = several.groupBy("s").agg(F.count("*").alias("k"), *[F.bit_xor(F.xxhash64("id", F.lit(j))).alias(f"whose_{j}") for j in (0, 1)])  # equal for shingles of the same texts
+    buckets = keep(whose.groupBy("k", "whose_0", "whose_1").agg(F.min("s").alias("s")).select("s"), "buckets")
+    left = keep(several.join(buckets, "s").withColumn("c", F.col("id")), "open")
     texts = keep(distinct.select("digest", "least", "id", "n", "map"), "texts")
     facts = texts.select("id", "n", "map")
     near = by_fingerprint(distinct.select("id", "fp"), radius)
-    discard(distinct, shared)
+    discard(distinct, shared, several, buckets)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, m = (b.column(k).to_numpy().astype(np.int64) for k in (2, 4))
-            p, q = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(len(n), -1) for k in (3, 5))
-            at = pa.array(np.flatnonzero(may_link(n, m, np.bitwise_count(p ^ q).sum(axis=1, dtype=np.int64), least)))
+            at = pa.array(np.flatnonzero(may_link(n, m, differing(b.column(3).to_pylist(), b.column(5).to_pylist()), least)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["x", "y"])
 
     def bounded(pairs: DataFrame) -> DataFrame:
@@ -363,8 +402,8 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
         for b in batches:
             for apart, cell in zip(b.column(0).to_pylist(), b.column(1)):
                 v = cell.values
-                maps = np.frombuffer(b"".join(v.field("map").to_pylist()), np.uint64).reshape(len(v), -1)
-                x, y = cross_pairs(v.field("id").to_numpy(), v.field("c").to_numpy(), v.field("n").to_numpy().astype(np.int64), maps, v.field("part").to_numpy(), apart, least)
+                earlier = list(map(frozenset, v.field("earlier").to_pylist()))
+                x, y = cross_pairs(v.field("id").to_numpy(), v.field("c").to_numpy(), v.field("n").to_numpy().astype(np.int64), v.field("map").to_pylist(), v.field("part").to_numpy(), earlier, apart, least)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
     tried = keep(bounded(near), "candidates")
@@ -380,9 +419,10 @@ def similar_texts(docs: DataFrame, least: float = 0.8, words: int = 5, pivots: i
             used = [pivot, first]
         else:
             parts = keep(left.groupBy("s").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")), "parts")
-            own = left.join(parts, "s").join(facts, "id").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
+            before = F.collect_list("s").over(W.partitionBy("id").orderBy("s").rowsBetween(-EARLIER, -1))
+            own = left.withColumn("earlier", before).join(parts, "s").join(facts, "id").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
             own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            cell = own.groupBy("s", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("id", "c", "n", "map", "part")).alias("of"))
+            cell = own.groupBy("s", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).agg(F.collect_list(F.struct("id", "c", "n", "map", "part", "earlier")).alias("of"))
             pairs = cell.select((F.col("i") != F.col("j")).alias("apart"), "of").mapInArrow(cells, "x long, y long").distinct()
             used = [parts]
         pairs = keep(pairs.join(tried, ["x", "y"], "left_anti"), "candidates")

@@ -186,6 +186,53 @@ def test_copies_with_few_changes_are_found_by_fingerprint(spark, make, words):
         assert {r.doc_id for r in simhash.keep_one(make(rows), radius=radius).collect()} == set(range(30))
 
 
+def test_pairs_of_long_unlike_texts_are_proven_apart_and_no_pair_is_written_for_each_bucket():
+    sets = [np.unique(np.array([xxhash.xxh64_intdigest(f"{k}:{j}" if j > 300 else f"{j}") for j in range(n)], np.uint64)) for k, n in enumerate((3000, 2900, 4200, 3600, 300, 310))]
+    maps, n = [simhash.parity(s) for s in sets], np.array(list(map(len, sets)))
+    assert [len(m) for m in maps] == [512, 512, 1024, 512, 64, 64]
+    for a in range(6):
+        for b in range(6):
+            apart = len(np.setxor1d(sets[a], sets[b]))
+            least = int(simhash.differing([maps[a]], [maps[b]])[0])
+            assert least <= apart and (a == b) == (least == 0)
+            short = [simhash.np.packbits(np.bincount((s % np.uint64(512)).astype(np.int64), minlength=512).astype(np.uint8) & 1) for s in (sets[a], sets[b])]
+            assert (simhash.folded([maps[a]], 64).view(np.uint8)[0] == short[0]).all()  # as 512 bits would have it
+            if {a, b} in ({0, 1}, {2, 3}):
+                assert not simhash.may_link(n[a], n[b], least, 0.8) and simhash.may_link(n[a], n[b], np.bitwise_count(short[0] ^ short[1]).sum(), 0.8)
+
+    def pairs(earlier):
+        return [list(zip(*map(np.ndarray.tolist, simhash.cross_pairs(np.arange(6), np.arange(6), n, maps, np.zeros(6, int), list(map(frozenset, earlier)), False, 0.8))))]
+
+    assert pairs([[]] * 6) == [[(4, 5)]] and pairs([[1], [1], [1], [1], [7], [8]]) == [[(4, 5)]]
+    assert pairs([[], [], [], [], [7, 8], [8, 9]]) == [[]]  # they were in bucket 8 together
+
+
+def test_shingles_of_the_same_texts_make_one_bucket_and_no_link_is_lost(make, monkeypatch):
+    """Texts of 450 to 1300 words around 0.8, with maps of different lengths, against all pairs, however many earlier buckets they carry."""
+    rng, rows = random.Random(9), []
+    for g, size in enumerate((450, 530, 1000, 1300)):
+        base = [f"g{g}w{k}" for k in range(size)]
+        for k in range(10):
+            text = with_others(base, set(rng.sample(range(size), size // 100 + k % 3)), f"o{g}_{k}_")
+            rows.append((10 * g + k, " ".join(text[: size - rng.randrange(size // 12)])))
+    split = [t.split() for _, t in rows]
+    linked = [(i, j) for i in range(len(rows)) for j in range(i) if alike(split[i], split[j]) >= 0.8]
+    root = simhash.forest(len(rows), *(np.array(x) for x in zip(*linked)))
+    real, seen = simhash.keep, {}
+
+    def keep(df, name="step"):
+        seen.setdefault(name, []).append((out := real(df, name)).count())
+        return out
+
+    monkeypatch.setattr(simhash, "keep", keep)
+    for earlier, pivots in ((64, 2), (1, 0)):
+        monkeypatch.setattr(simhash, "EARLIER", earlier)
+        seen.clear()
+        got = {r.doc_id: r.group for r in simhash.similar_texts(make(rows), pivots=pivots).collect()}
+        assert got == {k: int(root[k]) for k in range(len(rows))} and len(set(got.values())) > 4
+        assert 4 * seen["open"][0] < sum(len(simhash.prefix(simhash.shingle_hashes(t, 5), np.zeros(1 << simhash.PLACES, np.uint8), 0.8)) for _, t in rows)
+
+
 def test_empty(make):
     assert simhash.near_duplicates(make([])).count() == 0
     assert simhash.keep_one(make([])).count() == 0
