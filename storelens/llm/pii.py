@@ -9,7 +9,8 @@ discloses an entity e as far as its pointwise mutual information with e nears th
 Counts are of documents. A term whose disclosure is at or over the threshold, on at least `support` documents, is
 removed at every place of every text, or generalised if it holds a digit (digits become 0). Pairs are made only for
 entities and terms that stand in `support` documents, and for one of those that stand in the same documents (a list of
-contacts in several copies makes one, and so do the words that come with it).
+contacts in several copies makes one, and so do the words that come with it). A term on more documents than any of its
+pairs allows isn't counted to the end: the documents with entities, then an eighth of all, show most of these words.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, keep
@@ -35,8 +36,11 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"\w+")
-BITS = 20
+#: Bits of a map of terms: a term has SPARE of them, within these powers of two.
+BITS, SPARE = (20, 26), 64
 FLUSH = 200_000
+#: One in so many parts of the documents is counted first.
+FIRST_PARTS = 8
 
 
 def luhn(digits: str) -> bool:
@@ -130,14 +134,14 @@ def occurrences(docs: DataFrame, wanted: bytes, id_col: str, text_col: str) -> D
     held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool), {}
+        bits, known = held.value, {}
         for b in batches:
             ds, hs, all_hits = [], [], []
             for d, t in zip(b.column(0), b.column(1)):
                 text = t.as_py() or ""
                 words = {w: w.lower() for w in set(WORD.findall(text))}
                 for w in [w for w in words.values() if w not in known]:
-                    known[w] = bool(bits[place_of(w)])
+                    known[w] = holds(bits, w)
                 if any(map(known.__getitem__, words.values())):
                     hits = [{"term": w, "start": x, "end": y} for w, x, y in outside(text, base_spans(text)) if known[w]]
                     if hits:
@@ -152,23 +156,28 @@ def occurrences(docs: DataFrame, wanted: bytes, id_col: str, text_col: str) -> D
     return rows.mapInArrow(run, "d long, g long, hits array<struct<term:string,start:int,end:int>>").select("d", "g", F.inline("hits"))
 
 
-def place_of(term: str) -> int:
-    return xxhash.xxh32_intdigest(term) >> (32 - BITS)
+def place_of(term: str, bits: int) -> int:
+    return xxhash.xxh32_intdigest(term) >> (32 - bits)
+
+
+def holds(held: bytes, term: str) -> bool:
+    """Whether the term's place is in the map."""
+    k = place_of(term, len(held).bit_length() + 2)
+    return bool(held[k >> 3] >> (7 - (k & 7)) & 1)
 
 
 def places(terms: DataFrame) -> bytes:
-    """A bitmap of 2**BITS bits (128 KB at any size of input) that holds every term's place; other terms in it only cost time."""
+    """A bitmap that holds every term's place; other terms in it only cost time. It grows with the terms, so that the share of others in it stays (128 KB to 8 MB)."""
+    bits = min(BITS[1], max(BITS[0], (SPARE * terms.count() - 1).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << BITS, bool)
         for b in batches:
-            seen[[place_of(t) for t in b.column(0).to_pylist()]] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen), pa.int32())], ["place"])
+            yield pa.RecordBatch.from_arrays([pa.array([place_of(t, bits) for t in b.column(0).to_pylist()], pa.int32())], ["place"])
 
     found = terms.select("term").mapInArrow(run, "place int").distinct().toArrow().column("place").to_numpy()
-    bits = np.zeros(1 << BITS, bool)
-    bits[found] = True
-    return np.packbits(bits).tobytes()
+    held = np.zeros(1 << bits, bool)
+    held[found] = True
+    return np.packbits(held).tobytes()
 
 
 def document_counts(docs: DataFrame, wanted: bytes, text_col: str) -> DataFrame:
@@ -176,7 +185,7 @@ def document_counts(docs: DataFrame, wanted: bytes, text_col: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, known, counts = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool), {}, Counter()
+        bits, known, counts = held.value, {}, Counter()
 
         def out() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
@@ -187,7 +196,7 @@ def document_counts(docs: DataFrame, wanted: bytes, text_col: str) -> DataFrame:
             for t in b.column(0):
                 words = {w.lower() for w in set(WORD.findall(t.as_py() or ""))}
                 for w in [w for w in words if w not in known]:
-                    known[w] = bool(bits[place_of(w)])
+                    known[w] = holds(bits, w)
                 counts.update(filter(known.__getitem__, words))
                 if len(known) > FLUSH:
                     known.clear()
@@ -198,11 +207,24 @@ def document_counts(docs: DataFrame, wanted: bytes, text_col: str) -> DataFrame:
     return docs.select(text_col).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
+def most(c_et: Column, c_e: Column, rows: int, threshold: float) -> Column:
+    """The documents that a term can stand in and still reach the threshold; a little more, for rounding."""
+    return F.lit(float(rows)) * c_et / c_e * F.pow(c_e / F.lit(float(rows)), F.lit(threshold)) * (1 + 1e-9)
+
+
+def rare_enough(docs: DataFrame, classes: DataFrame, both: DataFrame, rows: int, threshold: float, text_col: str) -> DataFrame:
+    """The classes' rows without the terms that stand in too many documents of a part of docs, whichever that is, to disclose anything."""
+    part = document_counts(docs.where(F.spark_partition_id() % FIRST_PARTS == 0), places(classes.select("term")), text_col)
+    limits = both.groupBy("class").agg(F.max(most(F.col("c_et"), F.col("c_e"), rows, threshold)).alias("limit"))
+    rare = classes.join(limits, "class").join(part, "term", "left").where(F.coalesce("n", F.lit(0)) <= F.col("limit"))
+    return keep(rare.select("term", "class"), "rare")
+
+
 def pairs(found: DataFrame, rows: int, threshold: float, support: int) -> tuple[DataFrame, DataFrame]:
     """(term, class) of the terms that may disclose, and (class, c_et, c_e): for each number of documents that a class shares with an entity, the least count of such an entity.
 
     Entities of the same documents are one, and so are terms: what counts of a pair is the same for all of them. A class
-    on more documents than N (c(e) / N) ** threshold can't reach the threshold with e, and isn't counted with it.
+    on more documents than N (c(e) / N) ** threshold c(e,t) / c(e) can't reach the threshold with e, and isn't counted with it.
     Entities that stand in every document tell nothing. An empty table gives no rows.
     """
     where = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"where_{k}") for k in (0, 1)]  # equal for what stands in the same documents
@@ -214,9 +236,9 @@ def pairs(found: DataFrame, rows: int, threshold: float, support: int) -> tuple[
     counted = keep(own.groupBy("term").agg(F.count("*").alias("m"), *where).where(F.col("m") >= support), "terms")
     alike = ["m", "where_0", "where_1"]
     firsts = keep(counted.groupBy(*alike).agg(F.min("term").alias("class")), "firsts")
-    most = F.lit(float(rows)) * F.pow(F.col("c_e") / F.lit(float(rows)), F.lit(threshold)) * (1 + 1e-9)
     held = own.join(firsts.select(F.col("class").alias("term"), "m"), "term")
-    both = entities.join(held, "row").where(F.col("m") <= most).groupBy("e", "c_e", F.col("term").alias("class")).agg(F.count("*").alias("c_et")).where(F.col("c_et") >= support)
+    both = entities.join(held, "row").where(F.col("m") <= most(F.col("c_e"), F.col("c_e"), rows, threshold)).groupBy("e", "c_e", F.col("term").alias("class"), "m").agg(F.count("*").alias("c_et"))
+    both = both.where((F.col("c_et") >= support) & (F.col("m") <= most(F.col("c_et"), F.col("c_e"), rows, threshold)))
     both = keep(both.groupBy("class", "c_et").agg(F.min("c_e").alias("c_e")), "pairs")
     open_ = firsts.join(both.select("class").distinct(), "class", "left_semi")
     classes = keep(counted.join(open_, alike).select("term", "class"), "classes")
@@ -232,6 +254,7 @@ def detect(docs: DataFrame, threshold: float = 0.9, support: int = 3, id_col: st
     found = keep(find(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "personal")
     rows = found.agg(F.count("*")).first()[0]
     classes, both = pairs(found, rows, threshold, support)
+    classes = rare_enough(docs, classes, both, rows, threshold, text_col)
     terms = document_counts(docs, places(classes.select("term")), text_col)
     told = F.log2(F.lit(float(rows)) * F.col("c_et") / (F.col("n") * F.col("c_e")))
     scored = classes.join(both, "class").join(terms, "term").withColumn("disclosure", F.try_divide(told, F.log2(F.lit(float(rows)) / F.col("c_e"))))

@@ -440,6 +440,28 @@ def test_a_long_list_of_contacts_in_copies_takes_seconds(make):
     assert {r.n_email for r in got if r.doc_id < 4} == {6000} and all("term:" in r.spans for r in got if r.doc_id < 4) and time.time() - began < 90
 
 
+def test_common_words_are_not_counted_to_the_end_and_all_that_disclose_are(make, words):
+    """Words of a list of contacts, common in other texts, go after a part of the documents; what tells an address stays, in whichever part it stands."""
+    lists = [(k, " ".join([f"common{j} other{j}" for j in range(50)] + [f"name{j} p{j}@x.com" for j in range(20)])) for k in range(3)]
+    rows = lists + [(10 + k, " ".join(f"common{(k + j) % 50}" for j in range(40))) for k in range(400)] + [(1000, "here is name7")]
+    for parts in (1, 16):
+        docs = make(rows).repartition(parts)
+        found = keep(pii.find(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "found")
+        classes, both = pii.pairs(found, len(rows), 0.9, 3)
+        rare = pii.rare_enough(docs, classes, both, len(rows), 0.9, "text")
+        telling = {f"other{j}" for j in range(50)} | {f"name{j}" for j in range(20)}
+        assert {r.term for r in classes.collect()} == telling | {f"common{j}" for j in range(50)} and {r.term for r in rare.collect()} == telling
+        got = {r.doc_id: r.spans for r in pii.digests(pii.detect(docs)).collect()}
+        assert got[0].count("term:") == 70 and got[1000] == "term:8:13" and got[10] == ""
+
+
+def test_maps_of_terms_grow_with_them(spark):
+    for n, size in ((10, 1 << 17), (40_000, 1 << 19)):
+        held = pii.places(spark.range(n).selectExpr("concat('term', id) AS term"))
+        assert len(held) == size and all(pii.holds(held, f"term{k}") for k in range(n))
+        assert sum(pii.holds(held, f"else{k}") for k in range(5000)) < 0.03 * 5000
+
+
 def test_toxicity_labels_without_documents(spark, make):
     labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
     for rows in ([(9, "x")], [(1, "only one label")]):
