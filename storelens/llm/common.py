@@ -64,6 +64,22 @@ def discard(*kept: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Powers of two: least and most bits of a map of keys.
+MAP_BITS = (15, 27)
+
+
+def perhaps_in(df: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of df whose keys stand in wanted, and a few others: no join moves the rest. A bitmap of the keys' hashes is broadcast, 8 bits for each key and 16 MB at most, beyond which more others stay."""
+    bits = min(MAP_BITS[1], max(MAP_BITS[0], (8 * wanted.count()).bit_length()))
+    place, bucket, held = fresh(df, "place", "bucket", "held")
+    where = F.xxhash64(*keys).bitwiseAND(F.lit((1 << bits) - 1)) + 1
+    maps = wanted.select(where.alias(place)).groupBy(F.bitmap_bucket_number(place).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(held))
+    near = df.withColumn(place, where).withColumn(bucket, F.bitmap_bucket_number(place)).join(F.broadcast(keep(maps, "maps")), bucket)
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(held), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return near.where(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with as many underscores behind each as make them new to df."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import keep
+from .common import discard, keep, perhaps_in
 
 WORD = re.compile(r"\w+")
 UNITS = {
@@ -302,6 +302,9 @@ def repeats(docs: DataFrame, unit: str = "line", least_words: int = 50, line_wor
     first = F.min(F.struct("doc_id", "t", "place")).alias("first")
     groups = all_units.groupBy("h", "g").agg(F.count("*").alias("times"), first).where("times > 1")
     groups = keep(groups, "repeated")  # its own exchange in the join, so that Spark can split the rows of one digest
+    all_units = keep(perhaps_in(all_units, groups, ["h", "g"]), "common")  # few digests come twice
+    own_repeated = keep(found.where(F.col("kind") == OWN), "own")
+    discard(found)
     marked = all_units.join(groups.drop("times"), ["h", "g"]).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t")) & (F.col("place") == F.col("first.place"))))
     marked = marked.select("doc_id", "t", "place", (F.col("place") + F.col("n")).alias("stop"), (F.col("kind") == WHOLE).alias("whole"), F.col("first.doc_id").alias("d0"), F.col("first.t").alias("t0"), (F.col("place") - F.col("first.place")).alias("off_by"))
 
@@ -317,10 +320,10 @@ def repeats(docs: DataFrame, unit: str = "line", least_words: int = 50, line_wor
     copies = keep(copies, "copies")
 
     asks = ends.select("doc_id", "t", "at", "side").union(ends.select("d0", "t0", F.col("at") - F.col("off_by"), "side")).union(copies.select("doc_id", "t", F.lit(0), F.lit(0)))
-    asks = asks.distinct().groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "side")).alias("asks"))  # of one text
+    asks = keep(asks.distinct().groupBy("doc_id", "t").agg(F.collect_list(F.struct("at", "side")).alias("asks")), "asks")  # of one text
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("x"), F.xxhash64(text).alias("y"), text.alias("text"))
-    asked = texts.join(asks, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y"))).select("doc_id", "t", "text", "asks")
+    asked = perhaps_in(texts, asks.select(F.col("doc_id").alias("x"), F.col("t").alias("y")), ["x", "y"]).join(asks, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y"))).select("doc_id", "t", "text", "asks")
     seen = keep(around(asked).dropDuplicates(["doc_id", "t", "at", "side"]), "around")
 
     own = seen.where("side <> 0").select(F.col("doc_id").alias("x"), F.col("t").alias("y"), F.col("at").alias("z"), F.col("side").alias("s"), F.col("words").alias("mine"), F.col("offs").alias("my_offs"))
@@ -331,7 +334,7 @@ def repeats(docs: DataFrame, unit: str = "line", least_words: int = 50, line_wor
     others_too = both_again(docs, all_units, groups, both, copies, of, least_words, id_col, text_col)
     at = lambda offs: F.get(F.col(offs), F.col("more"))
     both = both.select("doc_id", "t", F.struct("d0", "t0", "off_by", "whole", "low", "high", "side", "more", at("my_offs").alias("at"), F.lit(0).alias("to"), at("their_offs").alias("first_at")).alias("e"))
-    again = found.where(F.col("kind") == OWN).join(copies.select(F.col("doc_id").alias("x"), F.col("t").alias("y")), F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")), "left_anti")
+    again = own_repeated.join(copies.select(F.col("doc_id").alias("x"), F.col("t").alias("y")), F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y")), "left_anti")
     own_span = F.struct(
         F.col("doc_id").alias("d0"), F.col("t").alias("t0"), F.lit(0).alias("off_by"), F.lit(True).alias("whole"), F.col("place").alias("low"), (F.col("place") + F.col("n")).alias("high"), F.lit(0).alias("side"), F.lit(0).alias("more"),
         F.shiftright("h", 32).cast("int").alias("at"), F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("to"), F.col("g").alias("first_at"),
@@ -367,9 +370,10 @@ def both_again(docs: DataFrame, all_units: DataFrame, groups: DataFrame, ends: D
     held = keep(held.select("doc_id", "t", "place", "h", "g"), "held")
     several = held.groupBy("h", "g").agg(F.count("*").alias("times")).where("times > 2")
     places = held.join(several, ["h", "g"], "left_semi").groupBy("doc_id", "t").agg(F.collect_set("place").alias("places"))  # of one text
+    places = keep(places, "places")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("x"), F.xxhash64(text).alias("y"), text.alias("text"))
-    asked = texts.join(places, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y"))).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "places")
+    asked = perhaps_in(texts, places.select(F.col("doc_id").alias("x"), F.col("t").alias("y")), ["x", "y"]).join(places, F.col("doc_id").eqNullSafe(F.col("x")) & (F.col("t") == F.col("y"))).dropDuplicates(["doc_id", "t"]).select("doc_id", "t", "text", "places")
     found = keep(stretches(asked, least_words), "stretches")
     first = F.min(F.struct("doc_id", "t", "low", "start")).alias("first")
     again = keep(found.groupBy("h", "g").agg(F.count("*").alias("times"), first).where("times > 1").drop("times"), "again")

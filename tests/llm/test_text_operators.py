@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from storelens.llm import bpe, decontam, passages, pii, secrets, toxicity
-from storelens.llm.common import keep
+from storelens.llm.common import keep, perhaps_in
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -24,6 +24,15 @@ def key(x):
     return x is not None, x or 0
 
 
+def test_rows_of_wanted_keys_stay_before_a_join(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 500 = 0, null, id) AS x", "id * 7 AS y", "concat('text', id) AS place")
+    for each in (10, 1000, 50_000):
+        wanted = rows.where(f"y % {7 * each} = 0").select("x", "y")
+        got = {r.y: r for r in perhaps_in(rows, wanted, ["x", "y"]).collect()}
+        assert {r.y for r in wanted.collect()} <= set(got) and len(got) < 20_000 / each + 4000 and all(r.place == f"text{y // 7}" for y, r in got.items())
+    assert perhaps_in(rows, wanted.limit(0), ["x", "y"]).count() == 0
+
+
 # Unit dedup
 
 
