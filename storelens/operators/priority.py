@@ -127,7 +127,8 @@ def driver_correlation(df: DataFrame, features: list[str], value: str = C.VALUE,
 
     def r(c: str) -> Column:
         x, y = col(c).cast("double"), F.col("__y").cast("double")
-        return F.bround(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), 4).alias(c)  # all three from centred moments, which merge
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))  # the merged deviation of a constant needn't be 0: n * (1 / n) isn't always 1
+        return F.when(varies, F.bround(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), 4)).alias(c)  # all three from centred moments, which merge
 
     found = rows.agg(*[r(c) for c in features]).unpivot([], [col(c) for c in features], "feature", "r").where("r IS NOT NULL")
     return found.orderBy(F.desc(F.abs("r")), "feature").limit(top)

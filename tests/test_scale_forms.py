@@ -44,6 +44,13 @@ def test_correlation_far_from_zero(spark):
     assert got == {"a": pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-3)}
 
 
+def test_constants_have_no_correlation_in_any_parts(spark):
+    for rows in (49, 98, 103, 7):  # of so many ones to a part (but for 7) the merged mean isn't 1
+        df = spark.range(0, 20 * rows, 1, 20).select((F.col("id") % 17).cast("double").alias("VPO"), (F.col("id") % 34).cast("double").alias("a"), F.lit(1.0).alias("k"), F.lit(0.1).alias("tenth"))
+        assert [r.feature for r in priority.driver_correlation(df, ["a", "k", "tenth"]).collect()] == ["a"]
+        assert priority.driver_correlation(df.withColumn("VPO", F.lit(1.0)), ["a", "k"]).collect() == []
+
+
 def test_restarts_move_together(spark):
     rng = np.random.default_rng(5)
     centres = [(0, 0), (9, 0), (0, 9), (9, 9)]
