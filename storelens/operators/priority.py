@@ -91,8 +91,8 @@ def standardised(df: DataFrame, columns: list[str]) -> tuple[DataFrame, list[str
 
 def gaps(df: DataFrame, predicted: str = "predicted_raw", value: str = C.VALUE) -> DataFrame:
     """df with the rounded prediction, the gap, its share, the upside flag and the priority tag."""
-    out = df.withColumn("opportunity_gap", F.bround(col(predicted) - F.coalesce(col(value), F.lit(0.0)), 2)).withColumn("predicted_potential_vpo", F.bround(col(predicted), 2))
-    pct = F.bround(F.col("opportunity_gap") / F.nullif(F.col("predicted_potential_vpo"), F.lit(0.0)) * 100, 1)
+    out = df.withColumn("opportunity_gap", E.rounded(col(predicted) - F.coalesce(col(value), F.lit(0.0)), 2)).withColumn("predicted_potential_vpo", E.rounded(col(predicted), 2))
+    pct = E.rounded(F.col("opportunity_gap") / F.nullif(F.col("predicted_potential_vpo"), F.lit(0.0)) * 100, 1)
     up = F.col("opportunity_gap") > 0
     return out.withColumns({"gap_pct_of_potential": pct, "has_upside": up, "priority": F.when(up, F.concat("priority_bucket", F.lit("+"))).otherwise(F.col("priority_bucket"))})
 

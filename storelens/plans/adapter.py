@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import encode as E
 from ..operators.rollup import money
 
 #: Attributes of an outlet by its key; the texts are SQL that Spark and DuckDB read alike.
@@ -69,5 +70,5 @@ def master(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outlets(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = sales(spark, sf_dir).groupBy(F.col("CUST_UNIQ_ID_VAL").alias("id")).agg(F.coalesce(F.sum(money(F.col("NET_SALES"))).cast("double"), F.lit(0.0)).alias("TOTAL_REVENUE"), F.count("*").alias("AVG_SKU"), F.count_distinct("order_month").alias("ACTIVE_MONTHS"))
-    own = own.withColumn("VPO", F.bround(F.col("TOTAL_REVENUE") / F.col("ACTIVE_MONTHS"), 2))
+    own = own.withColumn("VPO", E.rounded(F.col("TOTAL_REVENUE") / F.col("ACTIVE_MONTHS"), 2))
     return master(spark, sf_dir).join(own, F.expr("OUTLET_UID_EDITED = id"), "left").drop("id")
